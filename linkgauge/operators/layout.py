@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.loop import partitions_for, store
@@ -33,21 +33,21 @@ class LinksBySource:
 
     light: DataFrame
     heavy: DataFrame | None
-    is_hub: Column
+    is_hub: str
 
-    def inflow(self, shares: DataFrame, value: Column) -> DataFrame:
-        """dst, inflow: the sum of ``value`` over incoming links.
+    def inflow(self, shares: DataFrame, value: str) -> DataFrame:
+        """id, inflow: the sum of ``value`` over a node's incoming links.
 
-        ``shares`` (id, share, out_degree) has one row per sending node. Sums are
+        ``shares`` (src, share, out_degree) has one row per sending node. Sums are
         formed before the shuffle, so a target hub receives at most one row per task.
         """
-        columns = ["dst", value.alias("value")]
+        columns = ["dst AS id", f"{value} AS value"]
         # The hash tables hold nodes of one partition, never links.
-        sent = self.light.join(shares.hint("shuffle_hash"), self.light["src"] == shares["id"]).select(*columns)
+        sent = self.light.join(shares.hint("shuffle_hash"), "src").selectExpr(*columns)
         if self.heavy is not None:
             hubs = F.broadcast(shares.where(self.is_hub))
-            sent = sent.union(self.heavy.join(hubs, self.heavy["src"] == hubs["id"]).select(*columns))
-        return sent.groupBy("dst").agg(F.sum("value").alias("inflow"))
+            sent = sent.union(self.heavy.join(hubs, "src").selectExpr(*columns))
+        return sent.groupBy("id").agg(F.expr("sum(value) AS inflow"))
 
     def release(self) -> None:
         self.light.unpersist()
@@ -61,10 +61,10 @@ def links_by_source(
     """Lay out ``edges`` by src. ``nodes`` has id and out_degree; ``largest`` is the
     largest out-degree."""
     limit = hub_limit(links, partitions)
-    is_hub = F.col("out_degree") > limit
+    is_hub = f"out_degree > {limit}"
     if largest <= limit:
         return LinksBySource(edges.repartition(partitions, "src").persist(), None, is_hub)
-    hubs = F.broadcast(nodes.where(is_hub).select(F.col("id").alias("src")))
+    hubs = F.broadcast(nodes.where(is_hub).selectExpr("id AS src"))
     light = edges.join(hubs, "src", "left_anti").repartition(partitions, "src").persist()
     heavy = edges.join(hubs, "src", "left_semi").repartition(partitions, "src", "dst").persist()
     return LinksBySource(light, heavy, is_hub)
@@ -96,15 +96,13 @@ class LinksByEnd:
     hubs: DataFrame | None
 
     def meet(self, rows: DataFrame) -> DataFrame:
-        """Join ``rows`` (with an id) to the links whose ``end`` is that id."""
+        """Join ``rows`` to the links by ``end``, a column of both."""
         if self.hubs is None:
-            keys = self.links[self.end] == rows["id"]
-        else:
-            rows = rows.join(F.broadcast(self.hubs), rows["id"] == self.hubs["hub"], "left").withColumn(
-                "row_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-            )
-            keys = (self.links[self.end] == rows["id"]) & (self.links["salt"] == rows["row_salt"])
-        return self.links.join(rows.hint("shuffle_hash"), keys)
+            return self.links.join(rows.hint("shuffle_hash"), self.end)
+        salted = rows.join(F.broadcast(self.hubs), self.end, "left").selectExpr(
+            *rows.columns, "explode(sequence(0, coalesce(salts, 1) - 1)) AS salt"
+        )
+        return self.links.join(salted.hint("shuffle_hash"), [self.end, "salt"])
 
     def release(self) -> None:
         self.links.unpersist()
@@ -118,16 +116,16 @@ def links_by_end(edges: DataFrame, end: str, links: int, partitions: int) -> Lin
     pairs = edges.select("src", "dst")
     limit = hub_limit(links, partitions)
     hubs = (
-        pairs.groupBy(F.col(end).alias("hub"))
+        pairs.groupBy(end)
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > limit)
-        .select("hub", F.ceil(F.col("n") / limit).cast("int").alias("salts"))
+        .select(end, F.ceil(F.col("n") / limit).cast("int").alias("salts"))
         .persist()
     )
     if hubs.isEmpty():
         hubs.unpersist()
         return LinksByEnd(pairs.repartition(partitions, end).persist(), end, None)
-    salted = pairs.join(F.broadcast(hubs), pairs[end] == hubs["hub"], "left").select(
+    salted = pairs.join(F.broadcast(hubs), end, "left").select(
         "src", "dst", F.pmod(F.hash(other), F.coalesce("salts", F.lit(1))).alias("salt")
     )
     return LinksByEnd(salted.repartition(partitions, end, "salt").persist(), end, hubs)

@@ -5,10 +5,9 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.columns import or_zero
 from ..plans.loop import checkpoint, discard, fixed_layout, partitions_for
 from ..schema import Graph, GraphError
 from .layout import LinksBySource, links_by_source
@@ -76,20 +75,17 @@ def pagerank(
             teleported = alpha + beta * dangling
             # What the new ranks will sum to before division, known from the old.
             total = teleported * teleport_sum + beta * (mass - dangling)
-            shares = state.where(F.col("out_degree") > 0).select(
-                "id", "out_degree", (F.col("rank") / F.col("out_weight")).alias("share")
-            )
-            inflow = start.links.inflow(shares, F.col("weight") * F.col("share"))
-            rank = F.lit(teleported / divisor) * F.col("node_weight") + F.lit(beta) * or_zero(F.col("inflow"))
-            state = _received(state, inflow).select(
-                "id", "node_weight", "out_degree", "out_weight",
-                F.col("rank").alias("before"), (rank / F.lit(total)).alias("rank"),
-            )
+            shares = _shares(state, "rank / out_weight")
+            received = state.join(start.links.inflow(shares, "weight * share").hint("shuffle_hash"), "id", "left")
+            step, base = _double(beta / total), _double(teleported / divisor / total)
             state, seen = _next_round(
-                state,
-                mass=F.sum("rank"),
-                dangling=or_zero(F.sum(F.when(F.col("out_degree") == 0, F.col("rank")))),
-                change=F.sum(F.abs(F.col("rank") - F.col("before"))),
+                received.selectExpr(
+                    "id", "node_weight", "out_degree", "out_weight", "rank AS before",
+                    f"{base} * node_weight + {step} * coalesce(inflow, 0D) AS rank",
+                ),
+                mass="sum(rank)",
+                dangling="sum(if(out_degree = 0, rank, 0D))",
+                change="sum(abs(rank - before))",
             )
             discard(written)
             written = state
@@ -132,12 +128,13 @@ def pagerank_static(
     partitions = partitions or partitions_for(max(header["num_node"], header["link_lines"]))
     with fixed_layout(graph.vertices.sparkSession, partitions):
         start = _start(graph, ["src", "dst"], partitions)
-        state = start.state.select("id", "out_degree", F.lit(float(initial)).alias("rank"))
+        state = start.state.selectExpr("id", "out_degree", f"{_double(initial)} AS rank")
+        reset, step = _double(reset_prob), _double(1.0 - reset_prob)
         written = start.state
         for _ in range(num_iter):
-            inflow = start.links.inflow(_equal_shares(state, "rank"), F.col("share"))
-            rank = F.lit(reset_prob) + F.lit(1.0 - reset_prob) * or_zero(F.col("inflow"))
-            state = checkpoint(_received(state, inflow).select("id", "out_degree", rank.alias("rank")))
+            inflow = start.links.inflow(_shares(state, "rank / out_degree"), "share")
+            received = state.join(inflow.hint("shuffle_hash"), "id", "left")
+            state = checkpoint(received.selectExpr("id", "out_degree", f"{reset} + {step} * coalesce(inflow, 0D) AS rank"))
             discard(written)
             written = state
         start.links.release()
@@ -158,18 +155,19 @@ def pagerank_delta(
     partitions = partitions or partitions_for(max(header["num_node"], header["link_lines"]))
     with fixed_layout(graph.vertices.sparkSession, partitions):
         start = _start(graph, ["src", "dst"], partitions)
-        reset = F.lit(float(reset_prob))
-        state = start.state.select("id", "out_degree", reset.alias("rank"), reset.alias("delta"))
+        reset, step = _double(reset_prob), _double(1.0 - reset_prob)
+        state = start.state.selectExpr("id", "out_degree", f"{reset} AS rank", f"{reset} AS delta")
         written = start.state
-        sends = (F.col("delta") > tol) & (F.col("out_degree") > 0)
+        sends = f"delta > {_double(tol)}"
         sending = start.totals["senders"] if reset_prob > tol else 0
         while sending:
-            inflow = start.links.inflow(_equal_shares(state.where(sends), "delta"), F.col("share"))
-            gain = F.lit(1.0 - reset_prob) * or_zero(F.col("inflow"))
-            state = _received(state, inflow).select(
-                "id", "out_degree", (F.col("rank") + gain).alias("rank"), gain.alias("delta")
+            inflow = start.links.inflow(_shares(state.where(sends), "delta / out_degree"), "share")
+            gain = f"{step} * coalesce(inflow, 0D)"
+            received = state.join(inflow.hint("shuffle_hash"), "id", "left")
+            state, seen = _next_round(
+                received.selectExpr("id", "out_degree", f"rank + {gain} AS rank", f"{gain} AS delta"),
+                sending=f"count_if({sends} AND out_degree > 0)",
             )
-            state, seen = _next_round(state, sending=F.count_if(sends))
             discard(written)
             written = state
             sending = seen["sending"]
@@ -186,14 +184,13 @@ def _start(graph: Graph, link_columns: list[str], partitions: int) -> _Start:
     state = nodes.join(sent.hint("shuffle_hash"), nodes["id"] == sent["src"], "left").select(
         "id", "node_weight", F.coalesce("out_degree", F.lit(0)).alias("out_degree"), "out_weight"
     )
-    degree = F.col("out_degree")
     state, totals = _next_round(
         state,
-        nodes=F.count(F.lit(1)),
-        node_weight=F.sum("node_weight"),
-        senders=F.count_if(degree > 0),
-        links=F.sum(degree),
-        largest=F.max(degree),
+        nodes="count(*)",
+        node_weight="sum(node_weight)",
+        senders="count_if(out_degree > 0)",
+        links="sum(out_degree)",
+        largest="max(out_degree)",
     )
     links = links_by_source(
         graph.edges.select(*link_columns), state, totals["links"], totals["largest"], partitions
@@ -201,21 +198,21 @@ def _start(graph: Graph, link_columns: list[str], partitions: int) -> _Start:
     return _Start(state, links, totals)
 
 
-def _equal_shares(state: DataFrame, value: str) -> DataFrame:
-    share = F.col(value) / F.col("out_degree")
-    return state.where(F.col("out_degree") > 0).select("id", "out_degree", share.alias("share"))
-
+def _shares(state: DataFrame, share: str) -> DataFrame:
+    """src, out_degree, share of every node that has outgoing links."""
+    return state.where("out_degree > 0").selectExpr("id AS src", "out_degree", f"{share} AS share")
 
-def _received(state: DataFrame, inflow: DataFrame) -> DataFrame:
-    return state.join(inflow.hint("shuffle_hash"), state["id"] == inflow["dst"], "left")
 
-
-def _next_round(state: DataFrame, **scalars: Column) -> tuple[DataFrame, dict]:
+def _next_round(state: DataFrame, **scalars: str) -> tuple[DataFrame, dict]:
     """Checkpoint a round; its scalars are gathered by the very job that writes it."""
     seen = Observation()
-    state = checkpoint(state.observe(seen, *[column.alias(name) for name, column in scalars.items()]))
+    state = checkpoint(state.observe(seen, *[F.expr(f"{sql} AS {name}") for name, sql in scalars.items()]))
     return state, seen.get
 
 
+def _double(value: float) -> str:
+    return f"{float(value)!r}D"
+
+
 def _empty(graph: Graph, *columns: str) -> DataFrame:
     return graph.vertices.select("id", *[F.lit(None).cast("double").alias(c) for c in columns]).where(F.lit(False))

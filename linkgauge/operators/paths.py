@@ -82,16 +82,13 @@ def _batch_scores(batch: _Batch, levels: list[DataFrame]) -> DataFrame | None:
     deepest = levels[-1].select("source", "id", "sigma", F.lit(0.0).alias("delta"))
     below, scored = deepest, []
     for level in reversed(levels[1:-1]):
-        quotients = below.select("source", "id", ((1 + F.col("delta")) / F.col("sigma")).alias("quotient"))
-        gains = (
-            batch.backward.meet(quotients)
-            .groupBy(F.col("source").alias("gain_source"), "src")
-            .agg(F.sum("quotient").alias("gain"))
+        quotients = below.selectExpr("source", "id AS dst", "(1 + delta) / sigma AS quotient")
+        gains = batch.backward.meet(quotients).groupBy("source", F.col("src").alias("id")).agg(
+            F.expr("sum(quotient) AS gain")
         )
-        on = (level["source"] == gains["gain_source"]) & (level["id"] == gains["src"])
         below = checkpoint(
-            level.join(gains.hint("shuffle_hash"), on, "left").select(
-                "source", "id", "sigma", (F.col("sigma") * or_zero(F.col("gain"))).alias("delta")
+            level.join(gains.hint("shuffle_hash"), ["source", "id"], "left").selectExpr(
+                "source", "id", "sigma", "sigma * coalesce(gain, 0D) AS delta"
             )
         )
         scored.append(below)
@@ -116,11 +113,13 @@ class _Batch:
         levels, visited = [frontier], frontier.select("source", "id")
         while True:
             found = (
-                self.forward.meet(frontier).groupBy("source", "dst").agg(F.sum("sigma").alias("sigma"))
-            ).select("source", F.col("dst").alias("id"), "sigma")
+                self.forward.meet(frontier.selectExpr("source", "id AS src", "sigma"))
+                .groupBy("source", F.col("dst").alias("id"))
+                .agg(F.expr("sum(sigma) AS sigma"))
+            )
             fresh = found.join(visited.hint("shuffle_hash"), ["source", "id"], "left_anti")
             seen = Observation()
-            fresh = checkpoint(fresh.observe(seen, F.count(F.lit(1)).alias("rows")))
+            fresh = checkpoint(fresh.observe(seen, F.expr("count(*) AS rows")))
             if not seen.get["rows"]:
                 discard(fresh)
                 return levels
