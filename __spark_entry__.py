@@ -151,7 +151,7 @@ def _dangling_mass(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _teleport_flow_sorted(spark: SparkSession, sf: str) -> DataFrame:
-    rank = _short_rank(_account_graph(spark, sf), "count")
+    rank = _short_rank(_account_graph(spark, sf))
     return _rounded(lg.sorted_metrics(rank, "teleport_flow"), "page_rank", "teleport_flow")
 
 
@@ -477,7 +477,7 @@ SELECT id, ROUND(page_rank, 8) AS page_rank,
        ROUND(page_rank * (SELECT COUNT(*) FROM links), 8) AS page_rank_normalized FROM final"""),
         "pagerank_static": _with(*users, STATIC_SQL, then=rank),
         "pagerank_delta": _with(*users, DELTA_SQL, then=rank),
-        "teleport_flow_sorted": _with(*accounts, _power_sql("count", ROUNDS), then="""
+        "teleport_flow_sorted": _with(*accounts, _power_sql("total_weight", ROUNDS), then="""
 SELECT id, ROUND(page_rank, 8) AS page_rank, ROUND(teleport_flow, 8) AS teleport_flow FROM final"""),
         "bfs_levels": _with(*places, paths, then="SELECT source, id, dist FROM paths"),
         "path_counts": _with(*users, paths, then="SELECT source, id, dist, sigma FROM paths"),
