@@ -49,6 +49,22 @@ def open_rank(links, rounds: int, initial: float, alpha: float = 0.15) -> dict[s
     return dict(zip(ids, rank))
 
 
+def delta_rank(links, tol: float, alpha: float = 0.15) -> dict[str, float]:
+    """Gains above ``tol`` are passed on once; the others stay where they are."""
+    ids = ids_of(links)
+    at = {v: i for i, v in enumerate(ids)}
+    flow = np.zeros((len(ids), len(ids)))
+    for a, b, *_ in links:
+        flow[at[b], at[a]] += 1.0
+    sums = flow.sum(axis=0)
+    flow[:, sums > 0] /= sums[sums > 0]
+    rank = gain = np.full(len(ids), alpha)
+    while (gain[sums > 0] > tol).any():
+        gain = (1 - alpha) * flow @ np.where(gain > tol, gain, 0.0)
+        rank = rank + gain
+    return dict(zip(ids, rank))
+
+
 def distances_and_counts(links, ids) -> tuple[np.ndarray, np.ndarray]:
     """Distances and numbers of shortest paths from powers of the adjacency matrix."""
     at = {v: i for i, v in enumerate(ids)}
