@@ -1,21 +1,31 @@
-"""Shortest paths by number of links, and betweenness built on them."""
+"""Shortest paths by number of links, and betweenness built on them.
+
+The searches carry one row per source and node it reaches. Both are numbered for
+the searches, since such rows outnumber nodes and links by far; results get the
+graph's own ids back.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import or_zero
 from ..plans.loop import checkpoint, discard, fixed_layout, partitions_for, store
 from ..schema import Graph
-from .layout import LinksByEnd, links_by_end
+from .layout import LinksByEnd, join_per_end, links_by_end
 
 # A batch of sources holds about this many rows of state, sources times nodes.
 BATCH_ROWS = 200_000_000
 
+# State rows are a few numbers, so a partition takes more of them than of nodes.
+STATE_ROWS_PER_PARTITION = 1_000_000
+
 # After this many levels the nodes visited so far are rewritten as one table.
 LEVELS_PER_TABLE = 16
 
@@ -25,23 +35,21 @@ def shortest_paths(
 ) -> DataFrame:
     """source, id, dist, sigma: for every node a source reaches, the number of links on
     a shortest path and the number of such paths. A source reaches itself at 0."""
-    reached = None
-    for batch in _batches(graph, sources, batch_rows, partitions):
-        with fixed_layout(graph.vertices.sparkSession, batch.partitions):
-            levels = batch.levels()
-            rows = reduce(
-                DataFrame.union,
-                [level.select("source", "id", F.lit(dist).alias("dist"), "sigma") for dist, level in enumerate(levels)],
-            )
-            rows = store(rows)
-            batch.close(levels)
-        reached = rows if reached is None else reached.union(rows)
-    return reached
+    searches = _Searches(graph, sources, batch_rows, partitions)
+    reached = []
+    for batch in searches.batches():
+        levels = [
+            level.selectExpr("source", "id", f"{dist} AS dist", "sigma") for dist, level in enumerate(batch.levels)
+        ]
+        reached.append(store(reduce(DataFrame.union, levels)))
+    return searches.with_ids(reduce(DataFrame.union, reached), "source", "id")
 
 
-def touched_nodes(paths: DataFrame) -> DataFrame:
-    """One row: how many nodes all sources together reached."""
-    return paths.agg(F.count(F.lit(1)).alias("touched"))
+def touched_nodes(
+    graph: Graph, sources: DataFrame | None = None, batch_rows: int = BATCH_ROWS, partitions: int | None = None
+) -> int:
+    """How many nodes all sources together reach, themselves included."""
+    return sum(batch.touched for batch in _Searches(graph, sources, batch_rows, partitions).batches())
 
 
 def betweenness(
@@ -54,22 +62,21 @@ def betweenness(
     All sources together visit nodes times links. ``sources`` (a table with id)
     restricts the sum to paths from those; the result is then partial.
     """
+    searches = _Searches(graph, sources, batch_rows, partitions)
     total = None
-    for batch in _batches(graph, sources, batch_rows, partitions):
-        with fixed_layout(graph.vertices.sparkSession, batch.partitions):
-            levels = batch.levels()
-            scores = _batch_scores(batch, levels)
-            if scores is not None:
-                both = scores if total is None else total.union(scores)
-                total = store(both.groupBy("id").agg(F.sum("score").alias("score")))
-            batch.close(levels)
+    for batch in searches.batches(backward=True):
+        scores = _batch_scores(batch)
+        if scores is not None:
+            both = scores if total is None else total.union(scores)
+            total = store(both.groupBy("id").agg(F.sum("score").alias("score")))
     nodes = graph.vertices.select("id")
     if total is None:
         return nodes.select("id", F.lit(0.0).alias("betweenness"))
-    return nodes.join(total, "id", "left").select("id", or_zero(F.col("score")).alias("betweenness"))
+    scored = nodes.join(searches.with_ids(total, "id"), "id", "left")
+    return scored.select("id", or_zero(F.col("score")).alias("betweenness"))
 
 
-def _batch_scores(batch: _Batch, levels: list[DataFrame]) -> DataFrame | None:
+def _batch_scores(batch: _Batch) -> DataFrame | None:
     """id, score of one batch, from the deepest level back to the first.
 
     With sigma paths to a node and delta its dependency, a node gains
@@ -77,6 +84,7 @@ def _batch_scores(batch: _Batch, levels: list[DataFrame]) -> DataFrame | None:
     Summing the quotients per predecessor before the shuffle, and only then joining
     the level before, drops links that lie on no shortest path.
     """
+    levels = batch.levels
     if len(levels) < 3:
         return None
     deepest = levels[-1].select("source", "id", "sigma", F.lit(0.0).alias("delta"))
@@ -92,68 +100,105 @@ def _batch_scores(batch: _Batch, levels: list[DataFrame]) -> DataFrame | None:
             )
         )
         scored.append(below)
-    batch.extra.extend(scored)
+    batch.others.extend(scored)
     return reduce(DataFrame.union, [s.select("id", F.col("delta").alias("score")) for s in scored])
 
 
 class _Batch:
-    """Sources whose searches run together, level by level."""
+    """Sources whose searches run together, level by level.
 
-    def __init__(self, sources: DataFrame, forward: LinksByEnd, backward: LinksByEnd, partitions: int):
-        self.sources = sources
-        self.forward = forward
+    levels  per distance one table of source, id, sigma, hashed by the first two
+    """
+
+    def __init__(self, sources: DataFrame, forward: LinksByEnd, backward: LinksByEnd | None, partitions: int):
         self.backward = backward
-        self.partitions = partitions
-        self.extra: list[DataFrame] = []
-
-    def levels(self) -> list[DataFrame]:
-        """Per distance one table of source, id, sigma, hashed by the first two."""
-        start = self.sources.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("sigma"))
-        frontier = checkpoint(start.repartition(self.partitions, "source", "id"))
-        levels, visited = [frontier], frontier.select("source", "id")
+        self.others: list[DataFrame] = []
+        frontier, self.touched = _counted(
+            sources.selectExpr("key AS source", "key AS id", "1D AS sigma").repartition(partitions, "source", "id")
+        )
+        self.levels, visited = [frontier], frontier.select("source", "id")
         while True:
             found = (
-                self.forward.meet(frontier.selectExpr("source", "id AS src", "sigma"))
+                forward.meet(frontier.selectExpr("source", "id AS src", "sigma"))
                 .groupBy("source", F.col("dst").alias("id"))
                 .agg(F.expr("sum(sigma) AS sigma"))
             )
-            fresh = found.join(visited.hint("shuffle_hash"), ["source", "id"], "left_anti")
-            seen = Observation()
-            fresh = checkpoint(fresh.observe(seen, F.expr("count(*) AS rows")))
-            if not seen.get["rows"]:
-                discard(fresh)
-                return levels
-            levels.append(fresh)
-            visited = visited.union(fresh.select("source", "id"))
-            if len(levels) % LEVELS_PER_TABLE == 0:
-                visited = checkpoint(visited.repartition(self.partitions, "source", "id"))
-                self.extra.append(visited)
-            frontier = fresh
-
-    def close(self, levels: list[DataFrame]) -> None:
-        for frame in [*levels, *self.extra]:
+            frontier, rows = _counted(found.join(visited.hint("shuffle_hash"), ["source", "id"], "left_anti"))
+            if not rows:
+                discard(frontier)
+                return
+            self.touched += rows
+            self.levels.append(frontier)
+            visited = visited.union(frontier.select("source", "id"))
+            if len(self.levels) % LEVELS_PER_TABLE == 0:
+                visited = checkpoint(visited.repartition(partitions, "source", "id"))
+                self.others.append(visited)
+
+    def close(self) -> None:
+        for frame in [*self.levels, *self.others]:
             discard(frame)
-        self.extra.clear()
-
-
-def _batches(graph: Graph, sources: DataFrame | None, batch_rows: int, partitions: int | None):
-    """Split the sources by hash, so that none of them passes through the driver."""
-    header = graph.header.first()
-    nodes, links = header["num_node"], header["link_lines"]
-    sources = (graph.vertices if sources is None else sources).select("id")
-    count = sources.count()
-    number = max(1, math.ceil(count * nodes / batch_rows))
-    rows = max(links, count * nodes // number)
-    partitions = partitions or partitions_for(rows)
-    spark = graph.vertices.sparkSession
-    proper = graph.edges.where(F.col("src") != F.col("dst"))
-    with fixed_layout(spark, partitions):
-        forward = links_by_end(proper, "src", links, partitions)
-        backward = links_by_end(proper, "dst", links, partitions)
-    for index in range(number):
-        chosen = sources
-        if number > 1:
-            chosen = sources.where(F.pmod(F.xxhash64("id"), F.lit(number)) == index)
-        yield _Batch(chosen, forward, backward, partitions)
-    forward.release()
-    backward.release()
+
+
+def _counted(frame: DataFrame) -> tuple[DataFrame, int]:
+    seen = Observation()
+    frame = checkpoint(frame.observe(seen, F.expr("count(*) AS rows")))
+    return frame, seen.get["rows"]
+
+
+class _Searches:
+    """All searches over one graph: numbered nodes and links, sources in batches."""
+
+    def __init__(self, graph: Graph, sources: DataFrame | None, batch_rows: int, partitions: int | None):
+        self.spark = graph.vertices.sparkSession
+        header = graph.header.first()
+        nodes, self.links = header["num_node"], header["link_lines"]
+        self.numbers = _numbers(graph.vertices)
+        self.proper = _numbered(graph.edges.where(F.col("src") != F.col("dst")).select("src", "dst"), self.numbers)
+        chosen = self.numbers if sources is None else self.numbers.join(sources.select("id"), "id", "left_semi")
+        self.sources = chosen.select("key")
+        count = nodes if sources is None else self.sources.count()
+        self.number = max(1, math.ceil(count * nodes / batch_rows))
+        self.partitions = partitions or max(
+            partitions_for(self.links), partitions_for(count * nodes // self.number, STATE_ROWS_PER_PARTITION)
+        )
+
+    def batches(self, backward: bool = False) -> Iterator[_Batch]:
+        """Batches split by hash, so no list of sources passes through the driver."""
+        with fixed_layout(self.spark, self.partitions):
+            forward = links_by_end(self.proper, "src", self.links, self.partitions)
+            back = links_by_end(self.proper, "dst", self.links, self.partitions) if backward else None
+            for index in range(self.number):
+                chosen = self.sources
+                if self.number > 1:
+                    chosen = chosen.where(F.pmod(F.xxhash64("key"), F.lit(self.number)) == index)
+                batch = _Batch(chosen, forward, back, self.partitions)
+                yield batch
+                batch.close()
+            forward.release()
+            if back is not None:
+                back.release()
+
+    def with_ids(self, frame: DataFrame, *columns: str) -> DataFrame:
+        """Replace numbers by the ids they stand for."""
+        for column in columns:
+            ids = self.numbers.select(F.col("key").alias(column), F.col("id").alias("_id"))
+            others = [c for c in frame.columns if c != column]
+            frame = frame.join(ids, column).select(F.col("_id").alias(column), *others)
+        return frame.select("source", "id", "dist", "sigma") if "dist" in frame.columns else frame
+
+
+def _numbers(vertices: DataFrame) -> DataFrame:
+    """id, key: a number for every node; ids that are numbers stand for themselves."""
+    if isinstance(vertices.schema["id"].dataType, T.IntegralType):
+        return vertices.select("id", F.col("id").cast("long").alias("key"))
+    return store(vertices.select("id", F.monotonically_increasing_id().alias("key")))
+
+
+def _numbered(pairs: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Pairs of numbers for pairs of ids, hubs treated at either end."""
+    for end in ("src", "dst"):
+        links = pairs.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("links"))
+        per_end = links.join(numbers, "id").select(F.col("id").alias(end), "links", "key")
+        other = "dst" if end == "src" else "src"
+        pairs = join_per_end(pairs, per_end, end).select(F.col("key").alias(end), other)
+    return store(pairs)

@@ -61,10 +61,10 @@ def discard(frame: DataFrame | None) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions_for(rows: int) -> int:
-    """Hash partitions for a loop over ``rows`` rows: about 200,000 rows each, and
-    beyond 20,000 partitions the partitions grow instead of their number."""
-    return min(max(1, math.ceil(rows / ROWS_PER_PARTITION)), MAX_PARTITIONS)
+def partitions_for(rows: int, per_partition: int | None = None) -> int:
+    """Hash partitions for a loop over ``rows`` rows: about 200,000 rows each unless
+    given, and beyond 20,000 partitions they grow instead of their number."""
+    return min(max(1, math.ceil(rows / (per_partition or ROWS_PER_PARTITION))), MAX_PARTITIONS)
 
 
 @contextmanager
