@@ -23,8 +23,10 @@ from .layout import LinksByEnd, join_per_end, links_by_end
 # A batch of sources holds about this many rows of state, sources times nodes.
 BATCH_ROWS = 200_000_000
 
-# State rows are a few numbers, so a partition takes more of them than of nodes.
-STATE_ROWS_PER_PARTITION = 1_000_000
+# State rows are a few numbers, and rows that meet links are summed up on the spot,
+# so a partition takes more of them than of nodes or links.
+STATE_ROWS_PER_PARTITION = 2_000_000
+MET_ROWS_PER_PARTITION = 5_000_000
 
 # After this many levels the nodes visited so far are rewritten as one table.
 LEVELS_PER_TABLE = 16
@@ -159,7 +161,9 @@ class _Searches:
         count = nodes if sources is None else self.sources.count()
         self.number = max(1, math.ceil(count * nodes / batch_rows))
         self.partitions = partitions or max(
-            partitions_for(self.links), partitions_for(count * nodes // self.number, STATE_ROWS_PER_PARTITION)
+            partitions_for(self.links),
+            partitions_for(count * nodes // self.number, STATE_ROWS_PER_PARTITION),
+            partitions_for(count * self.links // self.number, MET_ROWS_PER_PARTITION),
         )
 
     def batches(self, backward: bool = False) -> Iterator[_Batch]:

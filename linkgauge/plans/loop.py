@@ -11,7 +11,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROWS_PER_PARTITION = 200_000
+ROWS_PER_PARTITION = 100_000
 MAX_PARTITIONS = 20_000
 
 
@@ -62,7 +62,7 @@ def discard(frame: DataFrame | None) -> None:
 
 
 def partitions_for(rows: int, per_partition: int | None = None) -> int:
-    """Hash partitions for a loop over ``rows`` rows: about 200,000 rows each unless
+    """Hash partitions for a loop over ``rows`` rows: about 100,000 rows each unless
     given, and beyond 20,000 partitions they grow instead of their number."""
     return min(max(1, math.ceil(rows / (per_partition or ROWS_PER_PARTITION))), MAX_PARTITIONS)
 

@@ -64,14 +64,16 @@ class Graph:
     header    one row of counts and totals, see HEADER
 
     Ids are compared by value. They may be of any one type; text readers give
-    strings. ``vertices_from_links`` says that the vertices are just the
-    endpoints of the edges, so ``stored`` can derive them from the stored edges.
+    strings. Two notes let ``stored`` avoid evaluating a plan twice:
+    ``vertices_from_links``, the vertices are just the endpoints of the edges, and
+    ``header_from_tables``, the header counts just the rows of the two tables.
     """
 
     vertices: DataFrame
     edges: DataFrame
     header: DataFrame
     vertices_from_links: bool = False
+    header_from_tables: bool = False
 
     def __post_init__(self) -> None:
         require_columns(self.vertices, VERTICES.fieldNames(), "vertices")

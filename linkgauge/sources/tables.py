@@ -59,7 +59,9 @@ def graph_from_edges(
             F.col(name or id).cast("string").alias("name"),
             (positive_or_one(F.col(node_weight)) if node_weight else F.lit(1.0)).alias("node_weight"),
         )
-    return Graph(nodes, edges, _counts(nodes, rows), vertices_from_links=vertices is None)
+    return Graph(
+        nodes, edges, _counts(nodes, rows), vertices_from_links=vertices is None, header_from_tables=order is None
+    )
 
 
 def _counts(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -96,13 +98,8 @@ def stored(graph: Graph) -> Graph:
     """
     edges = store(graph.edges)
     vertices = store(endpoints(edges) if graph.vertices_from_links else graph.vertices)
-    if graph.vertices_from_links:
-        count = vertices.count()
-        links = graph.header.select("num_link").first()["num_link"]
-        header = header_row(edges.sparkSession, count, links, count, links, count)
-    else:
-        header = header_row(edges.sparkSession, **graph.header.first().asDict())
-    return Graph(vertices, edges, header)
+    counts = (_counts(vertices, edges) if graph.header_from_tables else graph.header).first()
+    return Graph(vertices, edges, header_row(edges.sparkSession, **counts.asDict()))
 
 
 def missing_endpoints(vertices: DataFrame, edges: DataFrame) -> DataFrame:
