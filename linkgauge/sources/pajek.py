@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import HEAD_LINE_RE, HEAD_RE, NODE_RE, positive_or_one, trimmed
 from ..plans.loop import store
 from ..schema import Graph, GraphError
-from .tables import check_declared_counts, check_endpoints, header_row, links_last_wins
+from .tables import check_declared_counts, check_endpoints, header_row
 
 # A text normally has two section heads. Up to this many become part of the tagging
 # expression; a text with more is tagged by windows over its blocks.
@@ -41,21 +41,18 @@ def read_pajek(spark: SparkSession, path: str) -> Graph:
     tagged = _with_section(lines)
     nodes = tagged.where(F.col("section") == "nodes").select("place", *_node_fields())
     links = tagged.where(F.col("section") == "links").select("place", *_link_fields())
-    totals = _checked_totals(lines, nodes, links)
+    vertices = _last_per_key(nodes, ["id"], ["name", "node_weight"], "node_weight")
+    edges = _last_per_key(links, ["src", "dst"], ["weight"], "weight")
 
-    vertices = store(
-        nodes.groupBy("id")
-        .agg(F.max_by(F.struct("name", "node_weight"), "place").alias("last"))
-        .select("id", "last.name", "last.node_weight")
-    )
-    edges = store(links_last_wins(links, "place"))
+    totals = _checked_totals(lines, vertices, edges)
     declared = _declared_counts(lines)
     num_node, num_link = declared.get("nodes", 0), declared.get("links", 0)
     check_declared_counts(num_node, vertices.count(), num_link, totals["link_lines"])
     header = header_row(
         spark, num_node, num_link, totals["node_lines"], totals["link_lines"], totals["total_node_weight"]
     )
-    return check_endpoints(Graph(vertices, edges, header))
+    graph = Graph(vertices.select("id", "name", "node_weight"), edges.select("src", "dst", "weight"), header)
+    return check_endpoints(graph)
 
 
 def write_pajek(graph: Graph, path: str) -> None:
@@ -161,27 +158,38 @@ def _link_fields() -> list[Column]:
     ]
 
 
-def _checked_totals(lines: DataFrame, nodes: DataFrame, links: DataFrame) -> dict:
+def _last_per_key(parsed: DataFrame, keys: list[str], values: list[str], weight: str) -> DataFrame:
+    """The last line of each key, with what the checks need of all its lines: their
+    number, their summed weight, and an example of a line that cannot be read."""
+    return store(
+        parsed.groupBy(*keys)
+        .agg(
+            F.max_by(F.struct(*values), "place").alias("last"),
+            F.count(F.lit(1)).alias("lines"),
+            F.sum(weight).alias("weights"),
+            F.max(F.when(F.col("bad_line"), F.col("line"))).alias("bad_line"),
+            F.max(F.when(F.col("bad_weight"), F.col("line"))).alias("bad_weight"),
+        )
+        .select(*keys, *[f"last.{value}" for value in values], "lines", "weights", "bad_line", "bad_weight")
+    )
+
+
+def _checked_totals(lines: DataFrame, vertices: DataFrame, edges: DataFrame) -> dict:
     """Line counts and the total node weight; raises on the first kind of bad line."""
-    broken = F.max(F.when(F.col("bad_line"), F.col("line"))).alias("broken")
-    weight = F.max(F.when(F.col("bad_weight"), F.col("line"))).alias("weight")
-    of_nodes = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum("node_weight").alias("total"), broken, weight).first()
-    of_links = links.agg(F.count(F.lit(1)).alias("n"), broken, weight).first()
-    head = lines.where(F.col("head").isNotNull() & ~F.col("line").rlike(HEAD_RE)).agg(F.max("line")).first()[0]
+    sums = [F.sum("lines").alias("lines"), F.sum("weights").alias("weights"), F.max("bad_line"), F.max("bad_weight")]
+    node_lines, total, bad_node, bad_node_weight = vertices.agg(*sums).first()
+    link_lines, _, bad_link, bad_link_weight = edges.agg(*sums).first()
+    bad_head = lines.where(F.col("head").isNotNull() & ~F.col("line").rlike(HEAD_RE)).agg(F.max("line")).first()[0]
     for what, example in (
-        ("section head without a count", head),
-        ("node line without an id and a quoted name", of_nodes["broken"]),
-        ("link line without two ids", of_links["broken"]),
-        ("node weight that is no number", of_nodes["weight"]),
-        ("link weight that is no number", of_links["weight"]),
+        ("section head without a count", bad_head),
+        ("node line without an id and a quoted name", bad_node),
+        ("link line without two ids", bad_link),
+        ("node weight that is no number", bad_node_weight),
+        ("link weight that is no number", bad_link_weight),
     ):
         if example is not None:
             raise GraphError(f"{what}: {example!r}")
-    return {
-        "node_lines": of_nodes["n"],
-        "link_lines": of_links["n"],
-        "total_node_weight": of_nodes["total"] or 0.0,
-    }
+    return {"node_lines": node_lines or 0, "link_lines": link_lines or 0, "total_node_weight": total or 0.0}
 
 
 def _declared_counts(lines: DataFrame) -> dict[str, int]:
