@@ -23,6 +23,15 @@ from linkgauge.plans.loop import checkpoint_folder, store
 from linkgauge.schema import METRICS, Graph
 from linkgauge.sinks.metrics_text import SEP_SPACED, SEP_TIGHT
 
+try:
+    from linkgauge.llm import queries as llm_queries
+except ImportError:  # the subpackage is left out
+    llm_queries = None
+try:
+    import corpus_pipeline
+except ImportError:
+    corpus_pipeline = None
+
 ROUNDS = 12
 STATIC_ROUNDS = 15
 DELTA_TOL = 1.0e-3
@@ -218,7 +227,20 @@ def _pajek_header(spark: SparkSession, sf: str) -> DataFrame:
     return lg.read_pajek(spark, path).header
 
 
+def _llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = llm_queries.queries() if llm_queries else {}
+    return found | ({"pipeline": corpus_pipeline.run} if corpus_pipeline else {})
+
+
+def _llm_sql() -> dict[str, str]:
+    return llm_queries.oracle_sql() if llm_queries else {}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _own_queries() | _llm_queries()
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def share(of):
         return lambda spark, sf: _rounded(of(store(_trade_links(spark, sf))), "share")
 
@@ -422,6 +444,10 @@ def _with(*parts: str, then: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    return _own_sql() | _llm_sql()
+
+
+def _own_sql() -> dict[str, str]:
     rank = "SELECT id, ROUND(page_rank, 8) AS page_rank FROM final"
     accounts = (TRADE, ACCOUNTS)
     users = (USERS, ENDPOINTS)
