@@ -84,7 +84,7 @@ def first_map(sizes: DataFrame, shards: int) -> DataFrame:
     return _dealt(_in_one_row(sizes), none)
 
 
-def edited_map(sizes: DataFrame, old: DataFrame, shards: int, tolerance: float = 0.02) -> DataFrame:
+def edited_map(sizes: DataFrame, old: DataFrame, shards: int, tolerance: float = 0.002) -> DataFrame:
     """The map for ``shards`` shards and today's bytes that moves few slots of the old one.
 
     A shard keeps its slots, largest first, while they fit into an even share and the
