@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, urlfilter
+from . import mixing, sharding, simhash, urlfilter
 from .common import scratch, store, table
 
 SHARDS = 40
@@ -33,6 +33,11 @@ def _sharding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _simhash(spark: SparkSession, sf: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def _url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf, "pages"), urlfilter.rule_table(spark, URL_RULES))
 
@@ -44,6 +49,7 @@ def _mixing(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": _sharding,
+        "op3_simhash": _simhash,
         "op8_url_filters": _url_filter,
         "op10_mixing": _mixing,
     }
