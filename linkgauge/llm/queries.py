@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash, urlfilter
+from . import mixing, quality, sharding, simhash, urlfilter
 from .common import scratch, store, table
 
 SHARDS = 40
@@ -38,6 +38,13 @@ def _simhash(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judged(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "level", "distance",
+    )
+
+
 def _url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf, "pages"), urlfilter.rule_table(spark, URL_RULES))
 
@@ -50,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": _sharding,
         "op3_simhash": _simhash,
+        "op5_quality_rules": _quality,
         "op8_url_filters": _url_filter,
         "op10_mixing": _mixing,
     }
