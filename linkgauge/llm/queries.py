@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, simhash, urlfilter
+from . import mixing, quality, sharding, simhash, substring, urlfilter
 from .common import scratch, store, table
 
 SHARDS = 40
@@ -49,6 +49,10 @@ def _url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf, "pages"), urlfilter.rule_table(spark, URL_RULES))
 
 
+def _substring(spark: SparkSession, sf: str) -> DataFrame:
+    return substring.repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def _mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf, "documents"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": _simhash,
         "op5_quality_rules": _quality,
         "op8_url_filters": _url_filter,
+        "op9_substring_dedup": _substring,
         "op10_mixing": _mixing,
     }
 
@@ -85,6 +90,24 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM judged"""
 
+REPEATS_SQL = r"""
+WITH words AS (
+  SELECT doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+windows AS MATERIALIZED (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS run
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM words)),
+firsts AS (SELECT run, MIN(doc_id) AS first_id FROM windows GROUP BY run),
+removed AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p
+  FROM windows JOIN firsts USING (run) WHERE first_id < doc_id),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM words),
+kept AS (
+  SELECT doc_id, COUNT(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS kept
+  FROM each ANTI JOIN removed USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - COALESCE(n_kept, 0) AS BIGINT) AS n_removed,
+       sha256(COALESCE(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)"""
+
 # The level is found as the operator's docstring says: sources in the order of ceiling by weight.
 MIX_SQL = r"""
 WITH sizes AS (
@@ -119,5 +142,6 @@ FROM draws"""
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_url_filters": URL_SQL,
+        "op9_substring_dedup": REPEATS_SQL,
         "op10_mixing": MIX_SQL,
     }
