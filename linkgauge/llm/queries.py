@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ppm, quality, sharding, simhash, substring, urlfilter
+from . import mixing, pieces, ppm, quality, sharding, simhash, substring, urlfilter
 from .common import scratch, store, table
 
 SHARDS = 40
@@ -49,6 +49,10 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
     return ppm.scores(table(spark, sf, "documents"))
 
 
+def _pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf, "documents"))
+
+
 def _url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf, "pages"), urlfilter.rule_table(spark, URL_RULES))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": _sharding,
         "op3_simhash": _simhash,
         "op5_quality_rules": _quality,
+        "op6_sentencepiece": _pieces,
         "op7_lm_scoring": _scores,
         "op8_url_filters": _url_filter,
         "op9_substring_dedup": _substring,
