@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, ppm, quality, sharding, simhash, substring, urlfilter
+from . import chat, mixing, pieces, ppm, quality, sharding, simhash, substring, topk, urlfilter
 from .common import scratch, store, table
 
 SHARDS = 40
+#: What both turns of the planted conversation say.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
 #: Rules of the URL query: action, host, path.
 URL_RULES = [
     ("allow", "org", "/"),
@@ -21,6 +23,25 @@ URL_RULES = [
 ]
 
 
+def _top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"))
+
+
+def _chat(spark: SparkSession, sf: str) -> DataFrame:
+    given = table(spark, sf, "conversations").select(
+        F.concat(F.lit("given:"), F.coalesce(F.col("conv_id").cast("string"), F.lit("none"))).alias("tree"),
+        "turn", "role", "text",
+    )
+    planted = [F.struct(
+        F.lit("planted:-1").alias("tree"), F.lit(i).cast(given.schema["turn"].dataType).alias("turn"),
+        F.lit(role).alias("role"), F.lit(CONTROL_TEXT).alias("text"),
+    ) for i, role in enumerate(("user", "assistant"))]
+    every = given.union(spark.range(1).select(F.inline(F.array(*planted))))
+    found = chat.digests(chat.formatted(chat.from_turns(every)))
+    conv_id = F.expr("try_cast(substring_index(tree, ':', -1) AS bigint)")
+    return found.select(conv_id.alias("conv_id"), *[c for c in found.columns if c not in ("tree", "rank")])
+
+
 def _sharding(spark: SparkSession, sf: str) -> DataFrame:
     records = store(sharding.record_sizes(table(spark, sf, "documents")))
     sizes = store(sharding.slot_bytes(records))
@@ -67,8 +88,10 @@ def _mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_top_k": _top_k,
         "op2_sharding": _sharding,
         "op3_simhash": _simhash,
+        "op4_chat_format": _chat,
         "op5_quality_rules": _quality,
         "op6_sentencepiece": _pieces,
         "op7_lm_scoring": _scores,
@@ -78,6 +101,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+TOP_K_SQL = r"""
+WITH vectors AS (
+  SELECT ROW_NUMBER() OVER () AS n, vec_id,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.n <> c.n WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+CHAT_SQL = r"""
+WITH every AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length('<s>[INST] ' || ' [/INST]' || '</s>') + length(role) + length(text)
+            + 2 * length(role) - length(replace(role, '\', '')) - length(role)
+            + 2 * length(text) - length(replace(text, '\', '')) - length(text)
+            + len(regexp_extract_all(role, '</?s>|\[/?INST\]')) + len(regexp_extract_all(text, '</?s>|\[/?INST\]')) AS size
+  FROM every)
+SELECT conv_id, COUNT(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(COALESCE(SUM(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(COALESCE(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(SUM(size) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
 URL_SQL = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
@@ -151,6 +204,8 @@ FROM draws"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_top_k": TOP_K_SQL,
+        "op4_chat_format": CHAT_SQL,
         "op8_url_filters": URL_SQL,
         "op9_substring_dedup": REPEATS_SQL,
         "op10_mixing": MIX_SQL,
