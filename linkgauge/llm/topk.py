@@ -100,6 +100,8 @@ class _Best:
 
 def searched(queries: pd.DataFrame, candidates: pd.DataFrame, k: int = K) -> pd.DataFrame:
     """Rows (query_id, query_key, score, vec_id, copies): the k best of these candidates for each of these queries."""
+    if queries.empty or candidates.empty:
+        return pd.DataFrame(columns=["query_id", "query_key", "score", "vec_id", "copies"], dtype="int64")
     width = max([1, *queries["vector"].map(len), *candidates["vector"].map(len)])
     a, b = quantized(queries["vector"], width), quantized(candidates["vector"], width)
     ids = candidates["vec_id"].to_numpy()
@@ -129,7 +131,7 @@ def searched(queries: pd.DataFrame, candidates: pd.DataFrame, k: int = K) -> pd.
             "query_id": query_ids[best.query], "query_key": query_keys[best.query], "score": best.score,
             "vec_id": best.ids, "copies": best.copies,
         }))
-    return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "query_key", "score", "vec_id", "copies"], dtype="int64")
+    return pd.concat(out)
 
 
 def _usable(vector: Column) -> Column:
