@@ -1,15 +1,17 @@
 """Substring dedup by seeds that are extended to repeats.
 
 Every text is winnowed: of each ``WINDOW`` consecutive words the least hash of ``GRAM`` words is an anchor, so
-equal windows have the same anchor at the same place. Documents are joined on their anchors. Anchors that lie in
-one document alone end there; each of the others is extended to both sides, to all windows it
-is the anchor of, and these are compared by a digest of 126 bits. A window that a document with a smaller id has too is removed;
-windows that overlap or touch make one maximal repeat.
+equal windows have the same anchor at the same place. The windows of one anchor lie side by side; the words they cover
+are the anchor's stretch, the seed extended to both sides as far as windows take part in it.
 
-Scale: anchors are two ninths of the words, 16 bytes each, and are shuffled once. An anchor's documents are never
-gathered: rows come sorted and are passed on in a stream that remembers one id. What repeats within one batch of
-documents is settled there, so an anchor or a window that a third of all documents share sends two rows or one of each
-batch to its task, and the rest are dealt out evenly. Texts are shuffled twice, to meet what was found of them.
+Documents are joined on their anchors. Where all documents with an anchor have the same stretch, all but the smallest id lose its
+windows. Where stretches differ, which is at the ends of repeats, the smallest id of each stretch has its windows compared
+one by one by a digest of 126 bits. Windows that overlap or touch make one maximal repeat.
+
+Scale: anchors are two ninths of the words, 24 bytes each, and are shuffled once. An anchor's documents are never
+gathered: rows come sorted and are passed on in a stream that remembers one row. What repeats within one batch of
+documents is settled there, so a stretch or a window that a third of all documents share sends one row of each
+batch to its task, and the rest are dealt out evenly. Texts are shuffled twice, compressed: to compare windows, and to be cut.
 
 Defined cases: a null text has no words. A text shorter than a window keeps all its words. A null id is neither smaller nor
 greater than another, so such rows lose nothing and take nothing. Rows with the same id don't remove from one another. An
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, store
+from .common import store
 
 WINDOW = 13
 GRAM = 6
@@ -84,139 +87,174 @@ def _ends(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([True], change)), np.concatenate((change, [True]))
 
 
-# ------------------------------------------------------------------- seeds
+def stretches(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, hash of its stretch, its first window, the window behind its last) for each anchor of a text.
 
+    The hash covers the stretch's windows and their places around the anchor; its last bit is clear, like an anchor's.
+    """
+    grams, at = anchors(ids)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    place = (np.arange(len(at)) - at).astype(np.uint64)
+    whole = np.add.reduceat(_mixed(_runs(ids, WINDOW, 1) + place * FACTORS[0, -1]), first)
+    return grams[at[first]], whole, first, np.concatenate((first[1:], [len(at)]))
 
-def _seed_batch(texts: list[bytes], docs: np.ndarray, words: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (anchor, doc) of a batch. The last bit marks anchors that are known to lie in several documents and
-    whose first and last document of the batch are sent unmarked."""
-    parts = []
-    for text, doc in zip(texts, docs):
-        ids = words.of(text.split())
-        if len(ids) >= WINDOW:
-            grams, at = anchors(ids)
-            own = np.unique(grams[at])
-            parts.append((own, np.full(len(own), doc, np.int64)))
-    if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    keys, owners = (np.concatenate(p) for p in zip(*parts))
-    order = np.lexsort((owners, keys))
-    keys, owners = keys[order], owners[order]
-    one = _ends(keys, owners)[0]
-    keys, owners = keys[one], owners[one]
-    first, last = _ends(keys)
-    return keys | (~first & ~last).astype(np.uint64), owners
-
-
-def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows by their keys, marked ones anywhere, sorted by keys and document."""
-    marked = F.col(keys[0]).bitwiseAND(F.lit(1)) == 1
-    return rows.repartition(F.when(marked, F.xxhash64(*keys, "doc")).otherwise(F.xxhash64(*keys))).sortWithinPartitions(
-        *keys, "doc"
-    )
 
+def _packed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else zlib.compress(t, 1))
 
-def repeated_anchors(documents: DataFrame) -> DataFrame:
-    """Stored rows (doc, anchors): of each document the anchors that other documents have too."""
 
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Hashes()
-        for batch in batches:
-            keys, docs = _seed_batch(batch.column(1).to_pylist(), batch.column(0).to_numpy(), words)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(docs)], ["anchor", "doc"])
+def packed(text: Column) -> Column:
+    """A text for a shuffle; half of what the shuffle's own compression leaves."""
+    return F.pandas_udf(_packed, "binary")(text.cast("binary"))
+
+
+# ------------------------------------------------------------------- seeds
+
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the key of the last run, its first document, whether that was passed on
+def _batch_rows(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows of keys and a document, sorted. The last bit of the first key marks rows whose keys a smaller
+    document of the batch has."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    one = _ends(*columns)[0]
+    columns = [c[one] for c in columns]
+    marked = ~_ends(*columns[:-1])[0]
+    return columns[0] | marked.astype(np.uint64), *columns[1:]
+
+
+def _dealt(rows: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
+    """Rows by their first keys, marked ones anywhere, sorted by all keys and document."""
+    marked = F.col(by[0]).bitwiseAND(F.lit(1)) == 1
+    where = F.when(marked, F.xxhash64(*keys, "doc")).otherwise(F.xxhash64(*by))
+    return rows.repartition(where).sortWithinPartitions(*keys, "doc")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (anchor, stretch, doc): those with a smaller document beside the same stretch, which are lost, and the first
+    document of each of an anchor's several stretches, which are open."""
+    held = None  # anchor, stretch, its first document, whether that waits, whether the anchor has several stretches
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, stretch, docs = (batch.column(i).to_numpy() for i in range(3))
+        waits, several = np.ones(len(docs), bool), False
+        ghost = bool(held and held[0] == anchor[0])
+        if ghost:
+            anchor, stretch, docs = (np.concatenate(([x], y)) for x, y in zip(held, (anchor, stretch, docs)))
+            waits, several = np.concatenate(([held[3]], waits)), held[4]
+        of_anchor, of_stretch = _ends(anchor)[0], _ends(anchor, stretch)[0]
+        run = np.cumsum(of_anchor) - 1
+        many = np.bincount(run, of_stretch) > 1
+        many[0] |= several
+        at = np.flatnonzero(of_stretch)
+        first = docs[at][np.cumsum(of_stretch) - 1]
+        marked = (anchor & 1) == 1
+        lost = marked | (docs > first)
+        opened = of_stretch & many[run] & waits & ~marked
+        held = (anchor[-1], stretch[-1], first[-1], not many[-1], bool(many[-1]))
+        out = lost | opened
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(docs[out]), pa.array(stretch[out]), pa.array(lost[out])], ["doc", "stretch", "lost"]
+        )
+
+
+def seeds(documents: DataFrame) -> DataFrame:
+    """Stored rows (doc, lost, opened) of hashes of stretches: those to be removed, and those whose windows are open."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Hashes()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            out = np.ones(len(keys), bool)
-            if held and held[0] == keys[0]:
-                keys, docs = np.concatenate(([held[0]], keys)), np.concatenate(([held[1]], docs))
-                out = np.concatenate(([not held[2]], out))
-            start, end = _ends(keys)
-            starts, run = np.flatnonzero(start), np.cumsum(start) - 1
-            several = docs[starts] != docs[np.flatnonzero(end)]
-            keep = several[run] | ((keys & 1) == 1)
-            held = (keys[-1], docs[starts[-1]], bool(keep[-1]))
-            keep &= out
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep] & ~1), pa.array(docs[keep])], ["anchor", "doc"])
-
-    schema = "anchor long, doc long"
-    found = _dealt(documents.mapInArrow(seeds, schema), "anchor").mapInArrow(shared, schema)
-    return store(found.groupBy("doc").agg(F.collect_set("anchor").alias("anchors")))
+            parts = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = words.of(text.split())
+                if len(ids) >= WINDOW:
+                    anchor, stretch, _, _ = stretches(ids)
+                    parts.append((anchor, stretch.view(np.int64), np.full(len(anchor), doc, np.int64)))
+            if parts:
+                anchor, stretch, docs = _batch_rows(*(np.concatenate(p) for p in zip(*parts)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.view(np.int64)), pa.array(stretch), pa.array(docs)], ["anchor", "stretch", "doc"]
+                )
+
+    rows = documents.mapInArrow(work, "anchor long, stretch long, doc long")
+    found = _dealt(rows, ["anchor"], ["anchor", "stretch"]).mapInArrow(_shared, "doc long, stretch long, lost boolean")
+    return store(found.groupBy("doc").agg(
+        F.collect_set(F.when(F.col("lost"), F.col("stretch"))).alias("lost"),
+        F.collect_set(F.when(~F.col("lost"), F.col("stretch"))).alias("opened"),
+    ))
 
 
 # ----------------------------------------------------------------- windows
 
 
-def _windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _runs(ids, WINDOW, 1), _runs(ids, WINDOW, 2)
+def _inside(first: np.ndarray, after: np.ndarray, number: int) -> np.ndarray:
+    """Which of so many windows lie in one of the stretches."""
+    edge = np.zeros(number + 1, np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, after, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (a, b, doc): the windows that a smaller document has too."""
+    held = None  # the key of the last run and its smallest document
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b, docs = (batch.column(i).to_numpy() for i in range(3))
+        if held and held[:2] == (a[0], b[0]):
+            a, b, docs = (np.concatenate(([x], y)) for x, y in zip(held, (a, b, docs)))
+        start = _ends(a, b)[0]
+        least = docs[np.flatnonzero(start)][np.cumsum(start) - 1]
+        held = (a[-1], b[-1], least[-1])
+        keep = (docs > least) | ((a & 1) == 1)
+        yield pa.RecordBatch.from_arrays([pa.array(a[keep] & ~1), pa.array(docs[keep])], ["a", "doc"])
 
 
-def removed_windows(documents: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Stored rows (doc, windows): of each document the windows that a smaller id has too."""
+def removed_windows(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (doc, windows): of the open stretches the windows that a smaller id has too."""
 
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Hashes()
         for batch in batches:
             parts = []
-            docs = batch.column(0).to_numpy()
-            for doc, text, seeds in zip(docs, batch.column(1).to_pylist(), batch.column(2)):
-                ids = words.of(text.split())
+            for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                ids = words.of(zlib.decompress(text).split())
                 if len(ids) < WINDOW:
                     continue
-                grams, at = anchors(ids)
-                own = np.flatnonzero(np.isin(grams[at].view(np.int64), seeds.values.to_numpy()))
-                a, b = _windows(ids)
-                parts.append((a[own], b[own], np.full(len(own), doc, np.int64)))
-            if not parts:
-                continue
-            a, b, owners = (np.concatenate(p) for p in zip(*parts))
-            if not len(a):
-                continue
-            order = np.lexsort((owners, b, a))
-            a, b, owners = a[order], b[order], owners[order]
-            one = _ends(a, b, owners)[0]
-            a, b, owners = a[one], b[one], owners[one]
-            a = a | (~_ends(a, b)[0]).astype(np.uint64)  # another document of this batch has it and a smaller id
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(owners)], ["a", "b", "doc"]
-            )
-
-    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the key of the last run and its smallest document
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b, docs = (batch.column(i).to_numpy() for i in range(3))
-            if held and held[:2] == (a[0], b[0]):
-                a, b, docs = (np.concatenate(([x], y)) for x, y in zip(held, (a, b, docs)))
-            start = _ends(a, b)[0]
-            least = docs[np.flatnonzero(start)][np.cumsum(start) - 1]
-            held = (a[-1], b[-1], least[-1])
-            keep = (docs > least) | ((a & 1) == 1)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep] & ~1), pa.array(docs[keep])], ["a", "doc"])
-
-    found = documents.join(repeated, "doc").select("doc", "text", "anchors")
-    found = found.mapInArrow(extended, "a long, b long, doc long")
-    found = _dealt(found, "a", "b").mapInArrow(later, "a long, doc long")
-    return store(found.groupBy("doc").agg(F.collect_set("a").alias("windows")))
+                _, stretch, first, after = stretches(ids)
+                hit = np.isin(stretch.view(np.int64), own.values.to_numpy())
+                at = np.flatnonzero(_inside(first[hit], after[hit], len(ids) - WINDOW + 1))
+                a, b = _runs(ids, WINDOW, 1)[at], _runs(ids, WINDOW, 2)[at]
+                parts.append((a, b, np.full(len(at), doc, np.int64)))
+            rows = [np.concatenate(p) for p in zip(*parts)]
+            if rows and len(rows[0]):
+                a, b, docs = _batch_rows(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(docs)], ["a", "b", "doc"]
+                )
+
+    opened = found.where(F.size("opened") > 0).select("doc", "opened")
+    rows = documents.select("doc", packed(F.col("text")).alias("text")).join(opened, "doc")
+    rows = rows.select("doc", "text", "opened").mapInArrow(extended, "a long, b long, doc long")
+    later = _dealt(rows, ["a", "b"], ["a", "b"]).mapInArrow(_later, "a long, doc long")
+    return later.groupBy("doc").agg(F.collect_set("a").alias("windows"))
 
 
 # ------------------------------------------------------------------- texts
 
 
-def _covered(words: list[bytes], windows: np.ndarray, hashes: _Hashes) -> np.ndarray:
-    """Which words lie in one of the windows."""
+def _covered(words: list[bytes], lost: np.ndarray, windows: np.ndarray, hashes: _Hashes) -> np.ndarray:
+    """Which words lie in one of the windows, or in a window of the stretches."""
     ids = hashes.of(words)
-    n = len(ids) - WINDOW + 1
-    covered = np.zeros(len(ids) + 1, np.int64)
-    at = np.flatnonzero(np.isin(_runs(ids, WINDOW, 1).view(np.int64), windows)) if n > 0 else []
-    np.add.at(covered, at, 1)
-    np.add.at(covered, np.asarray(at, np.int64) + WINDOW, -1)
-    return np.cumsum(covered)[:-1] > 0
+    if len(ids) < WINDOW:
+        return np.zeros(len(ids), bool)
+    _, stretch, first, after = stretches(ids)
+    hit = np.isin(stretch.view(np.int64), lost)
+    removed = _inside(first[hit], after[hit], len(ids) - WINDOW + 1)
+    removed |= np.isin(_runs(ids, WINDOW, 1).view(np.int64), windows)
+    at = np.flatnonzero(removed)
+    return _inside(at, at + WINDOW, len(ids))
 
 
 def _spans(covered: np.ndarray) -> list[tuple[int, int]]:
@@ -239,34 +277,40 @@ FOUND = "n_words long, n_removed long, kept_sha256 string, spans array<struct<fi
 
 
 def _kept(with_text: bool) -> Column:
-    def work(texts: pd.Series, windows: pd.Series) -> pd.DataFrame:
+    def work(texts: pd.Series, lost: pd.Series, windows: pd.Series) -> pd.DataFrame:
         hashes, rows = _Hashes(), []
-        for text, own in zip(texts, windows):
-            text = text or b""
-            words = text.split()
-            if own is None or not len(own):
-                rows.append((len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest(), [], None))
-                continue
-            covered = _covered(words, np.asarray(own, np.int64), hashes)
-            spans = _spans(covered)
-            kept = b" ".join(w for w, c in zip(words, covered.tolist()) if not c)
-            shown = _cut(text, spans).decode() if with_text else None
+        for text, *own in zip(texts, lost, windows):
+            given = b"" if text is None else zlib.decompress(text)
+            words = given.split()
+            own = [np.empty(0, np.int64) if x is None else np.asarray(x, np.int64) for x in own]
+            spans, kept = [], words
+            if len(own[0]) or len(own[1]):
+                covered = _covered(words, *own, hashes)
+                spans = _spans(covered)
+                kept = [w for w, c in zip(words, covered.tolist()) if not c]
+            shown = _cut(given, spans).decode() if with_text and text is not None else None
             rows.append((
-                len(words), int(covered.sum()), hashlib.sha256(kept).hexdigest(),
+                len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(),
                 [{"first": a, "after": b} for a, b in spans], shown,
             ))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
 
-    return F.pandas_udf(work, FOUND)(F.col("text").cast("binary"), F.col("windows"))
+    return F.pandas_udf(work, FOUND)("packed_text", "lost", "windows")
 
 
-def _with_windows(documents: DataFrame, columns: list[Column]) -> DataFrame:
+def _with_found(documents: DataFrame, columns: list[Column], with_text: bool) -> DataFrame:
+    """The given columns and ``found`` of every document."""
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("text")
     ).where("doc IS NOT NULL AND text IS NOT NULL")
-    found = removed_windows(rows, repeated_anchors(rows)).withColumnRenamed("doc", "of")
-    own = documents.select(*columns, F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("text"))
-    return own.join(found, F.col("doc") == F.col("of"), "left")
+    seeded = seeds(rows)
+    windows = removed_windows(rows, seeded)
+    lost = seeded.where(F.size("lost") > 0).select("doc", "lost")
+    found = store(lost.join(windows, "doc", "full")).withColumnRenamed("doc", "of")
+    own = documents.select(
+        *columns, F.col("doc_id").cast("long").alias("doc"), packed(F.col("text")).alias("packed_text")
+    )
+    return own.join(found, F.col("doc") == F.col("of"), "left").withColumn("found", _kept(with_text))
 
 
 def repeats(documents: DataFrame) -> DataFrame:
@@ -274,10 +318,8 @@ def repeats(documents: DataFrame) -> DataFrame:
 
     spans are the maximal repeats: number of the first word, and of the first one behind.
     """
-    rows = _with_windows(documents, [F.col("doc_id")])
-    return rows.select("doc_id", _kept(False).alias("found")).select(
-        "doc_id", *[f"found.{c}" for c in ("n_words", "n_removed", "kept_sha256", "spans")]
-    )
+    rows = _with_found(documents, [F.col("doc_id")], False)
+    return rows.select("doc_id", *[f"found.{c}" for c in ("n_words", "n_removed", "kept_sha256", "spans")])
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
@@ -285,10 +327,11 @@ def deduplicated(documents: DataFrame) -> DataFrame:
 
     A text of which nothing is removed stays as it is; ``n_chars``, where there is one, follows the text.
     """
-    rows = _with_windows(documents, [F.struct("*").alias("row")]).withColumn("found", _kept(True))
-    text = F.coalesce("found.kept_text", "row.text")
-    changed = F.col("row").withField("text", text)
-    if "n_chars" in documents.columns:
-        length = F.when(F.col("found.n_removed") > 0, F.length(text)).otherwise(F.col("row.n_chars"))
-        changed = changed.withField("n_chars", length.cast(documents.schema["n_chars"].dataType))
-    return rows.select(changed.alias("row")).select("row.*")
+    others = F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]).alias("row")
+    rows = _with_found(documents, [others], True)
+    own = {c: F.col("row").getField(c) for c in documents.columns if c != "text"}
+    own["text"] = F.col("found.kept_text")
+    if "n_chars" in own:
+        length = F.when(F.col("found.n_removed") > 0, F.length(own["text"])).otherwise(own["n_chars"])
+        own["n_chars"] = length.cast(documents.schema["n_chars"].dataType)
+    return rows.select(*[own[c].alias(c) for c in documents.columns])
