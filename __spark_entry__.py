@@ -32,16 +32,15 @@ try:
 except ImportError:
     corpus_pipeline = None
 
-ROUNDS = 12
 STATIC_ROUNDS = 15
-DELTA_TOL = 1.0e-3
+DELTA_TOL = 1.0e-8
 DIGITS = 8
 
 
 def entry(spark: SparkSession) -> DataFrame:
     """Suppliers and customers of the trade graph by PageRank."""
     graph = _trade(spark, "/root/testdata/sf0.001")
-    rank = lg.normalized(_short_rank(graph), graph)
+    rank = lg.normalized(_rank(graph), graph)
     return rank.select("id", "page_rank", "page_rank_normalized").orderBy(F.desc("page_rank"), "id")
 
 
@@ -72,17 +71,25 @@ def _accounts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _trade(spark: SparkSession, sf: str) -> Graph:
-    return lg.stored(lg.graph_from_edges(_trade_links(spark, sf), weight="weight"))
+    return lg.stored(lg.graph_from_edges(_trade_links(spark, sf), weight="weight", distinct=True))
 
 
 def _account_graph(spark: SparkSession, sf: str) -> Graph:
     links = lg.graph_from_edges(
         _trade_links(spark, sf), weight="weight",
-        vertices=_accounts(spark, sf), name="c_name", node_weight="c_acctbal",
+        vertices=_accounts(spark, sf), name="c_name", node_weight="c_acctbal", distinct=True,
     )
     return lg.stored(links)
 
 
+def _account_nodes(spark: SparkSession, sf: str) -> Graph:
+    """The accounts alone, for what doesn't depend on links."""
+    none = spark.createDataFrame([], "src string, dst string")
+    return lg.graph_from_edges(
+        none, vertices=_accounts(spark, sf), name="c_name", node_weight="c_acctbal", distinct=True
+    )
+
+
 def _user_links(spark: SparkSession, sf: str) -> DataFrame:
     events = _table(spark, sf, "events").select("ts", "event_id", "user_id", "value")
     placed = lg.with_position(events, [F.col("ts"), F.col("event_id")], "pos")
@@ -100,7 +107,7 @@ def _places(spark: SparkSession, sf: str) -> Graph:
     lower = customers.select(_tagged("c", "c_custkey").alias("src"), _tagged("n", "c_nationkey").alias("dst"))
     upper = nations.select(_tagged("n", "n_nationkey").alias("src"), _tagged("r", "n_regionkey").alias("dst"))
     upward = lower.union(upper)
-    return lg.stored(lg.graph_from_edges(upward.union(upward.select("dst", "src"))))
+    return lg.stored(lg.graph_from_edges(upward.union(upward.select("dst", "src")), distinct=True))
 
 
 def _nations(spark: SparkSession, sf: str) -> Graph:
@@ -114,7 +121,17 @@ def _nations(spark: SparkSession, sf: str) -> Graph:
         .agg(F.sum("l_quantity").alias("weight"))
     )
     names = _table(spark, sf, "nation").select(_tagged("n", "n_nationkey").alias("id"), "n_name")
-    return lg.stored(lg.graph_from_edges(links, weight="weight", vertices=names, name="n_name"))
+    return lg.stored(lg.graph_from_edges(links, weight="weight", vertices=names, name="n_name", distinct=True))
+
+
+def _last_users(spark: SparkSession, sf: str) -> DataFrame:
+    """The users of the last event of each type."""
+    last = _table(spark, sf, "events").groupBy("event_type").agg(F.max_by("user_id", "event_id").alias("user_id"))
+    return last.select(_tagged("u", "user_id").alias("id")).distinct()
+
+
+def _regions(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "region").select(_tagged("r", "r_regionkey").alias("id"))
 
 
 # --------------------------------------------------------------- queries
@@ -124,8 +141,8 @@ def _rounded(frame: DataFrame, *columns: str) -> DataFrame:
     return frame.withColumns({c: F.round(F.col(c), DIGITS) for c in columns})
 
 
-def _short_rank(graph: Graph, teleport: str = "total_weight") -> DataFrame:
-    return lg.pagerank(graph, teleport=teleport, max_iter=ROUNDS, min_iter=ROUNDS)
+def _rank(graph: Graph, teleport: str = "total_weight") -> DataFrame:
+    return lg.pagerank(graph, teleport=teleport)
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -160,12 +177,12 @@ def _dangling_mass(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _teleport_flow_sorted(spark: SparkSession, sf: str) -> DataFrame:
-    rank = _short_rank(_account_graph(spark, sf))
+    rank = _rank(_account_graph(spark, sf))
     return _rounded(lg.sorted_metrics(rank, "teleport_flow"), "page_rank", "teleport_flow")
 
 
 def _user_metrics(graph: Graph) -> DataFrame:
-    return store(lg.metrics_table(graph, rank=_short_rank(graph)))
+    return store(lg.metrics_table(graph, rank=_rank(graph)))
 
 
 def _rounded_metrics(metrics: DataFrame) -> DataFrame:
@@ -190,6 +207,29 @@ def _static_rendered(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded_metrics(_fields(lg.rendered(lg.static_rank_metrics(scores, graph), SEP_TIGHT)))
 
 
+def _static_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks keyed by number for a graph keyed by text, written with the nodes' own betweenness."""
+    links = _nations(spark, sf).edges.select(F.substring("src", 2, 9).alias("src"), F.substring("dst", 2, 9).alias("dst"))
+    graph = lg.stored(lg.graph_from_edges(links, distinct=True))
+    ranks = lg.pagerank_static(graph, STATIC_ROUNDS).vertices.withColumn("id", F.col("id").cast("long"))
+    scores = lg.betweenness(graph).withColumn("id", F.col("id").cast("long"))
+    folder = _scratch(spark)
+    return _rounded_metrics(lg.read_metrics(spark, lg.write_static_rank(ranks, graph, folder, "nations", scores)))
+
+
+def _metrics_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    path = _scratch(spark)
+    lg.write_metrics_parquet(_user_metrics(_users(spark, sf)), path)
+    return _rounded_metrics(spark.read.parquet(path))
+
+
+def _network_metrics_file(spark: SparkSession, sf: str) -> DataFrame:
+    given, out = _scratch(spark), _scratch(spark)
+    lg.write_pajek(_users(spark, sf), given)
+    lg.network_metrics(spark, given, out, with_betweenness=True)
+    return _rounded_metrics(lg.read_metrics(spark, out))
+
+
 def _betweenness_rendered(spark: SparkSession, sf: str) -> DataFrame:
     graph = _places(spark, sf)
     return _rounded_metrics(_fields(lg.rendered(lg.betweenness_metrics(lg.betweenness(graph), graph), SEP_TIGHT)))
@@ -245,16 +285,16 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return lambda spark, sf: _rounded(of(store(_trade_links(spark, sf))), "share")
 
     def teleport(rule):
-        return lambda spark, sf: _rounded(lg.teleport_weights(_account_graph(spark, sf), rule), "teleport")
+        return lambda spark, sf: _rounded(lg.teleport_weights(_account_nodes(spark, sf), rule), "teleport")
 
     def account_rank(rule):
         return lambda spark, sf: _rounded(
-            _short_rank(_account_graph(spark, sf), rule).select("id", "page_rank"), "page_rank"
+            _rank(_account_graph(spark, sf), rule).select("id", "page_rank"), "page_rank"
         )
 
     def normalized_rank(spark, sf):
         graph = _trade(spark, sf)
-        rank = lg.normalized(_short_rank(graph).select("id", "page_rank"), graph)
+        rank = lg.normalized(_rank(graph).select("id", "page_rank"), graph)
         return _rounded(rank, "page_rank", "page_rank_normalized")
 
     def accounts_dangling(spark, sf):
@@ -282,16 +322,24 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pagerank_static": lambda spark, sf: _rounded(
             lg.pagerank_static(_users(spark, sf), STATIC_ROUNDS).vertices, "page_rank"
         ),
+        "pagerank_static_from_one": lambda spark, sf: _rounded(
+            lg.pagerank_static(_users(spark, sf), STATIC_ROUNDS, initial_rank=1.0).vertices, "page_rank"
+        ),
         "pagerank_delta": lambda spark, sf: _rounded(
             lg.pagerank_delta(_users(spark, sf), DELTA_TOL).vertices, "page_rank"
         ),
         "teleport_flow_sorted": _teleport_flow_sorted,
-        "bfs_levels": lambda spark, sf: lg.shortest_paths(_places(spark, sf)).select("source", "id", "dist"),
-        "path_counts": lambda spark, sf: lg.shortest_paths(_users(spark, sf)),
+        "bfs_levels": lambda spark, sf: lg.shortest_paths(
+            _places(spark, sf), _regions(spark, sf)
+        ).select("source", "id", "dist"),
+        "path_counts": lambda spark, sf: lg.shortest_paths(_users(spark, sf), _last_users(spark, sf)),
         "touched_nodes": lambda spark, sf: spark.range(1).select(
             F.lit(lg.touched_nodes(_places(spark, sf))).cast("long").alias("touched")
         ),
         "betweenness": lambda spark, sf: _rounded(lg.betweenness(_users(spark, sf)), "betweenness"),
+        "betweenness_sources": lambda spark, sf: _rounded(
+            lg.betweenness(_users(spark, sf), _last_users(spark, sf)), "betweenness"
+        ),
         "betweenness_places": lambda spark, sf: _rounded(lg.betweenness(_places(spark, sf)), "betweenness"),
         "metrics_table": lambda spark, sf: _rounded_metrics(_user_metrics(_users(spark, sf))),
         "rank_positions": lambda spark, sf: lg.rank_positions(
@@ -299,7 +347,10 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "metrics_sorted": lambda spark, sf: lg.sorted_metrics(_rounded_metrics(_user_metrics(_users(spark, sf)))),
         "metrics_rendered": _metrics_rendered,
+        "metrics_parquet": _metrics_parquet,
+        "network_metrics_file": _network_metrics_file,
         "static_rank_rendered": _static_rendered,
+        "static_rank_scored": _static_scored,
         "betweenness_rendered": _betweenness_rendered,
         "metrics_round_trip": _metrics_round_trip,
         "metrics_sorted_file": _metrics_sorted_file,
@@ -313,6 +364,9 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # Shortest paths are unrolled to this many levels; all graphs here are shallower.
 LEVELS = 6
 
+# Rounds by which every rank here has settled to the digits compared.
+RANK_ROUNDS = 200
+
 TRADE = """
 links AS MATERIALIZED (
   SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, SUM(l_quantity) AS weight
@@ -416,8 +470,18 @@ def _paths_sql() -> str:
     return ",\n".join([*parts, f"paths AS ({every})"])
 
 
-def _betweenness_sql() -> str:
-    """CTEs after paths: scores (id, betweenness)."""
+LAST_USERS = "(SELECT 'u' || arg_max(user_id, event_id) FROM events GROUP BY event_type)"
+
+NATIONS = """
+links AS MATERIALIZED (
+  SELECT DISTINCT c_nationkey::VARCHAR AS src, s_nationkey::VARCHAR AS dst
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey)"""
+
+
+def _betweenness_sql(sources: str = "") -> str:
+    """CTEs after paths: scores (id, betweenness), of chosen sources if they are given."""
+    chosen = f"WHERE source IN {sources}" if sources else ""
     parts = [f"back_{LEVELS} AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS delta FROM level_{LEVELS})"]
     for k in range(LEVELS - 1, 0, -1):
         parts.append(f"""back_{k} AS MATERIALIZED (
@@ -425,7 +489,7 @@ def _betweenness_sql() -> str:
   FROM level_{k} v LEFT JOIN links l ON l.src = v.id
   LEFT JOIN back_{k + 1} w ON w.source = v.source AND w.id = l.dst
   GROUP BY 1, 2, 3)""")
-    every = " UNION ALL ".join(f"SELECT id, delta FROM back_{k}" for k in range(1, LEVELS + 1))
+    every = " UNION ALL ".join(f"SELECT id, delta FROM back_{k} {chosen}" for k in range(1, LEVELS + 1))
     return ",\n".join([*parts, f"""scores AS (
   SELECT n.id, COALESCE(SUM(b.delta), 0) AS betweenness FROM nodes n LEFT JOIN ({every}) b ON b.id = n.id GROUP BY 1)"""])
 
@@ -454,7 +518,7 @@ def _own_sql() -> dict[str, str]:
     places = (PLACES, ENDPOINTS)
     paths = _paths_sql()
     between = (paths, _betweenness_sql())
-    user_metrics = (*users, _power_sql("total_weight", ROUNDS), *between, METRICS_SQL)
+    user_metrics = (*users, _power_sql("total_weight", RANK_ROUNDS), *between, METRICS_SQL)
     all_metrics = _with(*user_metrics, then="SELECT * FROM metrics")
     place_metrics = _with(*places, *between, then="""
 SELECT n.id, COALESCE(i.n, 0) AS in_degree, 0.0::DOUBLE AS page_rank, 0.0::DOUBLE AS page_rank_normalized,
@@ -497,20 +561,28 @@ SELECT id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.src = n.i
 SELECT COUNT(*) AS dangling_count,
        ROUND(COALESCE(SUM(node_weight), 0) / (SELECT SUM(node_weight) FROM nodes), 8) AS dangling_mass
 FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.src = n.id)"""),
-        "pagerank_power": _with(*users, _power_sql("total_weight", 200), then=rank),
-        "pagerank_node_weighted": _with(*accounts, _power_sql("total_weight", ROUNDS), then=rank),
-        "pagerank_count_teleport": _with(*accounts, _power_sql("count", ROUNDS), then=rank),
-        "pagerank_normalized": _with(TRADE, ENDPOINTS, _power_sql("total_weight", ROUNDS), then="""
+        "pagerank_power": _with(*users, _power_sql("total_weight", RANK_ROUNDS), then=rank),
+        "pagerank_node_weighted": _with(*accounts, _power_sql("total_weight", RANK_ROUNDS), then=rank),
+        "pagerank_count_teleport": _with(*accounts, _power_sql("count", RANK_ROUNDS), then=rank),
+        "pagerank_normalized": _with(TRADE, ENDPOINTS, _power_sql("total_weight", RANK_ROUNDS), then="""
 SELECT id, ROUND(page_rank, 8) AS page_rank,
        ROUND(page_rank * (SELECT COUNT(*) FROM links), 8) AS page_rank_normalized FROM final"""),
         "pagerank_static": _with(*users, STATIC_SQL, then=rank),
+        "pagerank_static_from_one": _with(
+            *users, STATIC_SQL.replace("SELECT 0, id, 0.15::DOUBLE", "SELECT 0, id, 1.0::DOUBLE"), then=rank
+        ),
         "pagerank_delta": _with(*users, DELTA_SQL, then=rank),
-        "teleport_flow_sorted": _with(*accounts, _power_sql("total_weight", ROUNDS), then="""
+        "teleport_flow_sorted": _with(*accounts, _power_sql("total_weight", RANK_ROUNDS), then="""
 SELECT id, ROUND(page_rank, 8) AS page_rank, ROUND(teleport_flow, 8) AS teleport_flow FROM final"""),
-        "bfs_levels": _with(*places, paths, then="SELECT source, id, dist FROM paths"),
-        "path_counts": _with(*users, paths, then="SELECT source, id, dist, sigma FROM paths"),
+        "bfs_levels": _with(*places, paths, then="""
+SELECT source, id, dist FROM paths WHERE source IN (SELECT 'r' || r_regionkey FROM region)"""),
+        "path_counts": _with(*users, paths, then=f"""
+SELECT source, id, dist, sigma FROM paths WHERE source IN {LAST_USERS}"""),
         "touched_nodes": _with(*places, paths, then="SELECT COUNT(*) AS touched FROM paths"),
         "betweenness": _with(*users, *between, then="SELECT id, ROUND(betweenness, 8) AS betweenness FROM scores"),
+        "betweenness_sources": _with(
+            *users, paths, _betweenness_sql(LAST_USERS), then="SELECT id, ROUND(betweenness, 8) AS betweenness FROM scores"
+        ),
         "betweenness_places": _with(
             *places, *between, then="SELECT id, ROUND(betweenness, 8) AS betweenness FROM scores"
         ),
@@ -521,10 +593,17 @@ SELECT *, ROW_NUMBER() OVER (ORDER BY in_degree DESC, id) AS cite_count_rank,
        ROW_NUMBER() OVER (ORDER BY betweenness DESC, id) AS betweenness_rank FROM metrics"""),
         "metrics_sorted": all_metrics,
         "metrics_rendered": all_metrics,
+        "metrics_parquet": all_metrics,
+        "network_metrics_file": all_metrics.replace("(SELECT COUNT(*) FROM raw)", "(SELECT COUNT(*) FROM links)"),
         "static_rank_rendered": _with(*users, STATIC_SQL, then="""
 SELECT n.id, COALESCE(i.n, 0) AS in_degree, ROUND(f.page_rank / (SELECT COUNT(*) FROM raw), 8) AS page_rank,
        ROUND(f.page_rank, 8) AS page_rank_normalized, 0.0::DOUBLE AS betweenness, n.name
 FROM nodes n JOIN final f ON f.id = n.id
+LEFT JOIN (SELECT dst, COUNT(*) AS n FROM links GROUP BY dst) i ON i.dst = n.id"""),
+        "static_rank_scored": _with(NATIONS, ENDPOINTS, STATIC_SQL, *between, then="""
+SELECT n.id, COALESCE(i.n, 0) AS in_degree, ROUND(f.page_rank / (SELECT COUNT(*) FROM links), 8) AS page_rank,
+       ROUND(f.page_rank, 8) AS page_rank_normalized, ROUND(s.betweenness, 8) AS betweenness, n.name
+FROM nodes n JOIN final f ON f.id = n.id JOIN scores s ON s.id = n.id
 LEFT JOIN (SELECT dst, COUNT(*) AS n FROM links GROUP BY dst) i ON i.dst = n.id"""),
         "betweenness_rendered": place_metrics,
         "metrics_round_trip": all_metrics,

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.loop import partitions_for, store
+from ..plans.loop import hashed, partitions_for, store
 
 
 def hub_limit(links: int, partitions: int) -> int:
@@ -34,6 +34,8 @@ class LinksBySource:
     light: DataFrame
     heavy: DataFrame | None
     is_hub: str
+    nodes: int
+    partitions: int
 
     def inflow(self, shares: DataFrame, value: str) -> DataFrame:
         """id, inflow: the sum of ``value`` over a node's incoming links.
@@ -43,7 +45,7 @@ class LinksBySource:
         """
         columns = ["dst AS id", f"{value} AS value"]
         # The hash tables hold nodes of one partition, never links.
-        sent = self.light.join(shares.hint("shuffle_hash"), "src").selectExpr(*columns)
+        sent = self.light.join(hashed(shares, self.nodes, self.partitions), "src").selectExpr(*columns)
         if self.heavy is not None:
             hubs = F.broadcast(shares.where(self.is_hub))
             sent = sent.union(self.heavy.join(hubs, "src").selectExpr(*columns))
@@ -56,18 +58,18 @@ class LinksBySource:
 
 
 def links_by_source(
-    edges: DataFrame, nodes: DataFrame, links: int, largest: int, partitions: int
+    edges: DataFrame, nodes: DataFrame, count: int, links: int, largest: int, partitions: int
 ) -> LinksBySource:
-    """Lay out ``edges`` by src. ``nodes`` has id and out_degree; ``largest`` is the
-    largest out-degree."""
+    """Lay out ``edges`` by src. ``nodes`` has ``count`` rows of id and out_degree; ``largest``
+    is the largest out-degree."""
     limit = hub_limit(links, partitions)
     is_hub = f"out_degree > {limit}"
     if largest <= limit:
-        return LinksBySource(edges.repartition(partitions, "src").persist(), None, is_hub)
+        return LinksBySource(edges.repartition(partitions, "src").persist(), None, is_hub, count, partitions)
     hubs = F.broadcast(nodes.where(is_hub).selectExpr("id AS src"))
     light = edges.join(hubs, "src", "left_anti").repartition(partitions, "src").persist()
     heavy = edges.join(hubs, "src", "left_semi").repartition(partitions, "src", "dst").persist()
-    return LinksBySource(light, heavy, is_hub)
+    return LinksBySource(light, heavy, is_hub, count, partitions)
 
 
 def join_per_end(edges: DataFrame, totals: DataFrame, end: str) -> DataFrame:
@@ -94,15 +96,16 @@ class LinksByEnd:
     links: DataFrame
     end: str
     hubs: DataFrame | None
+    partitions: int
 
-    def meet(self, rows: DataFrame) -> DataFrame:
-        """Join ``rows`` to the links by ``end``, a column of both."""
+    def meet(self, rows: DataFrame, count: int) -> DataFrame:
+        """Join ``rows``, of which there are ``count``, to the links by ``end``, a column of both."""
         if self.hubs is None:
-            return self.links.join(rows.hint("shuffle_hash"), self.end)
+            return self.links.join(hashed(rows, count, self.partitions), self.end)
         salted = rows.join(F.broadcast(self.hubs), self.end, "left").selectExpr(
             *rows.columns, "explode(sequence(0, coalesce(salts, 1) - 1)) AS salt"
         )
-        return self.links.join(salted.hint("shuffle_hash"), [self.end, "salt"])
+        return self.links.join(hashed(salted, count, self.partitions), [self.end, "salt"])
 
     def release(self) -> None:
         self.links.unpersist()
@@ -124,8 +127,8 @@ def links_by_end(edges: DataFrame, end: str, links: int, partitions: int) -> Lin
     )
     if hubs.isEmpty():
         hubs.unpersist()
-        return LinksByEnd(pairs.repartition(partitions, end).persist(), end, None)
+        return LinksByEnd(pairs.repartition(partitions, end).persist(), end, None, partitions)
     salted = pairs.join(F.broadcast(hubs), end, "left").select(
         "src", "dst", F.pmod(F.hash(other), F.coalesce("salts", F.lit(1))).alias("salt")
     )
-    return LinksByEnd(salted.repartition(partitions, end, "salt").persist(), end, hubs)
+    return LinksByEnd(salted.repartition(partitions, end, "salt").persist(), end, hubs, partitions)

@@ -3,13 +3,17 @@ checkpoint per round, with only a few scalars on the driver."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..plans.loop import checkpoint, discard, fixed_layout, partitions_for
+from ..plans.loop import checkpoint, discard, fixed_layout, hashed, partitions_for
 from ..schema import Graph, GraphError
+from ..sources.tables import checked
 from .layout import LinksBySource, links_by_source
 from .weights import out_degree_share, teleport_divisor
 
@@ -25,11 +29,17 @@ ALPHA_STEP = 1.0e-10
 INITIAL_CHANGE = {"total_weight": 1.0, "count": 0.0}
 
 
-class RankedGraph(NamedTuple):
-    """vertices: id, page_rank. edges: src, dst, share (one over the out-degree)."""
+@dataclass(frozen=True)
+class RankedGraph:
+    """vertices: id, page_rank. edges: src, dst, share (one over the out-degree), which
+    is worked out when it is asked for."""
 
     vertices: DataFrame
-    edges: DataFrame
+    links: DataFrame
+
+    @property
+    def edges(self) -> DataFrame:
+        return out_degree_share(self.links)
 
 
 class _Start(NamedTuple):
@@ -57,13 +67,13 @@ def pagerank(
 
     Returns id, page_rank and teleport_flow, the next round's teleport part.
     """
+    graph = checked(graph)
     divisor = teleport_divisor(graph, teleport)
     header = graph.header.first()
     if not header["num_node"]:
         return _empty(graph, "page_rank", "teleport_flow")
     partitions = partitions or partitions_for(max(header["num_node"], header["link_lines"]))
-    with fixed_layout(graph.vertices.sparkSession, partitions):
-        start = _start(graph, ["src", "dst", "weight"], partitions)
+    with _started(graph, ["src", "dst", "weight"], header["num_node"], partitions) as start:
         nodes = start.totals["nodes"]
         teleport_sum = start.totals["node_weight"] / divisor
         first, state = start.state, start.state.withColumn("rank", F.lit(1.0 / nodes))
@@ -76,7 +86,8 @@ def pagerank(
             # What the new ranks will sum to before division, known from the old.
             total = teleported * teleport_sum + beta * (mass - dangling)
             shares = _shares(state, "rank / out_weight")
-            received = state.join(start.links.inflow(shares, "weight * share").hint("shuffle_hash"), "id", "left")
+            inflow = hashed(start.links.inflow(shares, "weight * share"), nodes, partitions)
+            received = state.join(inflow, "id", "left")
             step, base = _double(beta / total), _double(teleported / divisor / total)
             state, seen = _next_round(
                 received.selectExpr(
@@ -91,14 +102,12 @@ def pagerank(
             written = state
             mass, dangling, change = seen["mass"], seen["dangling"], seen["change"]
             if abs(mass - 1.0) > 1.0e-6:
-                start.links.release()
-                raise GraphError(f"ranks sum to {mass}: links name nodes that the vertices lack")
+                raise GraphError(f"ranks sum to {mass}: the graph changed meanwhile")
             if change == previous_change:
                 alpha += ALPHA_STEP
             previous_change = change
             if iteration >= min_iter and change <= tol:
                 break
-        start.links.release()
         discard(first)
     flow = F.lit((alpha + (1.0 - alpha) * dangling) / divisor) * F.col("node_weight")
     return state.select("id", F.col("rank").alias("page_rank"), flow.alias("teleport_flow"))
@@ -122,24 +131,23 @@ def pagerank_static(
 
     Link weights are ignored. ``initial_rank`` defaults to ``reset_prob``.
     """
+    graph = checked(graph)
     header = graph.header.first()
     if not header["num_node"]:
-        return RankedGraph(_empty(graph, "page_rank"), out_degree_share(graph.edges))
+        return RankedGraph(_empty(graph, "page_rank"), graph.edges)
     initial = reset_prob if initial_rank is None else initial_rank
     partitions = partitions or partitions_for(max(header["num_node"], header["link_lines"]))
-    with fixed_layout(graph.vertices.sparkSession, partitions):
-        start = _start(graph, ["src", "dst"], partitions)
+    with _started(graph, ["src", "dst"], header["num_node"], partitions) as start:
         state = start.state.selectExpr("id", "out_degree", f"{_double(initial)} AS rank")
         reset, step = _double(reset_prob), _double(1.0 - reset_prob)
         written = start.state
         for _ in range(num_iter):
             inflow = start.links.inflow(_shares(state, "rank / out_degree"), "share")
-            received = state.join(inflow.hint("shuffle_hash"), "id", "left")
+            received = state.join(hashed(inflow, start.totals["nodes"], partitions), "id", "left")
             state = checkpoint(received.selectExpr("id", "out_degree", f"{reset} + {step} * coalesce(inflow, 0D) AS rank"))
             discard(written)
             written = state
-        start.links.release()
-    return RankedGraph(state.select("id", F.col("rank").alias("page_rank")), out_degree_share(graph.edges))
+    return RankedGraph(state.select("id", F.col("rank").alias("page_rank")), graph.edges)
 
 
 def pagerank_delta(
@@ -150,12 +158,12 @@ def pagerank_delta(
     A node passes on what its rank just gained, once, and only if that exceeds
     ``tol``; smaller gains stay with the node and are not passed on later.
     """
+    graph = checked(graph)
     header = graph.header.first()
     if not header["num_node"]:
-        return RankedGraph(_empty(graph, "page_rank"), out_degree_share(graph.edges))
+        return RankedGraph(_empty(graph, "page_rank"), graph.edges)
     partitions = partitions or partitions_for(max(header["num_node"], header["link_lines"]))
-    with fixed_layout(graph.vertices.sparkSession, partitions):
-        start = _start(graph, ["src", "dst"], partitions)
+    with _started(graph, ["src", "dst"], header["num_node"], partitions) as start:
         reset, step = _double(reset_prob), _double(1.0 - reset_prob)
         state = start.state.selectExpr("id", "out_degree", f"{reset} AS rank", f"{reset} AS delta")
         written = start.state
@@ -164,7 +172,7 @@ def pagerank_delta(
         while sending:
             inflow = start.links.inflow(_shares(state.where(sends), "delta / out_degree"), "share")
             gain = f"{step} * coalesce(inflow, 0D)"
-            received = state.join(inflow.hint("shuffle_hash"), "id", "left")
+            received = state.join(hashed(inflow, start.totals["nodes"], partitions), "id", "left")
             state, seen = _next_round(
                 received.selectExpr("id", "out_degree", f"rank + {gain} AS rank", f"{gain} AS delta"),
                 sending=f"count_if({sends} AND out_degree > 0)",
@@ -172,17 +180,27 @@ def pagerank_delta(
             discard(written)
             written = state
             sending = seen["sending"]
-        start.links.release()
-    return RankedGraph(state.select("id", F.col("rank").alias("page_rank")), out_degree_share(graph.edges))
+    return RankedGraph(state.select("id", F.col("rank").alias("page_rank")), graph.edges)
+
+
+@contextmanager
+def _started(graph: Graph, link_columns: list[str], count: int, partitions: int) -> Iterator[_Start]:
+    """Nodes with their outgoing counts and sums, hashed by id; links laid out alike, and
+    released whatever happens in the rounds. Holds the fixed layout meanwhile."""
+    with fixed_layout(graph.vertices.sparkSession, partitions):
+        start = _start(graph, link_columns, count, partitions)
+        try:
+            yield start
+        finally:
+            start.links.release()
 
 
-def _start(graph: Graph, link_columns: list[str], partitions: int) -> _Start:
-    """Nodes with their outgoing counts and sums, hashed by id; links laid out alike."""
+def _start(graph: Graph, link_columns: list[str], count: int, partitions: int) -> _Start:
     sent = graph.edges.groupBy("src").agg(
         F.count(F.lit(1)).alias("out_degree"), F.sum("weight").alias("out_weight")
     )
     nodes = graph.vertices.select("id", "node_weight").repartition(partitions, "id")
-    state = nodes.join(sent.hint("shuffle_hash"), nodes["id"] == sent["src"], "left").select(
+    state = nodes.join(hashed(sent, count, partitions), nodes["id"] == sent["src"], "left").select(
         "id", "node_weight", F.coalesce("out_degree", F.lit(0)).alias("out_degree"), "out_weight"
     )
     state, totals = _next_round(
@@ -194,7 +212,7 @@ def _start(graph: Graph, link_columns: list[str], partitions: int) -> _Start:
         largest="max(out_degree)",
     )
     links = links_by_source(
-        graph.edges.select(*link_columns), state, totals["links"], totals["largest"], partitions
+        graph.edges.select(*link_columns), state, count, totals["links"], totals["largest"], partitions
     )
     return _Start(state, links, totals)
 

@@ -9,19 +9,25 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import ExitStack
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import or_zero
-from ..plans.loop import checkpoint, discard, fixed_layout, partitions_for, store
+from ..plans.loop import append, checkpoint, discard, fixed_layout, hashed, new_table, partitions_for, store
 from ..schema import Graph
+from ..sources.tables import checked
 from .layout import LinksByEnd, join_per_end, links_by_end
 
-# A batch of sources holds about this many rows of state, sources times nodes.
-BATCH_ROWS = 200_000_000
+# A batch of sources holds about this many rows of state, sources times nodes, for
+# each task the cluster runs at once. Callers may give a number of rows themselves.
+BATCH_ROWS_PER_TASK = 25_000_000
+
+# Chosen sources up to which their ids are broadcast when results get their ids back.
+BROADCAST_SOURCES = 1_000_000
 
 # State rows are a few numbers, and rows that meet links are summed up on the spot,
 # so a partition takes more of them than of nodes or links.
@@ -33,29 +39,37 @@ LEVELS_PER_TABLE = 16
 
 
 def shortest_paths(
-    graph: Graph, sources: DataFrame | None = None, batch_rows: int = BATCH_ROWS, partitions: int | None = None
+    graph: Graph, sources: DataFrame | None = None, batch_rows: int | None = None, partitions: int | None = None,
+    all_sources: bool = False,
 ) -> DataFrame:
     """source, id, dist, sigma: for every node a source reaches, the number of links on
-    a shortest path and the number of such paths. A source reaches itself at 0."""
+    a shortest path and the number of such paths. A source reaches itself at 0.
+
+    The result has up to sources times nodes rows, so paths from every node have to be
+    asked for by ``all_sources``.
+    """
+    if sources is None and not all_sources:
+        raise ValueError("give sources, or all_sources=True for paths from every node")
     searches = _Searches(graph, sources, batch_rows, partitions)
-    reached = []
+    table = _Appended(searches.spark, "source long, id long, dist int, sigma double")
     for batch in searches.batches():
-        levels = [
-            level.selectExpr("source", "id", f"{dist} AS dist", "sigma") for dist, level in enumerate(batch.levels)
-        ]
-        reached.append(store(reduce(DataFrame.union, levels)))
-    return searches.with_ids(reduce(DataFrame.union, reached), "source", "id")
+        for at in range(0, len(batch.levels), LEVELS_PER_TABLE):
+            table.add(reduce(DataFrame.union, [
+                level.selectExpr("source", "id", f"{dist} AS dist", "sigma")
+                for dist, level in enumerate(batch.levels[at : at + LEVELS_PER_TABLE], at)
+            ]))
+    return searches.with_ids(table.read(), "source", "id").select("source", "id", "dist", "sigma")
 
 
 def touched_nodes(
-    graph: Graph, sources: DataFrame | None = None, batch_rows: int = BATCH_ROWS, partitions: int | None = None
+    graph: Graph, sources: DataFrame | None = None, batch_rows: int | None = None, partitions: int | None = None
 ) -> int:
     """How many nodes all sources together reach, themselves included."""
     return sum(batch.touched for batch in _Searches(graph, sources, batch_rows, partitions).batches())
 
 
 def betweenness(
-    graph: Graph, sources: DataFrame | None = None, batch_rows: int = BATCH_ROWS, partitions: int | None = None
+    graph: Graph, sources: DataFrame | None = None, batch_rows: int | None = None, partitions: int | None = None
 ) -> DataFrame:
     """id, betweenness: over all ordered pairs of other nodes, the share of their
     shortest paths that pass through a node. Directed, link weights ignored, not
@@ -65,21 +79,31 @@ def betweenness(
     restricts the sum to paths from those; the result is then partial.
     """
     searches = _Searches(graph, sources, batch_rows, partitions)
-    total = None
+    table = _Appended(searches.spark, "id long, score double")
     for batch in searches.batches(backward=True):
-        scores = _batch_scores(batch)
-        if scores is not None:
-            both = scores if total is None else total.union(scores)
-            total = store(both.groupBy("id").agg(F.sum("score").alias("score")))
+        _add_scores(batch, table)
     nodes = graph.vertices.select("id")
-    if total is None:
-        return nodes.select("id", F.lit(0.0).alias("betweenness"))
+    total = table.read().groupBy("id").agg(F.sum("score").alias("score"))
     scored = nodes.join(searches.with_ids(total, "id"), "id", "left")
     return scored.select("id", or_zero(F.col("score")).alias("betweenness"))
 
 
-def _batch_scores(batch: _Batch) -> DataFrame | None:
-    """id, score of one batch, from the deepest level back to the first.
+class _Appended:
+    """One table in the shared folder that batches add their rows to."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema, self.path = spark, schema, new_table(spark)
+        append(spark.createDataFrame([], schema), self.path)
+
+    def add(self, frame: DataFrame) -> None:
+        append(frame, self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
+def _add_scores(batch: _Batch, table: _Appended) -> None:
+    """Add id, score of one batch, from the deepest level back to the first.
 
     With sigma paths to a node and delta its dependency, a node gains
     ``sigma * sum((1 + delta) / sigma)`` over its successors on shortest paths.
@@ -88,54 +112,64 @@ def _batch_scores(batch: _Batch) -> DataFrame | None:
     """
     levels = batch.levels
     if len(levels) < 3:
-        return None
-    deepest = levels[-1].select("source", "id", "sigma", F.lit(0.0).alias("delta"))
-    below, scored = deepest, []
-    for level in reversed(levels[1:-1]):
+        return
+    below, scored = levels[-1].select("source", "id", "sigma", F.lit(0.0).alias("delta")), []
+    for depth in range(len(levels) - 2, 0, -1):
         quotients = below.selectExpr("source", "id AS dst", "(1 + delta) / sigma AS quotient")
-        gains = batch.backward.meet(quotients).groupBy("source", F.col("src").alias("id")).agg(
+        gains = batch.backward.meet(quotients, batch.rows[depth + 1]).groupBy("source", F.col("src").alias("id")).agg(
             F.expr("sum(quotient) AS gain")
         )
         below = checkpoint(
-            level.join(gains.hint("shuffle_hash"), ["source", "id"], "left").selectExpr(
+            levels[depth].join(hashed(gains, batch.rows[depth], batch.partitions), ["source", "id"], "left").selectExpr(
                 "source", "id", "sigma", "sigma * coalesce(gain, 0D) AS delta"
             )
         )
         scored.append(below)
-    batch.others.extend(scored)
-    return reduce(DataFrame.union, [s.select("id", F.col("delta").alias("score")) for s in scored])
+        if len(scored) == LEVELS_PER_TABLE or depth == 1:
+            scores = reduce(DataFrame.union, [s.select("id", F.col("delta").alias("score")) for s in scored])
+            table.add(scores.groupBy("id").agg(F.sum("score").alias("score")))
+            for frame in scored[:-1]:
+                discard(frame)
+            batch.others.append(below)
+            scored = []
 
 
 class _Batch:
     """Sources whose searches run together, level by level.
 
     levels  per distance one table of source, id, sigma, hashed by the first two
+    rows    how many rows each of them has
     """
 
     def __init__(self, sources: DataFrame, forward: LinksByEnd, backward: LinksByEnd | None, partitions: int):
-        self.backward = backward
+        self.backward, self.partitions = backward, partitions
         self.others: list[DataFrame] = []
-        frontier, self.touched = _counted(
+        frontier, rows = _counted(
             sources.selectExpr("key AS source", "key AS id", "1D AS sigma").repartition(partitions, "source", "id")
         )
-        self.levels, visited = [frontier], frontier.select("source", "id")
-        while True:
+        self.levels, self.rows, visited = [frontier], [rows], frontier.select("source", "id")
+        while rows:
             found = (
-                forward.meet(frontier.selectExpr("source", "id AS src", "sigma"))
+                forward.meet(frontier.selectExpr("source", "id AS src", "sigma"), rows)
                 .groupBy("source", F.col("dst").alias("id"))
                 .agg(F.expr("sum(sigma) AS sigma"))
             )
-            frontier, rows = _counted(found.join(visited.hint("shuffle_hash"), ["source", "id"], "left_anti"))
+            seen = hashed(visited, self.touched, partitions)
+            frontier, rows = _counted(found.join(seen, ["source", "id"], "left_anti"))
             if not rows:
                 discard(frontier)
                 return
-            self.touched += rows
             self.levels.append(frontier)
+            self.rows.append(rows)
             visited = visited.union(frontier.select("source", "id"))
             if len(self.levels) % LEVELS_PER_TABLE == 0:
                 visited = checkpoint(visited.repartition(partitions, "source", "id"))
                 self.others.append(visited)
 
+    @property
+    def touched(self) -> int:
+        return sum(self.rows)
+
     def close(self) -> None:
         for frame in [*self.levels, *self.others]:
             discard(frame)
@@ -147,48 +181,69 @@ def _counted(frame: DataFrame) -> tuple[DataFrame, int]:
     return frame, seen.get["rows"]
 
 
+def batches_for(sources: int, nodes: int, batch_rows: int) -> int:
+    """Batches of sources: as many as hold ``batch_rows`` rows each, never more than sources."""
+    return max(1, min(sources, math.ceil(sources * nodes / batch_rows)))
+
+
 class _Searches:
     """All searches over one graph: numbered nodes and links, sources in batches."""
 
-    def __init__(self, graph: Graph, sources: DataFrame | None, batch_rows: int, partitions: int | None):
+    def __init__(self, graph: Graph, sources: DataFrame | None, batch_rows: int | None, partitions: int | None):
+        graph = checked(graph)
         self.spark = graph.vertices.sparkSession
         header = graph.header.first()
         nodes, self.links = header["num_node"], header["link_lines"]
+        batch_rows = batch_rows or BATCH_ROWS_PER_TASK * self.spark.sparkContext.defaultParallelism
         self.numbers = _numbers(graph.vertices)
         self.proper = _numbered(graph.edges.where(F.col("src") != F.col("dst")).select("src", "dst"), self.numbers)
         chosen = self.numbers if sources is None else self.numbers.join(sources.select("id"), "id", "left_semi")
-        self.sources = chosen.select("key")
-        count = nodes if sources is None else self.sources.count()
-        self.number = max(1, math.ceil(count * nodes / batch_rows))
+        self.sources, self.all_sources = store(chosen) if sources is not None else chosen, sources is None
+        self.count = nodes if sources is None else self.sources.count()
+        self.number = batches_for(self.count, nodes, batch_rows)
         self.partitions = partitions or max(
             partitions_for(self.links),
-            partitions_for(count * nodes // self.number, STATE_ROWS_PER_PARTITION),
-            partitions_for(count * self.links // self.number, MET_ROWS_PER_PARTITION),
+            partitions_for(self.count * nodes // self.number, STATE_ROWS_PER_PARTITION),
+            partitions_for(self.count * self.links // self.number, MET_ROWS_PER_PARTITION),
         )
 
     def batches(self, backward: bool = False) -> Iterator[_Batch]:
-        """Batches split by hash, so no list of sources passes through the driver."""
-        with fixed_layout(self.spark, self.partitions):
+        """Batches split by hash, so no list of sources passes through the driver.
+
+        The session keeps the settings of the fixed layout until the last batch is done,
+        or the generator is closed.
+        """
+        with fixed_layout(self.spark, self.partitions), ExitStack() as stack:
             forward = links_by_end(self.proper, "src", self.links, self.partitions)
+            stack.callback(forward.release)
             back = links_by_end(self.proper, "dst", self.links, self.partitions) if backward else None
+            if back is not None:
+                stack.callback(back.release)
             for index in range(self.number):
-                chosen = self.sources
+                chosen = self.sources.select("key")
                 if self.number > 1:
                     chosen = chosen.where(F.pmod(F.xxhash64("key"), F.lit(self.number)) == index)
                 batch = _Batch(chosen, forward, back, self.partitions)
-                yield batch
-                batch.close()
-            forward.release()
-            if back is not None:
-                back.release()
+                try:
+                    if batch.touched:
+                        yield batch
+                finally:
+                    batch.close()
 
     def with_ids(self, frame: DataFrame, *columns: str) -> DataFrame:
-        """Replace numbers by the ids they stand for."""
+        """Replace numbers by the ids they stand for.
+
+        All rows of a source share its number. Chosen sources are few, so their ids come by broadcast;
+        all sources together are no hot key.
+        """
         for column in columns:
-            ids = self.numbers.select(F.col("key").alias(column), F.col("id").alias("_id"))
+            numbers = self.sources if column == "source" else self.numbers
+            ids = numbers.select(F.col("key").alias(column), F.col("id").alias("_id"))
+            if column == "source" and not self.all_sources and self.count <= BROADCAST_SOURCES:
+                ids = F.broadcast(ids)
             others = [c for c in frame.columns if c != column]
             frame = frame.join(ids, column).select(F.col("_id").alias(column), *others)
-        return frame.select("source", "id", "dist", "sigma") if "dist" in frame.columns else frame
+        return frame
 
 
 def _numbers(vertices: DataFrame) -> DataFrame:

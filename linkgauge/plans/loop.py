@@ -12,7 +12,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_PARTITION = 100_000
-MAX_PARTITIONS = 20_000
+#: Partitions of a loop at most, unless a caller says otherwise; beyond them partitions
+#: grow, and joins go over to sorting when a hash table would exceed BUILD_ROWS.
+MOST_PARTITIONS = 20_000
+BUILD_ROWS = 5_000_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -39,7 +42,7 @@ def store(frame: DataFrame) -> DataFrame:
     the columns they use, and lost executors cost no recomputation.
     """
     spark = frame.sparkSession
-    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = new_table(spark)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
@@ -61,10 +64,25 @@ def discard(frame: DataFrame | None) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions_for(rows: int, per_partition: int | None = None) -> int:
+def partitions_for(rows: int, per_partition: int | None = None, most: int = MOST_PARTITIONS) -> int:
     """Hash partitions for a loop over ``rows`` rows: about 100,000 rows each unless
-    given, and beyond 20,000 partitions they grow instead of their number."""
-    return min(max(1, math.ceil(rows / (per_partition or ROWS_PER_PARTITION))), MAX_PARTITIONS)
+    given, and at most ``most``."""
+    return min(max(1, math.ceil(rows / (per_partition or ROWS_PER_PARTITION))), most)
+
+
+def hashed(build: DataFrame, rows: int, partitions: int) -> DataFrame:
+    """The side of a join that becomes a hash table, of ``rows`` rows in all partitions
+    together, if such a table fits into a task; else Spark sorts, which can spill."""
+    return build.hint("shuffle_hash") if rows <= BUILD_ROWS * partitions else build
+
+
+def append(frame: DataFrame, path: str) -> None:
+    """Add rows to a table in the shared folder, for loops whose result grows by round."""
+    frame.write.mode("append").parquet(path)
+
+
+def new_table(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
 
 
 @contextmanager

@@ -45,6 +45,10 @@ METRICS = T.StructType(
 )
 
 
+#: Column of edges that are not stored yet: link rows behind the pair.
+LINES = "_lines"
+
+
 class GraphError(ValueError):
     """A graph, or the text it comes from, breaks a rule of the data model."""
 
@@ -64,16 +68,17 @@ class Graph:
     header    one row of counts and totals, see HEADER
 
     Ids are compared by value. They may be of any one type; text readers give
-    strings. Two notes let ``stored`` avoid evaluating a plan twice:
-    ``vertices_from_links``, the vertices are just the endpoints of the edges, and
-    ``header_from_tables``, the header counts just the rows of the two tables.
+    strings. ``vertices_from_links`` notes that the vertices are just the endpoints of
+    the edges, and ``checked`` that no link is known to name another node; algorithms
+    check other graphs first. Before a graph is stored its edges may carry LINES, the
+    number of link rows behind each pair.
     """
 
     vertices: DataFrame
     edges: DataFrame
     header: DataFrame
     vertices_from_links: bool = False
-    header_from_tables: bool = False
+    checked: bool = False
 
     def __post_init__(self) -> None:
         require_columns(self.vertices, VERTICES.fieldNames(), "vertices")

@@ -45,7 +45,12 @@ def write_metrics_parquet(metrics: DataFrame, path: str) -> None:
 
 
 def _of_scores(scores: DataFrame, graph: Graph, values: dict[str, Column]) -> DataFrame:
-    """Metrics rows for given scores: one row per score, every id known to the graph."""
+    """Metrics rows for given scores: one row per score, every id known to the graph.
+
+    Scores may be keyed by ids of another type, such as numbers for a graph whose ids are
+    text; they are cast to the graph's. An id that this makes null counts as unknown.
+    """
+    scores = scores.withColumn("id", F.col("id").try_cast(graph.vertices.schema["id"].dataType))
     unknown = [row["id"] for row in scores.join(graph.vertices, "id", "left_anti").select("id").limit(5).collect()]
     if unknown:
         raise GraphError(f"scores for unknown nodes, among them {unknown}")
@@ -54,12 +59,19 @@ def _of_scores(scores: DataFrame, graph: Graph, values: dict[str, Column]) -> Da
     return scores.join(known, "id").select("id", "in_degree", *[c.alias(n) for n, c in columns.items()], "name")
 
 
-def static_rank_metrics(scores: DataFrame, graph: Graph) -> DataFrame:
+def static_rank_metrics(scores: DataFrame, graph: Graph, betweenness: DataFrame | None = None) -> DataFrame:
     """Metrics rows from an unnormalised rank (``id, page_rank``): the given value
-    counts as normalised, and divided by the link count as the rank."""
+    counts as normalised, and divided by the link count as the rank.
+
+    ``betweenness`` (``id, betweenness``) is a node's own where given, else 0.
+    """
     links = graph.header.first()["num_link"]
     rank = F.col("page_rank")
-    return _of_scores(scores, graph, {"page_rank": rank / F.lit(float(links)), "page_rank_normalized": rank})
+    values = {"page_rank": rank / F.lit(float(links)), "page_rank_normalized": rank}
+    if betweenness is not None:
+        scores = scores.select("id", "page_rank").join(betweenness.select("id", "betweenness"), "id", "left")
+        values["betweenness"] = F.coalesce("betweenness", F.lit(0.0))
+    return _of_scores(scores, graph, values)
 
 
 def betweenness_metrics(scores: DataFrame, graph: Graph) -> DataFrame:
@@ -67,9 +79,11 @@ def betweenness_metrics(scores: DataFrame, graph: Graph) -> DataFrame:
     return _of_scores(scores, graph, {"betweenness": F.col("betweenness")})
 
 
-def write_static_rank(scores: DataFrame, graph: Graph, folder: str, name: str) -> str:
+def write_static_rank(
+    scores: DataFrame, graph: Graph, folder: str, name: str, betweenness: DataFrame | None = None
+) -> str:
     path = f"{folder}/{STATIC_RANK_PREFIX}{name}"
-    write_metrics_text(static_rank_metrics(scores, graph), path, SEP_TIGHT)
+    write_metrics_text(static_rank_metrics(scores, graph, betweenness), path, SEP_TIGHT)
     return path
 
 

@@ -30,7 +30,8 @@ HEADS_IN_EXPRESSION = 50
 
 
 def read_pajek(spark: SparkSession, path: str) -> Graph:
-    """Read one network: a file, or a folder of parts that form one text in name order.
+    """Read one network: a file, or a folder of parts that form one text in the order
+    of their part numbers, else of their names.
 
     ``*Edges`` are directed like ``*Arcs``. Duplicate nodes and links: the last one
     wins, but every node line's weight enters the total and every link line the
@@ -56,8 +57,20 @@ def read_pajek(spark: SparkSession, path: str) -> Graph:
 
 
 def write_pajek(graph: Graph, path: str) -> None:
-    """Write a network as a folder of text parts that ``read_pajek`` reads back."""
+    """Write a network as a folder of text parts that ``read_pajek`` reads back.
+
+    Raises GraphError for what would be read back as something else: an id that is empty, null
+    or has a blank or quote, a name that is null or has a line end.
+    """
     spark = graph.vertices.sparkSession
+    ids = [F.col(c).cast("string") for c in ("src", "dst")]
+    bad_ends = graph.edges.where(~_plain(ids[0]) | ~_plain(ids[1])).select(*ids)
+    bad_nodes = graph.vertices.where(
+        ~_plain(F.col("id").cast("string")) | F.col("name").isNull() | F.col("name").rlike(r"[\r\n]")
+    ).select(F.col("id").cast("string"), "name")
+    bad = bad_nodes.limit(3).collect() or bad_ends.limit(3).collect()
+    if bad:
+        raise GraphError(f"cannot be written as text: {[tuple(row) for row in bad]}")
     counts = graph.header.first()
 
     def head(text: str) -> DataFrame:
@@ -74,13 +87,19 @@ def write_pajek(graph: Graph, path: str) -> None:
     )
 
 
+def _plain(id: Column) -> Column:
+    return F.coalesce(id.rlike(r'^[^\s"]+$'), F.lit(False))
+
+
 def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank trimmed lines with their place: file, block of the file, row.
+    """Non-blank trimmed lines with their place: part number, file, block of the file, row.
 
     Row numbers only grow within a block, which one task reads from end to end.
     """
     text = spark.read.text(path).select(
         F.struct(
+            # Spark pads part numbers to five digits only, so names alone would put 100000 before 10001.
+            F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).try_cast("long"), F.lit(0)).alias("part"),
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
@@ -111,11 +130,11 @@ def _with_section_by_block(lines: DataFrame) -> DataFrame:
     """The same for a text with many heads. Within a block, which the reader's split
     size bounds, a window finds the last head; the section open at a block's start
     comes from a table of one row per block."""
-    lines = lines.withColumns({"_file": F.col("place.file"), "_block": F.col("place.block")})
-    last_heads = lines.groupBy("_file", "_block").agg(
+    lines = lines.withColumns({"_part": F.col("place.part"), "_file": F.col("place.file"), "_block": F.col("place.block")})
+    last_heads = lines.groupBy("_part", "_file", "_block").agg(
         F.max_by("head", F.when(F.col("head").isNotNull(), F.col("place"))).alias("_last")
     )
-    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("_part", "_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     opening = last_heads.select("_file", "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_open"))
     within = Window.partitionBy("_file", "_block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     return (

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import positive_or_one
 from ..plans.loop import store
-from ..schema import Graph, GraphError
+from ..schema import LINES, Graph, GraphError
 
 
-def links_last_wins(links: DataFrame, order: Column | str | None) -> DataFrame:
-    """One row per ordered pair: of several links the last one's weight counts.
+def links_last_wins(links: DataFrame, order: Column | str | None, distinct: bool = False) -> DataFrame:
+    """One row per ordered pair, with the number of its link rows in LINES: of several
+    links the last one's weight counts, or without ``order`` the greatest one's.
 
     Aggregates before the shuffle, so many copies of one pair stay cheap.
-    ``order`` must be unique within a pair. Without it the links are taken to be
-    one per pair already and pass through without a shuffle.
+    ``order`` must be unique within a pair. A caller who knows that there is one link
+    per pair already says ``distinct``; links then pass through without a shuffle.
     """
-    if order is None:
-        return links.select("src", "dst", "weight")
-    return links.groupBy("src", "dst").agg(F.max_by("weight", order).alias("weight"))
+    if distinct:
+        return links.select("src", "dst", "weight", F.lit(1).cast("long").alias(LINES))
+    weight = F.max("weight") if order is None else F.max_by("weight", order)
+    return links.groupBy("src", "dst").agg(weight.alias("weight"), F.count(F.lit(1)).alias(LINES))
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -38,11 +42,12 @@ def graph_from_edges(
     id: str = "id",
     name: str | None = None,
     node_weight: str | None = None,
+    distinct: bool = False,
 ) -> Graph:
     """A graph from a table of links and, optionally, a table of nodes.
 
     The link count of the graph counts all rows of ``links``, also those that
-    ``order`` makes give way to a later one. Everything stays lazy.
+    give way to another one of their pair (see ``links_last_wins``). Everything stays lazy.
     """
     rows = links.select(
         F.col(src).alias("src"),
@@ -50,7 +55,7 @@ def graph_from_edges(
         (positive_or_one(F.col(weight)) if weight else F.lit(1.0)).alias("weight"),
         *([F.col(order).alias("_order")] if order else []),
     )
-    edges = links_last_wins(rows, "_order" if order else None)
+    edges = links_last_wins(rows, "_order" if order else None, distinct)
     if vertices is None:
         nodes = endpoints(edges)
     else:
@@ -59,17 +64,16 @@ def graph_from_edges(
             F.col(name or id).cast("string").alias("name"),
             (positive_or_one(F.col(node_weight)) if node_weight else F.lit(1.0)).alias("node_weight"),
         )
-    return Graph(
-        nodes, edges, _counts(nodes, rows), vertices_from_links=vertices is None, header_from_tables=order is None
-    )
+    return Graph(nodes, edges, _counts(nodes, edges), vertices_from_links=vertices is None)
 
 
-def _counts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    lines = F.col(LINES) if LINES in edges.columns else F.lit(1)
     per_side = nodes.agg(
         F.count(F.lit(1)).alias("nodes"),
         F.lit(0).cast("long").alias("links"),
         F.sum("node_weight").alias("total"),
-    ).union(links.agg(F.lit(0).cast("long"), F.count(F.lit(1)), F.lit(0.0)))
+    ).union(edges.agg(F.lit(0).cast("long"), F.coalesce(F.sum(lines), F.lit(0)), F.lit(0.0)))
     return per_side.agg(
         F.sum("nodes").alias("num_node"),
         F.sum("links").alias("num_link"),
@@ -91,15 +95,17 @@ def header_row(spark, num_node, num_link, node_lines, link_lines, total_node_wei
 
 
 def stored(graph: Graph) -> Graph:
-    """The same graph, written once to the shared folder.
+    """The same graph, written once to the shared folder and checked for unknown ends.
 
     Worth it before any algorithm of many rounds, and whenever the links come
-    from an expensive plan: every later step then scans columns of a file.
+    from an expensive plan, which is evaluated once: every later step, and the
+    header, then scans columns of a file.
     """
     edges = store(graph.edges)
     vertices = store(endpoints(edges) if graph.vertices_from_links else graph.vertices)
-    counts = (_counts(vertices, edges) if graph.header_from_tables else graph.header).first()
-    return Graph(vertices, edges, header_row(edges.sparkSession, **counts.asDict()))
+    counts = (_counts(vertices, edges) if LINES in edges.columns else graph.header).first()
+    header = header_row(edges.sparkSession, **counts.asDict())
+    return checked(Graph(vertices, edges.select("src", "dst", "weight"), header, graph.vertices_from_links, graph.checked))
 
 
 def missing_endpoints(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -117,7 +123,12 @@ def check_endpoints(graph: Graph) -> Graph:
     unknown = [row["id"] for row in missing_endpoints(graph.vertices, graph.edges).limit(5).collect()]
     if unknown:
         raise GraphError(f"links name unknown nodes, among them {unknown}")
-    return graph
+    return replace(graph, checked=True)
+
+
+def checked(graph: Graph) -> Graph:
+    """The graph, after ``check_endpoints`` unless it is known to be sound."""
+    return graph if graph.checked or graph.vertices_from_links else check_endpoints(graph)
 
 
 def check_declared_counts(num_node: int, nodes: int, num_link: int, link_lines: int) -> None:

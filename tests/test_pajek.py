@@ -130,3 +130,24 @@ def test_round_trip(spark, pajek, tmp_path):
     assert vertices(again) == vertices(graph)
     assert edges(again) == edges(graph)
     assert again.header.first() == graph.header.first()
+
+
+def test_parts_beyond_five_digits(spark, tmp_path):
+    """Part numbers count, not the order of names."""
+    parts = {"part-00000-x.txt": '*Vertices 2\n1 "a"\n2 "b"\n', "part-10001-x.txt": "*Arcs 2\n1 2 3\n", "part-100000-x.txt": "1 2 7\n"}
+    for name, text in parts.items():
+        (tmp_path / name).write_text(text)
+    from linkgauge import read_pajek
+
+    assert [tuple(r) for r in read_pajek(spark, str(tmp_path)).edges.collect()] == [("1", "2", 7.0)]
+
+
+@pytest.mark.parametrize("ids, names", [(["a b", "c"], ["x", "y"]), (['a"', "c"], ["x", "y"]), (["a", "c"], [None, "y"]), (["a", "c"], ["x\ny", "y"])])
+def test_writer_refuses_what_it_cannot_write(spark, tmp_path, ids, names):
+    import linkgauge as lg
+
+    vertices = spark.createDataFrame(list(zip(ids, names)), "id string, name string")
+    links = spark.createDataFrame([tuple(ids)], "src string, dst string")
+    graph = lg.stored(lg.graph_from_edges(links, vertices=vertices, name="name"))
+    with pytest.raises(lg.GraphError, match="written"):
+        lg.write_pajek(graph, str(tmp_path / "out"))

@@ -24,14 +24,14 @@ def test_known_networks(pajek, text, expected, total):
     found = scores(graph)
     assert found == pytest.approx(expected, abs=1e-9)
     assert sum(found.values()) == pytest.approx(total)
-    between = lg.shortest_paths(graph).where("dist > 0").selectExpr("sum(dist - 1) AS s").first()["s"]
+    between = lg.shortest_paths(graph, all_sources=True).where("dist > 0").selectExpr("sum(dist - 1) AS s").first()["s"]
     assert between == total
 
 
 def test_path_counting_and_self_loop(graph_of):
     graph = graph_of([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("b", "b")])
     assert scores(graph) == {"a": 0.0, "b": 0.5, "c": 0.5, "d": 0.0}
-    rows = {(r["source"], r["id"]): (r["dist"], r["sigma"]) for r in lg.shortest_paths(graph).collect()}
+    rows = {(r["source"], r["id"]): (r["dist"], r["sigma"]) for r in lg.shortest_paths(graph, all_sources=True).collect()}
     assert rows[("a", "d")] == (2, 2.0) and rows[("b", "b")] == (0, 1.0)
     assert ("d", "a") not in rows
     assert lg.touched_nodes(graph) == len(rows) == 9
@@ -45,7 +45,7 @@ def test_against_pairs(graph_of, options):
     assert scores(graph, **options) == pytest.approx(brute.betweenness(links), abs=1e-9)
     ids = brute.ids_of(links)
     dist, count = brute.distances_and_counts(links, ids)
-    rows = {(r["source"], r["id"]): (r["dist"], r["sigma"]) for r in lg.shortest_paths(graph, **options).collect()}
+    rows = {(r["source"], r["id"]): (r["dist"], r["sigma"]) for r in lg.shortest_paths(graph, all_sources=True, **options).collect()}
     expected = {
         (ids[s], ids[t]): (dist[s, t], count[s, t])
         for s in range(len(ids)) for t in range(len(ids)) if not np.isinf(dist[s, t])
@@ -65,6 +65,32 @@ def test_some_sources(graph_of, spark):
     assert scores(graph, sources=only) == {"a": 0.0, "b": 1.0, "c": 0.0}
 
 
+def test_paths_of_some_sources(graph_of, spark):
+    graph = graph_of([("a", "b"), ("b", "c"), ("c", "a")])
+    with pytest.raises(ValueError, match="sources"):
+        lg.shortest_paths(graph)
+    only = spark.createDataFrame([("b",)], "id string")
+    rows = lg.shortest_paths(graph, only).collect()
+    assert sorted(map(tuple, rows)) == [("b", "a", 2, 1.0), ("b", "b", 0, 1.0), ("b", "c", 1, 1.0)]
+
+
+def test_batches_never_outnumber_sources():
+    assert module.batches_for(1, 8, 2) == 1
+    assert module.batches_for(10, 10**9, 200_000_000) == 10
+    assert module.batches_for(10**10, 10**10, 10**12) == 10**8
+    assert module.batches_for(0, 5, 1) == 1
+
+
+def test_batches_add_to_one_table(graph_of, monkeypatch):
+    """However many batches there are, their rows go to one folder."""
+    folders = set()
+    write = module.append
+    monkeypatch.setattr(module, "append", lambda frame, path: (folders.add(path), write(frame, path)))
+    links = brute.random_links(24, 40, 11, hub=True)
+    assert scores(graph_of(links), partitions=2, batch_rows=100) == pytest.approx(brute.betweenness(links), abs=1e-9)
+    assert len(folders) == 1
+
+
 def test_unreachable_parts_and_no_nodes(graph_of):
     ring = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "x")]
     assert scores(graph_of(ring)) == {"a": 1.0, "b": 1.0, "c": 1.0, "x": 0.0, "y": 0.0}

@@ -38,13 +38,14 @@ def test_number_ids(spark):
     assert rank == pytest.approx({int(k): v for k, v in expected.items()}, abs=1e-12)
 
 
-def test_unknown_endpoints(graph_of):
-    graph = graph_of([("a", "b"), ("a", "x"), ("y", "x")], {"a": 1, "b": 1})
+def test_unknown_endpoints(spark):
+    links = spark.createDataFrame([("a", "b"), ("a", "x"), ("y", "x")], "src string, dst string")
+    graph = lg.graph_from_edges(links, vertices=spark.createDataFrame([("a",), ("b",)], "id string"))
     assert as_dict(lg.missing_endpoints(graph.vertices, graph.edges), "id", "ends") == {"x": 2, "y": 1}
     with pytest.raises(GraphError, match="unknown nodes"):
         lg.check_endpoints(graph)
-    with pytest.raises(GraphError, match="ranks sum to"):
-        lg.pagerank(graph)
+    with pytest.raises(GraphError, match="unknown nodes"):
+        lg.stored(graph)
 
 
 def test_degrees(graph_of):
@@ -86,3 +87,55 @@ def test_teleport_and_dangling(graph_of):
     }
     with pytest.raises(ValueError):
         lg.teleport_weights(graph, "other")
+
+
+ALGORITHMS = {
+    "pagerank": lambda graph: lg.pagerank(graph, max_iter=2, min_iter=1),
+    "pagerank_static": lambda graph: lg.pagerank_static(graph, 1),
+    "pagerank_delta": lambda graph: lg.pagerank_delta(graph, 0.1),
+    "betweenness": lg.betweenness,
+    "shortest_paths": lambda graph: lg.shortest_paths(graph, all_sources=True),
+    "stored": lg.stored,
+}
+
+
+@pytest.mark.parametrize("links", [[("x", "a"), ("a", "b")], [("a", "x"), ("a", "b")], [("a", None), ("a", "b")]])
+@pytest.mark.parametrize("name", ALGORITHMS)
+def test_unknown_ends_raise(spark, name, links):
+    vertices = spark.createDataFrame([("a",), ("b",)], "id string")
+    frame = spark.createDataFrame(links, "src string, dst string")
+    graph = lg.graph_from_edges(frame, vertices=vertices)
+    with pytest.raises(lg.GraphError, match="unknown"):
+        ALGORITHMS[name](graph)
+
+
+def test_duplicates_without_order_fold(spark):
+    frame = spark.createDataFrame([("a", "b", 2.0), ("a", "b", 5.0), ("a", "c", 1.0)], "src string, dst string, w double")
+    graph = lg.stored(lg.graph_from_edges(frame, weight="w"))
+    assert sorted(map(tuple, graph.edges.collect())) == [("a", "b", 5.0), ("a", "c", 1.0)]
+    assert graph.header.first()["link_lines"] == 3
+    assert as_dict(lg.in_degree(graph.vertices, graph.edges), "id", "in_degree") == {"a": 0, "b": 1, "c": 1}
+
+
+def test_sizes_of_loops():
+    from linkgauge.plans.loop import BUILD_ROWS, MOST_PARTITIONS, partitions_for
+
+    assert partitions_for(10**6) == 10
+    assert partitions_for(10**12) == MOST_PARTITIONS
+    assert partitions_for(10**12, most=10**7) == 10**7
+    assert 10**10 <= BUILD_ROWS * partitions_for(10**10)
+    assert 10**12 > BUILD_ROWS * partitions_for(10**12)
+
+
+def test_large_builds_are_sorted(spark):
+    from linkgauge.plans.loop import hashed
+
+    frame = spark.range(10).withColumnRenamed("id", "k")
+    other = spark.range(10).withColumnRenamed("id", "k").repartition("k")
+    for rows, kind in ((10, "ShuffledHashJoin"), (10**12, "SortMergeJoin")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = other.join(hashed(frame, rows, 4), "k", "left")._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert kind in plan
