@@ -7,7 +7,7 @@ messages of the chosen paths. Each path is formatted as one conversation, with t
 Template: ``<s>[INST] role [/INST]text</s>`` for each message. A backslash escapes: it is doubled in texts and roles, and put into every
 control string, so none occurs there, and taking away one of each is exact.
 
-Scale: rounds grow with the logarithm of the longest path and carry numbers only; texts are joined at the end, for chosen paths
+Scale: rounds grow with the logarithm of the longest path, shrink as paths end, and carry numbers only; texts are joined at the end, for chosen paths
 alone. Only one conversation has to fit into a task.
 
 Defined cases: a null text or role is empty. A parent that isn't there makes a root. Messages on a cycle reach no root and
@@ -20,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -74,47 +76,61 @@ def from_turns(conversations: DataFrame, tree: str = "tree") -> DataFrame:
     ))
 
 
-def ancestors(nodes: DataFrame) -> list[DataFrame]:
-    """Stored rows (tree, node, up, total, length), a table for each round.
+class Ancestors(NamedTuple):
+    """What the rounds of doubling find.
 
-    In round k, up is the ancestor at a distance of 2**k (null where there is none); total and length are the sum of the
-    scores, and number, of the nodes from this one up to before that one.
+    jumps  per round k, rows (tree, node, up) of the nodes with an ancestor at a distance of 2**k, which is up
+    whole  rows (tree, node, total, length): sum of the scores, and number, of the nodes from the root to this one
     """
+
+    jumps: list[DataFrame]
+    whole: DataFrame
+
+
+def ancestors(nodes: DataFrame) -> Ancestors:
+    """A round joins only the nodes whose root is still further away, so rounds shrink as paths end."""
+    known = nodes.select(F.col("tree").alias("of"), F.col("node").alias("known"))
     own = nodes.select(
         "tree", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length")
-    )
-    known = nodes.select(F.col("tree").alias("of"), F.col("node").alias("known"))
-    own = own.join(known, (F.col("tree") == F.col("of")) & (F.col("up") == F.col("known")), "left")
-    tables = [store(own.select("tree", "node", F.col("known").alias("up"), "total", "length"))]
-    left = tables[0].where("up IS NOT NULL").count()
-    rounds = max(1, left).bit_length() + 1  # beyond these only cycles are left
-    while left and len(tables) <= rounds:
-        now = tables[-1]
-        above = now.toDF("of", "known", "next_up", "next_total", "next_length")
-        joined = now.join(above, (F.col("tree") == F.col("of")) & (F.col("up") == F.col("known")), "left")
-        tables.append(store(joined.select(
-            "tree", "node", F.col("next_up").alias("up"), (F.col("total") + F.coalesce("next_total", F.lit(0.0))).alias("total"),
-            (F.col("length") + F.coalesce("next_length", F.lit(0))).alias("length"),
-        )))
-        left = tables[-1].where("up IS NOT NULL").count()
-    return tables
+    ).join(known, (F.col("tree") == F.col("of")) & (F.col("up") == F.col("known")), "left")
+    now = store(own.select("tree", "node", F.col("known").alias("up"), "total", "length"))
+    ended, jumps = [], []
+    last = None
+    while True:
+        ended.append(now.where("up IS NULL"))
+        further = now.where("up IS NOT NULL")
+        left = further.count()
+        # in 2**k rounds more every path ends; what is left then goes round in circles
+        last = left.bit_length() + 1 if last is None else last
+        if not left or len(jumps) > last:
+            whole = reduce(DataFrame.union, ended)
+            return Ancestors(jumps, whole.select("tree", "node", "total", "length"))
+        jumps.append(further.select("tree", "node", "up"))
+        above = reduce(DataFrame.union, [*ended, further]).toDF("of", "known", "next_up", "next_total", "next_length")
+        joined = further.join(above, (F.col("tree") == F.col("of")) & (F.col("up") == F.col("known")))
+        now = store(joined.select(
+            "tree", "node", F.col("next_up").alias("up"), (F.col("total") + F.col("next_total")).alias("total"),
+            (F.col("length") + F.col("next_length")).alias("length"),
+        ))
 
 
 def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
-    """Stored rows (tree, rank, length, distance, node): the best paths of every tree, distance counted from the leaf."""
-    tables = ancestors(nodes)
-    inner = tables[0].where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
-    leaves = tables[-1].where("up IS NULL").join(inner, ["tree", "node"], "left_anti")
+    """Rows (tree, rank, length, distance, node): the best paths of every tree, distance counted from the leaf."""
+    found = ancestors(nodes)
+    leaves = found.whole
+    if found.jumps:
+        inner = found.jumps[0].select("tree", F.col("up").alias("node")).distinct()
+        leaves = leaves.join(inner, ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("length")), F.desc("length"), "node")
     best = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
-    paths = store(best.select("tree", "rank", "length", F.lit(0).cast("long").alias("distance"), "node"))
-    for k, table in enumerate(tables):
-        up = table.where("up IS NOT NULL").select("tree", "node", "up")
-        further = paths.join(up, ["tree", "node"]).select(
+    paths = [store(best.select("tree", "rank", "length", F.lit(0).cast("long").alias("distance"), "node"))]
+    for k, jump in enumerate(found.jumps):
+        # only messages that far from the root have one of these ancestors
+        some = reduce(DataFrame.union, paths).where(F.col("distance") + (1 << k) < F.col("length"))
+        paths.append(store(some.join(jump, ["tree", "node"]).select(
             "tree", "rank", "length", (F.col("distance") + (1 << k)).alias("distance"), F.col("up").alias("node")
-        )
-        paths = store(paths.union(further))
-    return paths
+        )))
+    return reduce(DataFrame.union, paths)
 
 
 def _formatted(roles: pd.Series, texts: pd.Series) -> pd.DataFrame:
