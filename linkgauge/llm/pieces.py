@@ -43,9 +43,9 @@ BLANK_SIGN = "\N{LOWER ONE EIGHTH BLOCK}"
 #: Log weight of a character spelled in bytes, below that of the least piece.
 SPELLED = -10.0
 #: Lattice edges that a task remembers, and occurrences of parts that it samples at a time.
-REMEMBERED, AT_ONCE = 4_000_000, 400_000
+REMEMBERED, AT_ONCE = 2_000_000, 150_000
 #: New parts whose lattices are built at a time, in bytes.
-BUILT = 1 << 20
+BUILT = 1 << 17
 
 Sampled = tuple[np.ndarray, np.ndarray]
 
