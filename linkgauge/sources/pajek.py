@@ -10,8 +10,9 @@
 
 Which section a line belongs to depends on the lines before it, also when the
 text is split over many tasks. The lines are therefore written once, with the
-place they were read from, and every later step works on that table: places stay
-the same however a later job would split the file.
+block of the file they were read from, and every later step works on that table:
+places stay the same however a later job would split the file. Blocks are numbered
+in the order of the text, and a line's place is one number made of its block's and its row.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import HEAD_LINE_RE, HEAD_RE, NODE_RE, positive_or_one, trimmed
+from ..operators.positions import ROW_BITS, with_position
 from ..plans.loop import store
 from ..schema import Graph, GraphError
 from .tables import check_declared_counts, check_endpoints, header_row
 
-# A text normally has two section heads. Up to this many become part of the tagging
-# expression; a text with more is tagged by windows over its blocks.
-HEADS_IN_EXPRESSION = 50
+# Blocks and section heads, together, up to which their table is broadcast to the lines (about 10 MB).
+BROADCAST_BLOCKS = 100_000
+
+# Blocks that one task follows to find which section is open where a block begins.
+BLOCKS_PER_RANGE = 4096
 
 
 def read_pajek(spark: SparkSession, path: str) -> Graph:
@@ -38,15 +42,15 @@ def read_pajek(spark: SparkSession, path: str) -> Graph:
     link count. Raises GraphError for a malformed line, a declared count that
     differs from what is there, or a link to an unknown node.
     """
-    lines = store(_placed_lines(spark, path))
-    tagged = _with_section(lines)
-    nodes = tagged.where(F.col("section") == "nodes").select("place", *_node_fields())
-    links = tagged.where(F.col("section") == "links").select("place", *_link_fields())
-    vertices = _last_per_key(nodes, ["id"], ["name", "node_weight"], "node_weight")
-    edges = _last_per_key(links, ["src", "dst"], ["weight"], "weight")
-
-    totals = _checked_totals(lines, vertices, edges)
-    declared = _declared_counts(lines)
+    tagged = _with_section(store(_read_lines(spark, path)))
+    body = tagged.where(F.col("head").isNull())
+    nodes = body.where(F.col("section") == "nodes").select("place", *_node_fields())
+    links = body.where(F.col("section") == "links").select("place", *_link_fields())
+    vertices, edges = store(_last_nodes(nodes)), store(_last_links(links))
+
+    heads = tagged.where(F.col("head").isNotNull()).select("place", "head", "line")
+    totals = _checked_totals(heads, nodes, vertices, links, edges)
+    declared = _declared_counts(heads)
     num_node, num_link = declared.get("nodes", 0), declared.get("links", 0)
     check_declared_counts(num_node, vertices.count(), num_link, totals["link_lines"])
     header = header_row(
@@ -91,58 +95,54 @@ def _plain(id: Column) -> Column:
     return F.coalesce(id.rlike(r'^[^\s"]+$'), F.lit(False))
 
 
-def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank trimmed lines with their place: part number, file, block of the file, row.
+def _read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Non-blank trimmed lines with what places them: part number, file, block of the file, row.
 
     Row numbers only grow within a block, which one task reads from end to end.
     """
     text = spark.read.text(path).select(
-        F.struct(
-            # Spark pads part numbers to five digits only, so names alone would put 100000 before 10001.
-            F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).try_cast("long"), F.lit(0)).alias("part"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("place"),
+        # Spark pads part numbers to five digits only, so names alone would put 100000 before 10001.
+        F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).try_cast("long"), F.lit(0)).alias("part"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
         trimmed(F.col("value")).alias("line"),
     )
     is_head = F.col("line").rlike(HEAD_LINE_RE)
     kind = F.when(F.lower(F.substring("line", 2, 1)) == "v", "nodes").otherwise("links")
-    return text.where(F.col("line") != "").select("place", "line", F.when(is_head, kind).alias("head"))
+    return text.where(F.col("line") != "").withColumn("head", F.when(is_head, kind))
+
+
+def _blocks(lines: DataFrame, per_range: int = BLOCKS_PER_RANGE) -> DataFrame:
+    """Stored rows (file, block, number, opening, heads): the blocks numbered in order, the section that is
+    open where each begins, and its section heads.
+
+    The section is the last one of the blocks before in a range of blocks, else that of the ranges before.
+    """
+    head = F.when(F.col("head").isNotNull(), F.struct("row", "head"))
+    blocks = lines.groupBy("part", "file", "block").agg(F.sort_array(F.collect_list(head)).alias("heads"))
+    numbered = with_position(blocks, [F.col("part"), F.col("file"), F.col("block")], "number").withColumns({
+        "range": F.floor((F.col("number") - 1) / per_range),
+        "closing": F.get("heads", F.size("heads") - 1)["head"],
+    })
+    last = F.max_by("closing", F.when(F.col("closing").isNotNull(), F.col("number")))
+    ranges = numbered.groupBy("range").agg(last.alias("closing"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("range", F.last("closing", ignorenulls=True).over(before).alias("earlier"))
+    within = Window.partitionBy("range").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    opening = F.coalesce(F.last("closing", ignorenulls=True).over(within), F.col("earlier"))
+    return store(numbered.join(ranges, "range").select("file", "block", "number", opening.alias("opening"), "heads"))
 
 
 def _with_section(lines: DataFrame) -> DataFrame:
-    """Add the section of each line that is not a head; lines before any head get none."""
-    heads = lines.where(F.col("head").isNotNull()).select("place", "head")
-    few = sorted(heads.limit(HEADS_IN_EXPRESSION + 1).collect(), key=lambda row: tuple(row["place"]))
-    body = lines.where(F.col("head").isNull())
-    if len(few) <= HEADS_IN_EXPRESSION:
-        section: Column = F.lit(None).cast("string")
-        for row in few:
-            at = row["place"]
-            place = F.struct(*[F.lit(part) for part in at]).cast(lines.schema["place"].dataType)
-            section = F.when(F.col("place") > place, row["head"]).otherwise(section)
-        return body.select("place", "line", section.alias("section"))
-    return _with_section_by_block(lines)
-
-
-def _with_section_by_block(lines: DataFrame) -> DataFrame:
-    """The same for a text with many heads. Within a block, which the reader's split
-    size bounds, a window finds the last head; the section open at a block's start
-    comes from a table of one row per block."""
-    lines = lines.withColumns({"_part": F.col("place.part"), "_file": F.col("place.file"), "_block": F.col("place.block")})
-    last_heads = lines.groupBy("_part", "_file", "_block").agg(
-        F.max_by("head", F.when(F.col("head").isNotNull(), F.col("place"))).alias("_last")
-    )
-    earlier = Window.orderBy("_part", "_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    opening = last_heads.select("_file", "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_open"))
-    within = Window.partitionBy("_file", "_block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        lines.withColumn("_seen", F.last("head", ignorenulls=True).over(within))
-        .where(F.col("head").isNull())
-        .join(opening, ["_file", "_block"])
-        .select("place", "line", F.coalesce("_seen", "_open").alias("section"))
-    )
+    """Rows (place, line, head, section) of stored lines; lines before any head have no section."""
+    blocks = _blocks(lines)
+    held = blocks.agg(F.coalesce(F.sum(F.size("heads") + 1), F.lit(0)).alias("n")).first()["n"]
+    side = F.broadcast(blocks) if held <= BROADCAST_BLOCKS else blocks
+    row = F.col("row")
+    section = F.aggregate("heads", F.col("opening"), lambda open, head: F.when(head["row"] < row, head["head"]).otherwise(open))
+    place = F.shiftleft("number", ROW_BITS) + row.bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return lines.join(side, ["file", "block"]).select(place.alias("place"), "line", "head", section.alias("section"))
 
 
 def _weight_fields(text: Column, name: str) -> list[Column]:
@@ -177,42 +177,49 @@ def _link_fields() -> list[Column]:
     ]
 
 
-def _last_per_key(parsed: DataFrame, keys: list[str], values: list[str], weight: str) -> DataFrame:
-    """The last line of each key, with what the checks need of all its lines: their
-    number, their summed weight, and an example of a line that cannot be read."""
-    return store(
-        parsed.groupBy(*keys)
-        .agg(
-            F.max_by(F.struct(*values), "place").alias("last"),
-            F.count(F.lit(1)).alias("lines"),
-            F.sum(weight).alias("weights"),
-            F.max(F.when(F.col("bad_line"), F.col("line"))).alias("bad_line"),
-            F.max(F.when(F.col("bad_weight"), F.col("line"))).alias("bad_weight"),
-        )
-        .select(*keys, *[f"last.{value}" for value in values], "lines", "weights", "bad_line", "bad_weight")
-    )
+def _sums(weight: str) -> list[Column]:
+    """What the checks need of all lines of a key."""
+    return [
+        F.count(F.lit(1)).alias("lines"), F.sum(weight).alias("weights"),
+        F.count_if("bad_line").alias("bad_lines"), F.count_if("bad_weight").alias("bad_weights"),
+    ]
+
+
+def _last_nodes(nodes: DataFrame) -> DataFrame:
+    """The last line of each id. Names are text, so Spark sorts here; nodes are few beside links."""
+    last = F.max_by(F.struct("name", "node_weight"), "place").alias("last")
+    return nodes.groupBy("id").agg(last, *_sums("node_weight")).select("id", "last.*", "lines", "weights", "bad_lines", "bad_weights")
+
+
+def _last_links(links: DataFrame) -> DataFrame:
+    """The last line of each pair; only numbers are carried, so links are hashed and not sorted."""
+    return links.groupBy("src", "dst").agg(F.max_by("weight", "place").alias("weight"), *_sums("weight"))
 
 
-def _checked_totals(lines: DataFrame, vertices: DataFrame, edges: DataFrame) -> dict:
+def _checked_totals(
+    heads: DataFrame, nodes: DataFrame, vertices: DataFrame, links: DataFrame, edges: DataFrame
+) -> dict:
     """Line counts and the total node weight; raises on the first kind of bad line."""
-    sums = [F.sum("lines").alias("lines"), F.sum("weights").alias("weights"), F.max("bad_line"), F.max("bad_weight")]
-    node_lines, total, bad_node, bad_node_weight = vertices.agg(*sums).first()
-    link_lines, _, bad_link, bad_link_weight = edges.agg(*sums).first()
-    bad_head = lines.where(F.col("head").isNotNull() & ~F.col("line").rlike(HEAD_RE)).agg(F.max("line")).first()[0]
-    for what, example in (
-        ("section head without a count", bad_head),
-        ("node line without an id and a quoted name", bad_node),
-        ("link line without two ids", bad_link),
-        ("node weight that is no number", bad_node_weight),
-        ("link weight that is no number", bad_link_weight),
+    sums = [F.sum(c).alias(c) for c in ("lines", "weights", "bad_lines", "bad_weights")]
+    of_nodes, of_links = vertices.agg(*sums).first(), edges.agg(*sums).first()
+    bad_heads = heads.where(~F.col("line").rlike(HEAD_RE))
+    for what, number, bad in (
+        ("section head without a count", bad_heads.count(), bad_heads),
+        ("node line without an id and a quoted name", of_nodes["bad_lines"], nodes.where("bad_line")),
+        ("link line without two ids", of_links["bad_lines"], links.where("bad_line")),
+        ("node weight that is no number", of_nodes["bad_weights"], nodes.where("bad_weight")),
+        ("link weight that is no number", of_links["bad_weights"], links.where("bad_weight")),
     ):
-        if example is not None:
-            raise GraphError(f"{what}: {example!r}")
-    return {"node_lines": node_lines or 0, "link_lines": link_lines or 0, "total_node_weight": total or 0.0}
+        if number:
+            raise GraphError(f"{what}: {bad.agg(F.max('line')).first()[0]!r}")
+    return {
+        "node_lines": of_nodes["lines"] or 0, "link_lines": of_links["lines"] or 0,
+        "total_node_weight": of_nodes["weights"] or 0.0,
+    }
 
 
-def _declared_counts(lines: DataFrame) -> dict[str, int]:
+def _declared_counts(heads: DataFrame) -> dict[str, int]:
     """The count in the last head of each section."""
-    heads = lines.where(F.col("head").isNotNull()).groupBy("head").agg(F.max_by("line", "place").alias("line"))
+    heads = heads.groupBy("head").agg(F.max_by("line", "place").alias("line"))
     count = F.regexp_extract("line", HEAD_RE, 2).cast("long")
     return {row["head"]: row["n"] for row in heads.select("head", count.alias("n")).collect()}

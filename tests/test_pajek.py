@@ -96,7 +96,7 @@ def test_empty(pajek):
 
 def test_many_splits_and_many_heads(spark, tmp_path):
     """Sections and last-wins hold when the file is read in many blocks, and when it
-    has more heads than the tagging expression takes."""
+    has very many heads."""
     count = 300
     lines = ["ignored"]
     for i in range(count):
@@ -115,12 +115,44 @@ def test_many_splits_and_many_heads(spark, tmp_path):
     assert edges(graph) == {(str(i), str(max(i - 1, 0))): i + 2.0 for i in range(count)}
 
 
-def test_block_tagging_agrees(spark, tmp_path):
-    path = tmp_path / "five.net"
-    path.write_text(fixtures.FIVE)
-    lines = source._placed_lines(spark, str(path))
-    usual = {(r["line"], r["section"]) for r in source._with_section(lines).collect()}
-    assert usual == {(r["line"], r["section"]) for r in source._with_section_by_block(lines).collect()}
+@pytest.mark.parametrize("per_range", [1, 3, 4096])
+def test_sections_of_many_blocks(spark, tmp_path, per_range):
+    """Sections against a walk over the text, with blocks that have no head, one or several."""
+    path, expected, section = tmp_path / "net.net", [], None
+    text = ["first"]
+    for i in range(300):
+        if i % 37 == 0 or i in (50, 51, 52):
+            text.append("*Vertices 1" if i % 2 else "*Arcs 1")
+        text.append(f"{i} {i}")
+    path.write_text("\n".join(text))
+    for line in text:
+        if line.startswith("*"):
+            section = "nodes" if line[1] == "V" else "links"
+        else:
+            expected.append((line, section))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64")
+    try:
+        lines = source.store(source._read_lines(spark, str(path)))
+        blocks = source._blocks(lines, per_range)
+        assert blocks.count() > 20
+        source_blocks, source._blocks = source._blocks, lambda _: blocks
+        try:
+            tagged = source._with_section(lines).where("head IS NULL").orderBy("place").collect()
+        finally:
+            source._blocks = source_blocks
+    finally:
+        spark.conf.set(key, before)
+    assert [(r["line"], r["section"]) for r in tagged] == expected
+
+
+def test_links_are_not_sorted(spark, capsys):
+    """Only numbers are carried along per pair, so Spark aggregates by hash."""
+    links = spark.createDataFrame([], "place long, src string, dst string, weight double, bad_line boolean, bad_weight boolean, line string")
+    source._last_links(links.repartition(2)).explain()
+    plan = capsys.readouterr().out
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
 def test_round_trip(spark, pajek, tmp_path):
