@@ -43,8 +43,13 @@ RANKED = {
 
 def rank_positions(metrics: DataFrame) -> DataFrame:
     """Add each node's position, from 1 in descending order, by citations, PageRank
-    and betweenness; ties go by id."""
-    frame = metrics
+    and betweenness; ties go by id.
+
+    Only ids and one metric at a time are sorted; rows meet their positions by a number of their own.
+    """
+    rows = store(metrics.withColumn("_key", F.monotonically_increasing_id()))
+    frame = rows
     for metric, position in RANKED.items():
-        frame = with_position(frame, [F.col(metric).desc(), F.col("id").asc()], position)
-    return frame
+        placed = with_position(rows.select("_key", "id", metric), [F.col(metric).desc(), F.col("id").asc()], position)
+        frame = frame.join(placed.select("_key", position), "_key")
+    return frame.drop("_key")
