@@ -3,7 +3,7 @@ checkpoint per round, with only a few scalars on the driver."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -97,6 +97,7 @@ def pagerank(
                 mass="sum(rank)",
                 dangling="sum(if(out_degree = 0, rank, 0D))",
                 change="sum(abs(rank - before))",
+                passing=["before"],
             )
             discard(written)
             written = state
@@ -222,11 +223,12 @@ def _shares(state: DataFrame, share: str) -> DataFrame:
     return state.where("out_degree > 0").selectExpr("id AS src", "out_degree", f"{share} AS share")
 
 
-def _next_round(state: DataFrame, **scalars: str) -> tuple[DataFrame, dict]:
-    """Checkpoint a round; its scalars are gathered by the very job that writes it."""
+def _next_round(state: DataFrame, passing: Sequence[str] = (), **scalars: str) -> tuple[DataFrame, dict]:
+    """Checkpoint a round without its ``passing`` columns, which only the scalars read; these are
+    gathered by the very job that writes it."""
     seen = Observation()
-    state = checkpoint(state.observe(seen, *[F.expr(f"{sql} AS {name}") for name, sql in scalars.items()]))
-    return state, seen.get
+    state = state.observe(seen, *[F.expr(f"{sql} AS {name}") for name, sql in scalars.items()])
+    return checkpoint(state.drop(*passing)), seen.get
 
 
 def _double(value: float) -> str:
