@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgauge.plans.loop import checkpoint_folder, store
 
-__all__ = ["BLANKS", "WORD", "expand", "fresh", "is_blank", "lower_az", "scratch", "store", "table", "word_count"]
+__all__ = ["BLANKS", "WORD", "expand", "fresh", "lower_az", "scratch", "store", "table", "word_count"]
 
 #: Blanks between words; a word is a run of other characters.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -63,15 +61,3 @@ def expand(frame: DataFrame, copies: str, index: str) -> DataFrame:
         )
         .drop(block)
     )
-
-
-def is_blank() -> bytes:
-    """256 bytes, 1 where the byte is a blank."""
-    return bytes(b in BLANKS for b in range(256))
-
-
-def in_arrow(
-    frame: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    """``mapInArrow`` under one name, so that the operators read alike."""
-    return frame.mapInArrow(work, schema)
