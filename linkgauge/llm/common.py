@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkgauge.plans.loop import checkpoint_folder, store
 
-__all__ = ["BLANKS", "WORD", "expand", "fresh", "lower_az", "scratch", "store", "table", "word_count"]
+__all__ = ["BLANKS", "WORD", "expand", "fresh", "join_hot", "lower_az", "scratch", "store", "table", "word_count"]
 
 #: Blanks between words; a word is a run of other characters.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Copies that one array of ``expand`` holds at most.
 STEP = 4096
+#: A key is hot if more rows than this have it, and more than a MOST_HOT-th of all; so no more than MOST_HOT keys are.
+HOT, MOST_HOT = 1000, 50_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -61,3 +63,18 @@ def expand(frame: DataFrame, copies: str, index: str) -> DataFrame:
         )
         .drop(block)
     )
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, copies: str = "copies") -> DataFrame:
+    """Inner join of ``rows`` with ``side``, a stored table of one row for each key that says in ``copies`` how many rows have it.
+
+    Rows of hot keys stay where they are and meet their few keys by broadcast.
+    """
+    seen = side.agg(F.sum(copies).alias("rows"), F.max(copies).alias("most")).first()
+    limit = max(HOT, (seen["rows"] or 0) // MOST_HOT)
+    plain = side.drop(copies)
+    if (seen["most"] or 0) <= limit:
+        return rows.join(plain, key)
+    hot = F.broadcast(side.where(F.col(copies) > limit).drop(copies))
+    light = rows.join(hot.select(key), key, "left_anti").join(side.where(F.col(copies) <= limit).drop(copies), key)
+    return light.unionByName(rows.join(hot, key))

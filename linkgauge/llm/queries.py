@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pieces, ppm, quality, sharding, simhash, substring, topk, urlfilter
+from . import chat, clusters, minhash, mixing, pieces, ppm, quality, sharding, simhash, substring, topk, urlfilter, whitening
 from .common import scratch, store, table
 
 SHARDS = 40
@@ -86,6 +86,18 @@ def _mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf, "documents"))
 
 
+def _minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+def _clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.with_inertia(*clusters.clustered(table(spark, sf, "embeddings")))
+
+
+def _whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": _top_k,
@@ -98,6 +110,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": _url_filter,
         "op9_substring_dedup": _substring,
         "op10_mixing": _mixing,
+        "op11_minhash": _minhash,
+        "op12_centroid_clusters": _clusters,
+        "op13_whitening": _whitening,
     }
 
 
@@ -202,6 +217,56 @@ SELECT doc_id, size, source_size, target,
 FROM draws"""
 
 
+MINHASH_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT ROW_NUMBER() OVER () AS n, doc_id,
+         regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS MATERIALIZED (
+  SELECT n, doc_id, list_distinct(CASE WHEN len(ws) > 1
+      THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS shingles
+  FROM words),
+each AS MATERIALIZED (SELECT n, len(shingles) AS size, unnest(shingles) AS s FROM sets),
+links AS MATERIALIZED (
+  SELECT a.n AS a, b.n AS b FROM each a JOIN each b ON a.s = b.s AND a.n <> b.n
+  GROUP BY a.n, b.n, a.size, b.size HAVING 100 * COUNT(*) >= 80 * (a.size + b.size - COUNT(*))),
+reach(n, m) AS (SELECT n, n FROM sets UNION SELECT r.n, l.b FROM reach r JOIN links l ON l.a = r.m),
+components AS (SELECT r.n, MIN(s.doc_id) AS component_id FROM reach r JOIN sets s ON s.n = r.m GROUP BY r.n)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id,
+       COALESCE(doc_id = component_id, FALSE) AS kept
+FROM sets JOIN components USING (n)"""
+
+
+def _clusters_sql() -> str:
+    """Three rounds and a last assignment; distances from products, which are whole numbers as doubles."""
+    parts = [r"""
+kept AS MATERIALIZED (
+  SELECT ROW_NUMBER() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+centroids_0 AS MATERIALIZED (
+  SELECT CAST(ROW_NUMBER() OVER (ORDER BY sha256('1:' || COALESCE(vec_id::VARCHAR, '')), v) - 1 AS INTEGER) AS c, v
+  FROM kept QUALIFY c < 16)"""]
+    for k in range(4):
+        parts.append(f"""
+assigned_{k} AS MATERIALIZED (
+  SELECT n, vec_id, kept.v, c, list_inner_product(kept.v, kept.v) - 2 * list_inner_product(kept.v, m.v)
+                               + list_inner_product(m.v, m.v) AS distance
+  FROM kept CROSS JOIN centroids_{k} m QUALIFY ROW_NUMBER() OVER (PARTITION BY n ORDER BY distance, c) = 1)""")
+        if k < 3:
+            parts.append(f"""
+centroids_{k + 1} AS MATERIALIZED (
+  SELECT c, COALESCE(means.v, m.v) AS v FROM centroids_{k} m LEFT JOIN (
+    SELECT c, list(floor(total / members) ORDER BY i) AS v FROM (
+      SELECT c, i, SUM(x) AS total, COUNT(*) AS members
+      FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM assigned_{k}) GROUP BY c, i) GROUP BY c) means USING (c))""")
+    return "WITH" + ",".join(parts) + """
+SELECT vec_id, c AS cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(SUM(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(SUM(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(m.v, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM assigned_3 JOIN centroids_3 m USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_top_k": TOP_K_SQL,
@@ -209,4 +274,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_url_filters": URL_SQL,
         "op9_substring_dedup": REPEATS_SQL,
         "op10_mixing": MIX_SQL,
+        "op11_minhash": MINHASH_SQL,
+        "op12_centroid_clusters": _clusters_sql(),
     }

@@ -19,3 +19,12 @@ def odd(spark, tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory):
     return _written(spark, tmp_path_factory.mktemp("empty"), True)
+
+
+@pytest.fixture(scope="session")
+def wide(spark, tmp_path_factory):
+    """A folder with embeddings of 64 components."""
+    folder = tmp_path_factory.mktemp("wide")
+    frame = spark.createDataFrame(tables.wide_embeddings(), tables.EMBEDDINGS)
+    frame.repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)

@@ -69,6 +69,17 @@ def embeddings():
     return [(i, v, 0, 0) for i, v in rows]
 
 
+def wide_embeddings():
+    """Vectors of 64 components: clusters, ties and repeats, and rows that take no part."""
+    rng = random.Random(11)
+    centres = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(9)]
+    rows = [(i, [x + rng.gauss(0, 0.05) for x in centres[i % 9]]) for i in range(400)]
+    rows += [(i, rows[3][1]) for i in range(400, 430)] + [rows[50], rows[50], (60, rows[61][1]), (None, rows[5][1]), (None, rows[6][1])]
+    rows += [(500, [0.0] * 64), (501, [0.0] * 64), (502, None), (503, [1.0, None] * 32), (504, [float("nan")] * 64)]
+    rows += [(505, [float("-inf")] * 64), (506, []), (507, [1.0] * 63), (508, [1.0] * 65), (-1, [-1 / 64] * 64)]
+    return [(i, v, 0, 0) for i, v in rows]
+
+
 TABLES = {
     "documents": (documents, DOCUMENTS), "pages": (pages, PAGES), "conversations": (conversations, CONVERSATIONS),
     "embeddings": (embeddings, EMBEDDINGS),

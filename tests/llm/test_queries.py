@@ -4,6 +4,7 @@ import collections
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -45,6 +46,43 @@ def test_empty_tables(spark, empty, name):
     assert len(rows) == (1 if name == "op4_chat_format" else 0)
 
 
+def test_clusters_of_wide_vectors(spark, wide):
+    database = duckdb.connect()
+    database.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{wide}/embeddings.parquet/*.parquet'")
+    result = database.sql(queries.oracle_sql()["op12_centroid_clusters"])
+    expected = sorted(result.fetchall(), key=repr)
+    assert rows_of(run(spark, wide, "op12_centroid_clusters").select(*result.columns)) == expected
+    assert len(expected) == 438 and len({r[1] for r in expected}) > 5
+
+
+@pytest.mark.parametrize("folder", ["odd", "wide"])
+def test_whitening(spark, request, folder):
+    made, width = {"odd": (tables.embeddings, 16), "wide": (tables.wide_embeddings, 64)}[folder]
+    kept = [(i, v) for i, v, *_ in made() if v and len(v) == width and all(x is not None and np.isfinite(x) for x in v)]
+    x = np.floor(1024 * np.array([v for _, v in kept], np.float32).astype(float)).astype(np.int64)
+    n, off = len(x), len(x) * x - x.sum(axis=0)
+    values, vectors = np.linalg.eigh(off.T.astype(float) @ off / n**3)
+    order = np.argsort(-values)[:8]
+    expected = collections.defaultdict(list)
+    for (i, _), d, w in zip(kept, (off**2).sum(axis=1), off / n @ vectors[:, order] / np.sqrt(values[order])):
+        expected[i].append((int(d), w))
+    rows = collections.defaultdict(list)
+    frame = run(spark, request.getfixturevalue(folder), "op13_whitening")
+    for r in frame.orderBy("component").collect():
+        rows[r["vec_id"], r["deviation"]].append(r)
+        assert r["n"] == n and r["identity_error"] < 1e-9 and r["deviation_digits"] == str(r["deviation"])
+        assert r["explained"] == pytest.approx(values[order][r["component"] - 1] / values.sum(), rel=1e-9)
+    assert sum(map(len, rows.values())) == 8 * n
+    apart = values[order][:-1] / values[order][1:] - 1
+    clear = [c for c in range(8) if (c == 0 or apart[c - 1] > 1e-6) and (c == 7 or apart[c] > 1e-6)]
+    assert len(clear) > 5
+    for i, each in expected.items():
+        for d, w in each:
+            own = rows[i, d]
+            for c in clear:
+                assert abs(own[c * len(own) // 8]["whitened"]) == pytest.approx(abs(w[c]), abs=1e-6)
+
+
 def test_sharding(spark, odd):
     rows = run(spark, odd, "op2_sharding").collect()
     assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in rows), key=repr) == sorted(
