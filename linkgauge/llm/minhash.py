@@ -9,9 +9,9 @@ of about 1e-7. Candidates are confirmed on their full sets.
 
 Documents with the same set are one node. Nodes that share a key are a bucket, and what counts is which of its
 members are linked, directly or not. So first each node is compared with the least node of all its buckets, and then only members of different
-components are: in each round some members of a bucket's smaller components are compared with all members outside their own and
-leave the bucket, twice as many each round, until every bucket lies in one component. So copies take about one
-comparison each, and no pair of a bucket that could join two components goes unseen.
+components are: the members outside a bucket's largest component are compared with all members outside their own, in one round
+if that makes few comparisons, else some of them, which leave the bucket, until every bucket lies in one component. So copies take about
+one comparison each, and no pair of a bucket that could join two components goes unseen.
 
 Scale: texts are read once. Buckets are counted, hot ones salted, and so are comparisons of one node with many; sets
 go to the comparisons by node, as often as a node has any. Rounds are written to the shared folder.
@@ -28,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,8 +45,12 @@ SEED = 42
 REMEMBERED = 500_000
 #: Shingles passed on at a time, and shingles thrown at a time.
 FLUSHED, THROWN = 1 << 19, 1 << 14
+#: Nodes up to which the table of the texts they are is broadcast (about 50 MB).
+BROADCAST_NODES = 1_000_000
 #: Members of a bucket, and comparisons of a node, that meet in one task at most.
 LIMIT = 1000
+#: Comparisons in a round for each member of a bucket that lies in several components.
+PER_MEMBER = 64
 EMPTY = np.uint64(2**64 - 1)
 
 # Multipliers and shifts of a 64-bit finalizer.
@@ -61,10 +64,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class _Hashes(dict):
+    """Hashes of words, remembered."""
+
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh64_intdigest(word, SEED)
         return value
 
+    def trim(self) -> None:
+        if len(self) >= REMEMBERED:
+            self.clear()
+
 
 def shingles(text: bytes | None, hashes: dict, width: int = WIDTH) -> np.ndarray:
     """The distinct shingles of a text, sorted."""
@@ -108,48 +117,67 @@ def band_keys(coordinates: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return mixed(keys).view(np.int64)
 
 
+def _rows(documents: DataFrame) -> DataFrame:
+    return documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text")
+    )
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64)))
+
+
 def sketched(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Stored rows (row, doc_id, n_shingles, set_key, bands, shingles), one for each document; set_key is null for
-    an empty set. ``row`` numbers the rows of the table."""
-    names = ["row", "doc_id", "n_shingles", "set_key", "bands", "shingles"]
+    """Stored rows (doc_id, text_key, n_shingles, set_key, bands), one for each document; set_key is null for an empty set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lists(parts: list[np.ndarray]) -> pa.ListArray:
-            offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64)))
+        hashes = _Hashes()
+        for batch in batches:
+            sizes, keys, bands = [], [], []
+            for text in batch.column(2):
+                own = shingles(text.as_py(), hashes, width)
+                sizes.append(len(own))
+                keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+                bands.append(band_keys(sketch(own)) if len(own) else np.empty(0, np.int64))
+                hashes.trim()
+            if sizes:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(bands)],
+                    ["doc_id", "text_key", "n_shingles", "set_key", "bands"],
+                )
+
+    return store(_rows(documents).mapInArrow(
+        work, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"
+    ))
+
+
+def full_sets(documents: DataFrame, picked: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Stored rows (node, n, shingles) of the rows (node, doc_id, text_key) of a stored table, from the documents with that id and text."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            ids, sets, keys, bands = zip(*waiting)
-            numbers = np.arange(row, row + len(ids))
-            return pa.RecordBatch.from_arrays([
-                pa.array(numbers), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(keys, pa.binary()), lists(bands), lists(sets),
-            ], names)
-
-        hashes, waiting, held = _Hashes(), [], 0
-        row = TaskContext.get().partitionId() << 40
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), sizes, _lists(sets)], ["node", "n", "shingles"])
+
+        hashes, nodes, sets, held = _Hashes(), [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = shingles(text.as_py(), hashes, width)
-                some = len(own) > 0
-                waiting.append((
-                    doc, own, xxhash.xxh3_128_digest(own.tobytes()) if some else None,
-                    band_keys(sketch(own)) if some else np.empty(0, np.int64),
-                ))
-                held += len(own) + SIZE // ROWS
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                nodes.append(node)
+                sets.append(shingles(text.as_py(), hashes, width))
+                held += len(sets[-1])
+                hashes.trim()
                 if held >= FLUSHED:
                     yield out()
-                    row += len(waiting)
-                    waiting, held = [], 0
-                if len(hashes) >= REMEMBERED:
-                    hashes.clear()
-        if waiting:
+                    nodes, sets, held = [], [], 0
+        if nodes:
             yield out()
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return store(rows.mapInArrow(
-        work, "row long, doc_id long, n_shingles long, set_key binary, bands array<long>, shingles array<long>"
-    ))
+    wanted = picked.toDF("node", "of_id", "of_key")
+    wanted = F.broadcast(wanted) if picked.count() <= BROADCAST_NODES else wanted
+    rows = _rows(documents)
+    found = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
+    return store(found.select("node", "text").mapInArrow(work, "node long, n long, shingles array<long>"))
 
 
 # --------------------------------------------------------------- compare
@@ -202,55 +230,68 @@ def _with_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
     return dealt.join(_salted(pivots).drop("salts"), ["key", "salt"])
 
 
-def roots_of(nodes: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """Rows (node, root) of the nodes that are linked; root is the least node of the component. ``nodes`` is a
-    stored table of node, n, bands and shingles."""
-    members = buckets(nodes)
-    held = members.select("node").distinct()
-    sets = store(nodes.join(held, "node").select("node", "n", "shingles"))
+def roots_of(members: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Rows (node, root) of the nodes that are linked; root is the least node of the component. ``members`` are those of
+    ``buckets``, ``sets`` a stored table of node, n and shingles."""
     first = members.groupBy("key", "salts").agg(F.min("node").alias("pivot"))
     pairs = _with_pivots(members, first).where("pivot < node").groupBy("node").agg(F.min("pivot").alias("a"))
     tested = store(pairs.select("a", F.col("node").alias("b")))
     links = linked(tested, sets, similar)
-    taken = 1
     while True:
         roots = store(components(links))
         now = store(_rooted(members, roots))
         by_root = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"))
         most = store(by_root.groupBy("key").agg(
-            F.max_by("root", F.struct("members", "root")).alias("major"), F.count(F.lit(1)).alias("roots"),
-            F.sum("members").alias("copies"),
-        ).where("roots > 1").drop("roots"))
-        if most.isEmpty():
+            F.max(F.struct("members", "root")).alias("major"), F.count(F.lit(1)).alias("roots"), F.sum("members").alias("copies"),
+        ).where("roots > 1").select("key", "major.root", (F.col("copies") - F.col("major.members")).alias("others"), "copies"))
+        taken, whole = _pivots_of(most)
+        if not taken:
             return roots
-        now = store(join_hot(now, most, "key"))
-        order = Window.partitionBy("key").orderBy("node")
-        pivots = now.where("root <> major").withColumn("place", F.row_number().over(order)).where(F.col("place") <= taken)
-        pivots = store(pivots.select("key", "salts", F.col("node").alias("pivot"), F.col("root").alias("of")))
-        met = store(_with_pivots(now, pivots).select("key", "node", "root", "pivot", "of"))
-        asked = met.where("root <> of").select(F.greatest("node", "pivot").alias("b"), F.least("node", "pivot").alias("a"))
-        new = store(asked.distinct().join(tested, ["a", "b"], "left_anti").select("a", "b"))
-        tested = store(tested.union(new))
+        now = store(join_hot(now, most.select("key", F.col("root").alias("major"), "copies"), "key"))
+        pivots = now.where("root <> major").select("key", "salts", F.col("node").alias("pivot"), F.col("root").alias("of"))
+        if not whole:
+            order = Window.partitionBy("key").orderBy("pivot")
+            pivots = pivots.withColumn("place", F.row_number().over(order)).where(F.col("place") <= taken).drop("place")
+            pivots = store(pivots)
+        met = _with_pivots(now, pivots).where("root <> of")
+        asked = met.select(F.greatest("node", "pivot").alias("b"), F.least("node", "pivot").alias("a")).distinct()
+        new = store(asked.join(tested, ["a", "b"], "left_anti").select("a", "b"))
         links = store(links.union(linked(new, sets, similar)))
+        if whole:
+            return components(links)
+        tested = store(tested.union(new))
         gone = pivots.select("key", F.col("pivot").alias("node"))
         members = store(now.select("key", "salts", "node").join(gone, ["key", "node"], "left_anti"))
-        taken *= 2
+
+
+def _pivots_of(most: DataFrame) -> tuple[int, bool]:
+    """How many members of each bucket's smaller components the next round compares, and whether these are all: as many, a power of
+    two, as make ``PER_MEMBER`` comparisons for each member, and 0 if no bucket lies in several components."""
+    powers = [1 << i for i in range(40)]
+    each = [F.sum(F.least("others", F.lit(p)).cast("double") * F.col("copies")).alias(f"p{p}") for p in powers]
+    seen = most.agg(F.max("others").alias("others"), F.sum("copies").alias("members"), *each).first()
+    if not seen["others"]:
+        return 0, True
+    taken = max(p for p in powers if p == 1 or seen[f"p{p}"] <= PER_MEMBER * seen["members"])
+    return taken, taken >= seen["others"]
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each document."""
     rows = sketched(documents, width)
     sets = rows.where("set_key IS NOT NULL")
-    each = store(sets.groupBy("set_key").agg(
-        F.min("row").alias("node"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")
-    ))
-    nodes = store(each.select(F.col("node").alias("row")).join(rows, "row").select(
-        F.col("row").alias("node"), F.col("n_shingles").alias("n"), "bands", "shingles"
-    ))
-    named = _rooted(each, roots_of(nodes, similar))
-    named = store(named)
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("copies"))
-    held = store(join_hot(named.withColumnRenamed("copies", "rows"), store(ids), "root").select(
+    nodes = store(sets.groupBy("set_key").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("pick"),
+        F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"),
+    ).select("set_key", "pick.doc_id", "pick.text_key", "bands", "copies", F.monotonically_increasing_id().alias("node")))
+    members = buckets(nodes)
+    picked = store(nodes.select("node", "doc_id", "text_key").join(members.select("node").distinct(), "node"))
+    full = full_sets(documents, picked, width)
+    if full.count() > picked.count():  # rows with the same id and text
+        full = store(full.dropDuplicates(["node"]))
+    named = store(_rooted(nodes.select("set_key", "node", "doc_id", "copies"), roots_of(members, full, similar)))
+    ids = store(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("copies")))
+    held = store(join_hot(named.select("set_key", "root", F.col("copies").alias("rows")), ids, "root").select(
         "set_key", "component_id", F.col("rows").alias("copies")
     ))
     found = join_hot(sets.select("set_key", "doc_id", "n_shingles"), held, "set_key").select("doc_id", "n_shingles", "component_id")

@@ -53,9 +53,10 @@ def families(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("limit", [1000, 5])
-def test_components_against_all_pairs(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit,per_member", [(1000, 64), (5, 2)])
+def test_components_against_all_pairs(spark, monkeypatch, limit, per_member):
     monkeypatch.setattr(minhash, "LIMIT", limit)
+    monkeypatch.setattr(minhash, "PER_MEMBER", per_member)
     monkeypatch.setattr(common, "HOT", limit)
     rows = families(1)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
