@@ -8,10 +8,10 @@ cost of a few rounds. Bands of ``ROWS`` coordinates are keys: two sets of simila
 of about 1e-7. Candidates are confirmed on their full sets.
 
 Documents with the same set are one node. Nodes that share a key are a bucket, and what counts is which of its
-members are linked, directly or not. So first each node is compared with the least node of all its buckets, and then only members of different
-components are: the members outside a bucket's largest component are compared with all members outside their own, in one round
-if that makes few comparisons, else some of them, which leave the bucket, until every bucket lies in one component. So copies take about
-one comparison each, and no pair of a bucket that could join two components goes unseen.
+members are linked, directly or not. So in each round a node outside the largest component of one of its buckets is compared with one node of that component.
+Once such rounds link few nodes more, all pairs of a bucket in different components that are left are compared. So copies take about one
+comparison each, and no pair of a bucket that could join two components goes unseen. Pairs whose numbers of shingles, or parities of shingles on some bits, show
+that they can't be similar aren't compared.
 
 Scale: texts are read once. Buckets are counted, hot ones salted, and so are comparisons of one node with many; sets
 go to the comparisons by node, as often as a node has any. Rounds are written to the shared folder.
@@ -30,7 +30,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import join_hot, store
 from .components import components
@@ -49,8 +48,10 @@ FLUSHED, THROWN = 1 << 19, 1 << 14
 BROADCAST_NODES = 1_000_000
 #: Members of a bucket, and comparisons of a node, that meet in one task at most.
 LIMIT = 1000
-#: Comparisons in a round for each member of a bucket that lies in several components.
-PER_MEMBER = 64
+#: When a round links fewer than this part of the nodes, the next one compares all that are left.
+FEW = 20
+#: Bits that bound from below in how many shingles two sets differ.
+PARITIES = 1024
 EMPTY = np.uint64(2**64 - 1)
 
 # Multipliers and shifts of a 64-bit finalizer.
@@ -117,6 +118,13 @@ def band_keys(coordinates: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return mixed(keys).view(np.int64)
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of ``PARITIES`` bits. Where two sets differ, at least as many shingles are
+    in one of them only."""
+    odd = np.bincount((elements % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text")
@@ -153,12 +161,13 @@ def sketched(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def full_sets(documents: DataFrame, picked: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Stored rows (node, n, shingles) of the rows (node, doc_id, text_key) of a stored table, from the documents with that id and text."""
+    """Stored rows (node, n, parities, shingles) of the rows (node, doc_id, text_key) of a stored table, from the documents with that id and text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), sizes, _lists(sets)], ["node", "n", "shingles"])
+            columns = [pa.array(nodes, pa.int64()), sizes, _lists([parities(s) for s in sets]), _lists(sets)]
+            return pa.RecordBatch.from_arrays(columns, ["node", "n", "parities", "shingles"])
 
         hashes, nodes, sets, held = _Hashes(), [], [], 0
         for batch in batches:
@@ -177,7 +186,7 @@ def full_sets(documents: DataFrame, picked: DataFrame, width: int = WIDTH) -> Da
     wanted = F.broadcast(wanted) if picked.count() <= BROADCAST_NODES else wanted
     rows = _rows(documents)
     found = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
-    return store(found.select("node", "text").mapInArrow(work, "node long, n long, shingles array<long>"))
+    return store(found.select("node", "text").mapInArrow(work, "node long, n long, parities array<long>, shingles array<long>"))
 
 
 # --------------------------------------------------------------- compare
@@ -192,12 +201,22 @@ def _salted(side: DataFrame) -> DataFrame:
     return side.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
 
 
+def possible(a: str, b: str, similar: int) -> Column:
+    """Whether two sets, by their numbers of shingles ``n`` and their parities, may be similar: an exact bound."""
+    differing = sum(F.bit_count(F.col(f"parities_{a}")[i].bitwiseXOR(F.col(f"parities_{b}")[i])) for i in range(PARITIES // 64))
+    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+    # with s shingles in all and d in one only, (s - d) / 2 are shared out of (s + d) / 2
+    return (100 * F.least(n_a, n_b) >= similar * F.greatest(n_a, n_b)) & (
+        (100 + similar) * differing <= (100 - similar) * (n_a + n_b)
+    )
+
+
+def _sized(sets: DataFrame, of: str) -> DataFrame:
+    return sets.select("node", F.col("n").alias(f"n_{of}"), F.col("parities").alias(f"parities_{of}"))
+
+
 def linked(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """Stored rows (a, b) of the pairs (a, b) whose full sets are similar. ``sets`` has node, n and shingles."""
-    sized = sets.select("node", "n")
-    both = pairs.join(sized.toDF("a", "n_a"), "a").join(sized.toDF("b", "n_b"), "b")
-    # a set that is too much smaller can't share enough
-    pairs = store(both.where(100 * F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b")).select("a", "b"))
+    """Stored rows (a, b) of the pairs (a, b) whose full sets are similar. ``sets`` has node and shingles."""
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LIMIT).alias("salts"))
     many = store(many.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a"))
     salts = many.select("a", "salts").where("salts > 1")
@@ -232,48 +251,43 @@ def _with_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
 
 def roots_of(members: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """Rows (node, root) of the nodes that are linked; root is the least node of the component. ``members`` are those of
-    ``buckets``, ``sets`` a stored table of node, n and shingles."""
-    first = members.groupBy("key", "salts").agg(F.min("node").alias("pivot"))
-    pairs = _with_pivots(members, first).where("pivot < node").groupBy("node").agg(F.min("pivot").alias("a"))
-    tested = store(pairs.select("a", F.col("node").alias("b")))
-    links = linked(tested, sets, similar)
+    ``buckets``, ``sets`` a stored table of node, n, parities and shingles."""
+    members = store(members.join(_sized(sets, "node"), "node"))
+    links = tested = store(members.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False)))
+    all_at_once, held = False, sets.count()
     while True:
         roots = store(components(links))
         now = store(_rooted(members, roots))
-        by_root = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"))
+        by_root = now.groupBy("key", "root").agg(
+            F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n_node", "parities_node")).alias("least")
+        )
         most = store(by_root.groupBy("key").agg(
-            F.max(F.struct("members", "root")).alias("major"), F.count(F.lit(1)).alias("roots"), F.sum("members").alias("copies"),
-        ).where("roots > 1").select("key", "major.root", (F.col("copies") - F.col("major.members")).alias("others"), "copies"))
-        taken, whole = _pivots_of(most)
-        if not taken:
-            return roots
-        now = store(join_hot(now, most.select("key", F.col("root").alias("major"), "copies"), "key"))
-        pivots = now.where("root <> major").select("key", "salts", F.col("node").alias("pivot"), F.col("root").alias("of"))
-        if not whole:
-            order = Window.partitionBy("key").orderBy("pivot")
-            pivots = pivots.withColumn("place", F.row_number().over(order)).where(F.col("place") <= taken).drop("place")
-            pivots = store(pivots)
-        met = _with_pivots(now, pivots).where("root <> of")
-        asked = met.select(F.greatest("node", "pivot").alias("b"), F.least("node", "pivot").alias("a")).distinct()
-        new = store(asked.join(tested, ["a", "b"], "left_anti").select("a", "b"))
-        links = store(links.union(linked(new, sets, similar)))
-        if whole:
+            F.max(F.struct("members", F.col("root").alias("major"), "least")).alias("most"),
+            F.count(F.lit(1)).alias("roots"), F.sum("members").alias("copies"),
+        ).where("roots > 1").select("key", "most.major", "most.least", "copies"))
+        now = store(join_hot(now, most.select("key", "major", "copies"), "key"))
+        if all_at_once:
+            asked = now.where("root <> major").select(
+                "key", "salts", F.col("node").alias("pivot"), F.col("n_node").alias("n_pivot"), F.col("root").alias("of"),
+                F.col("parities_node").alias("parities_pivot"),
+            )
+        else:
+            asked = now.select("key", "salts").distinct().join(most, "key").select(
+                "key", "salts", F.col("least.node").alias("pivot"), F.col("least.n_node").alias("n_pivot"),
+                F.col("major").alias("of"), F.col("least.parities_node").alias("parities_pivot"),
+            )
+        met = _with_pivots(now, asked).where((F.col("root") != F.col("of")) & possible("node", "pivot", similar))
+        pairs = met.withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot"))
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if not all_at_once:
+            pairs = pairs.groupBy("node").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b")
+        new = store(pairs.select("a", "b").distinct())
+        found = linked(new, sets, similar)
+        links = store(links.union(found))
+        if all_at_once:
             return components(links)
         tested = store(tested.union(new))
-        gone = pivots.select("key", F.col("pivot").alias("node"))
-        members = store(now.select("key", "salts", "node").join(gone, ["key", "node"], "left_anti"))
-
-
-def _pivots_of(most: DataFrame) -> tuple[int, bool]:
-    """How many members of each bucket's smaller components the next round compares, and whether these are all: as many, a power of
-    two, as make ``PER_MEMBER`` comparisons for each member, and 0 if no bucket lies in several components."""
-    powers = [1 << i for i in range(40)]
-    each = [F.sum(F.least("others", F.lit(p)).cast("double") * F.col("copies")).alias(f"p{p}") for p in powers]
-    seen = most.agg(F.max("others").alias("others"), F.sum("copies").alias("members"), *each).first()
-    if not seen["others"]:
-        return 0, True
-    taken = max(p for p in powers if p == 1 or seen[f"p{p}"] <= PER_MEMBER * seen["members"])
-    return taken, taken >= seen["others"]
+        all_at_once = found.count() * FEW <= held
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:

@@ -53,10 +53,10 @@ def families(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("limit,per_member", [(1000, 64), (5, 2)])
-def test_components_against_all_pairs(spark, monkeypatch, limit, per_member):
+@pytest.mark.parametrize("limit,few", [(1000, 20), (5, 1)])
+def test_components_against_all_pairs(spark, monkeypatch, limit, few):
     monkeypatch.setattr(minhash, "LIMIT", limit)
-    monkeypatch.setattr(minhash, "PER_MEMBER", per_member)
+    monkeypatch.setattr(minhash, "FEW", few)
     monkeypatch.setattr(common, "HOT", limit)
     rows = families(1)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
@@ -94,6 +94,16 @@ def test_sketches_fill_and_estimate():
         assert np.std(shared) < 1.5 * (similarity * (1 - similarity) / minhash.SIZE) ** 0.5
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for size in (3, 100, 3000):
+        x = np.unique(rng.integers(1, 2**62, size).astype(np.uint64))
+        y = np.unique(np.concatenate((x[size // 4 :], rng.integers(1, 2**62, size // 5).astype(np.uint64))))
+        bits = int(np.bitwise_count(minhash.parities(x) ^ minhash.parities(y)).sum())
+        assert bits <= len(np.setxor1d(x, y))
+        assert size != 100 or bits > 0.9 * len(np.setxor1d(x, y))
+
+
 def test_sketch_is_the_same_whatever_is_thrown_at_once(monkeypatch):
     elements = np.arange(1, 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     at_once = minhash.sketch(elements)
