@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_sum
 from ..plans.loop import hashed, partitions_for, store
 
 
@@ -37,8 +38,9 @@ class LinksBySource:
     nodes: int
     partitions: int
 
-    def inflow(self, shares: DataFrame, value: str) -> DataFrame:
-        """id, inflow: the sum of ``value`` over a node's incoming links.
+    def inflow(self, shares: DataFrame, value: str, bound: float) -> DataFrame:
+        """id, inflow: the sum of ``value`` over a node's incoming links, the same whatever their order; all
+        values together are at most ``bound``.
 
         ``shares`` (src, share, out_degree) has one row per sending node. Sums are
         formed before the shuffle, so a target hub receives at most one row per task.
@@ -49,7 +51,7 @@ class LinksBySource:
         if self.heavy is not None:
             hubs = F.broadcast(shares.where(self.is_hub))
             sent = sent.union(self.heavy.join(hubs, "src").selectExpr(*columns))
-        return sent.groupBy("id").agg(F.expr("sum(value) AS inflow"))
+        return sent.groupBy("id").agg(F.expr(f"{exact_sum('value', bound)} AS inflow"))
 
     def release(self) -> None:
         self.light.unpersist()
@@ -114,9 +116,9 @@ class LinksByEnd:
 
 
 def links_by_end(edges: DataFrame, end: str, links: int, partitions: int) -> LinksByEnd:
-    """Lay out the node pairs of ``edges`` by ``end`` with salted hubs."""
+    """Lay out the links ``edges``, with all their columns, by ``end`` with salted hubs."""
     other = "dst" if end == "src" else "src"
-    pairs = edges.select("src", "dst")
+    pairs = edges
     limit = hub_limit(links, partitions)
     hubs = (
         pairs.groupBy(end)
@@ -129,6 +131,6 @@ def links_by_end(edges: DataFrame, end: str, links: int, partitions: int) -> Lin
         hubs.unpersist()
         return LinksByEnd(pairs.repartition(partitions, end).persist(), end, None, partitions)
     salted = pairs.join(F.broadcast(hubs), end, "left").select(
-        "src", "dst", F.pmod(F.hash(other), F.coalesce("salts", F.lit(1))).alias("salt")
+        *edges.columns, F.pmod(F.hash(other), F.coalesce("salts", F.lit(1))).alias("salt")
     )
     return LinksByEnd(salted.repartition(partitions, end, "salt").persist(), end, hubs, partitions)

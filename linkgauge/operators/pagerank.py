@@ -1,16 +1,22 @@
 """PageRank in three forms, each a loop of one join, one aggregation and one
-checkpoint per round, with only a few scalars on the driver."""
+checkpoint per round, with only a few scalars on the driver.
+
+All sums are exact (see ``functions.exact``), so ranks are the same to the last bit on every
+run, whatever the partitions, and so is the round in which a stop rule holds.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_sum
 from ..plans.loop import checkpoint, discard, fixed_layout, hashed, partitions_for
 from ..schema import Graph, GraphError
 from ..sources.tables import checked
@@ -25,6 +31,12 @@ MIN_ITER = 50
 TOL = 1.0e-15
 ALPHA_STEP = 1.0e-10
 
+# What the ranks of the power method sum to at most; they sum to 1 but for rounding.
+RANKS = 2.0
+
+# Rounds of gains after which they are added to the ranks.
+FOLD = 16
+
 # The first round has no earlier change to compare with; by teleport rule.
 INITIAL_CHANGE = {"total_weight": 1.0, "count": 0.0}
 
@@ -86,7 +98,7 @@ def pagerank(
             # What the new ranks will sum to before division, known from the old.
             total = teleported * teleport_sum + beta * (mass - dangling)
             shares = _shares(state, "rank / out_weight")
-            inflow = hashed(start.links.inflow(shares, "weight * share"), nodes, partitions)
+            inflow = hashed(start.links.inflow(shares, "weight * share", RANKS), nodes, partitions)
             received = state.join(inflow, "id", "left")
             step, base = _double(beta / total), _double(teleported / divisor / total)
             state, seen = _next_round(
@@ -94,9 +106,9 @@ def pagerank(
                     "id", "node_weight", "out_degree", "out_weight", "rank AS before",
                     f"{base} * node_weight + {step} * coalesce(inflow, 0D) AS rank",
                 ),
-                mass="sum(rank)",
-                dangling="sum(if(out_degree = 0, rank, 0D))",
-                change="sum(abs(rank - before))",
+                mass=exact_sum("rank", RANKS),
+                dangling=exact_sum("if(out_degree = 0, rank, 0D)", RANKS),
+                change=exact_sum("abs(rank - before)", 2 * RANKS),
                 passing=["before"],
             )
             discard(written)
@@ -141,9 +153,10 @@ def pagerank_static(
     with _started(graph, ["src", "dst"], header["num_node"], partitions) as start:
         state = start.state.selectExpr("id", "out_degree", f"{_double(initial)} AS rank")
         reset, step = _double(reset_prob), _double(1.0 - reset_prob)
+        most = _most(start.totals["nodes"], reset_prob, initial)
         written = start.state
         for _ in range(num_iter):
-            inflow = start.links.inflow(_shares(state, "rank / out_degree"), "share")
+            inflow = start.links.inflow(_shares(state, "rank / out_degree"), "share", most)
             received = state.join(hashed(inflow, start.totals["nodes"], partitions), "id", "left")
             state = checkpoint(received.selectExpr("id", "out_degree", f"{reset} + {step} * coalesce(inflow, 0D) AS rank"))
             discard(written)
@@ -158,6 +171,9 @@ def pagerank_delta(
 
     A node passes on what its rank just gained, once, and only if that exceeds
     ``tol``; smaller gains stay with the node and are not passed on later.
+
+    A round writes the gains of the nodes that have any, not all nodes; every ``FOLD`` rounds
+    these are added up.
     """
     graph = checked(graph)
     header = graph.header.first()
@@ -165,23 +181,49 @@ def pagerank_delta(
         return RankedGraph(_empty(graph, "page_rank"), graph.edges)
     partitions = partitions or partitions_for(max(header["num_node"], header["link_lines"]))
     with _started(graph, ["src", "dst"], header["num_node"], partitions) as start:
-        reset, step = _double(reset_prob), _double(1.0 - reset_prob)
-        state = start.state.selectExpr("id", "out_degree", f"{reset} AS rank", f"{reset} AS delta")
-        written = start.state
-        sends = f"delta > {_double(tol)}"
+        nodes, reset, step = start.totals["nodes"], _double(reset_prob), _double(1.0 - reset_prob)
+        most = _most(nodes, reset_prob)
+        degrees = start.state.select("id", "out_degree")
+        gains = degrees.selectExpr("id", "out_degree", f"{reset} AS delta")
+        added, log = None, []
         sending = start.totals["senders"] if reset_prob > tol else 0
         while sending:
-            inflow = start.links.inflow(_shares(state.where(sends), "delta / out_degree"), "share")
-            gain = f"{step} * coalesce(inflow, 0D)"
-            received = state.join(hashed(inflow, start.totals["nodes"], partitions), "id", "left")
-            state, seen = _next_round(
-                received.selectExpr("id", "out_degree", f"rank + {gain} AS rank", f"{gain} AS delta"),
+            sends = f"delta > {_double(tol)}"
+            inflow = start.links.inflow(_shares(gains.where(sends), "delta / out_degree"), "share", most)
+            received = degrees.join(hashed(inflow, nodes, partitions), "id")
+            gains, seen = _next_round(
+                received.selectExpr("id", "out_degree", f"{step} * inflow AS delta"),
                 sending=f"count_if({sends} AND out_degree > 0)",
             )
-            discard(written)
-            written = state
+            log.append(gains)
             sending = seen["sending"]
-    return RankedGraph(state.select("id", F.col("rank").alias("page_rank")), graph.edges)
+            if len(log) == FOLD or not sending:
+                folded, added, log = added, _added(added, log, most), _let_go(log, bool(sending))
+                discard(folded)
+        if added is None:
+            return RankedGraph(degrees.selectExpr("id", f"{reset} AS page_rank"), graph.edges)
+        ranks = degrees.join(hashed(added, nodes, partitions), "id", "left")
+        state = checkpoint(ranks.selectExpr("id", f"{reset} + coalesce(gained, 0D) AS page_rank"))
+        discard(added)
+    return RankedGraph(state, graph.edges)
+
+
+def _added(added: DataFrame | None, log: list[DataFrame], bound: float) -> DataFrame:
+    """id, gained: the gains of some rounds on top of what was added up before."""
+    parts = [frame.selectExpr("id", "delta AS gained") for frame in log] + ([added] if added is not None else [])
+    return checkpoint(reduce(DataFrame.union, parts).groupBy("id").agg(F.expr(f"{exact_sum('gained', bound)} AS gained")))
+
+
+def _let_go(log: list[DataFrame], more: bool) -> list[DataFrame]:
+    """Delete rounds that have been added up; the last one is still to be passed on if there are ``more``."""
+    for frame in log[: -1 if more else None]:
+        discard(frame)
+    return []
+
+
+def _most(nodes: int, *ranks: float) -> float:
+    """What unnormalised ranks of so many nodes sum to at most, given where they start."""
+    return 2.0 * nodes * max(1.0, *ranks)
 
 
 @contextmanager
@@ -197,9 +239,14 @@ def _started(graph: Graph, link_columns: list[str], count: int, partitions: int)
 
 
 def _start(graph: Graph, link_columns: list[str], count: int, partitions: int) -> _Start:
-    sent = graph.edges.groupBy("src").agg(
-        F.count(F.lit(1)).alias("out_degree"), F.sum("weight").alias("out_weight")
-    )
+    if "weight" in link_columns:
+        most = graph.edges.agg(F.max("weight").alias("weight"), F.count(F.lit(1)).alias("links")).first()
+        weights = (most["weight"] or 1.0) * max(1, most["links"])
+        node_weight = graph.vertices.agg(F.max("node_weight").alias("most")).first()["most"] * count
+        total = exact_sum("weight", weights)
+    else:
+        total = "NULL"
+    sent = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree"), F.expr(f"{total} AS out_weight"))
     nodes = graph.vertices.select("id", "node_weight").repartition(partitions, "id")
     state = nodes.join(hashed(sent, count, partitions), nodes["id"] == sent["src"], "left").select(
         "id", "node_weight", F.coalesce("out_degree", F.lit(0)).alias("out_degree"), "out_weight"
@@ -207,7 +254,7 @@ def _start(graph: Graph, link_columns: list[str], count: int, partitions: int) -
     state, totals = _next_round(
         state,
         nodes="count(*)",
-        node_weight="sum(node_weight)",
+        node_weight=exact_sum("node_weight", node_weight) if "weight" in link_columns else "count(*)",
         senders="count_if(out_degree > 0)",
         links="sum(out_degree)",
         largest="max(out_degree)",

@@ -20,6 +20,7 @@ from ..functions.columns import or_zero
 from ..plans.loop import append, checkpoint, discard, fixed_layout, hashed, new_table, partitions_for, store
 from ..schema import Graph
 from ..sources.tables import checked
+from .folding import Folded, fold
 from .layout import LinksByEnd, join_per_end, links_by_end
 
 # A batch of sources holds about this many rows of state, sources times nodes, for
@@ -75,15 +76,20 @@ def betweenness(
     shortest paths that pass through a node. Directed, link weights ignored, not
     normalised, end points excluded.
 
-    All sources together visit nodes times links. ``sources`` (a table with id)
+    What hangs on one neighbour is taken off first and counted in closed form (see ``folding``);
+    all sources together visit nodes times links of the core that is left. ``sources`` (a table with id)
     restricts the sum to paths from those; the result is then partial.
     """
     searches = _Searches(graph, sources, batch_rows, partitions)
-    table = _Appended(searches.spark, "id long, score double")
+    folded = searches.fold()
+    table = _Appended(searches.spark, "key long, score double, reach double, come double")
     for batch in searches.batches(backward=True):
         _add_scores(batch, table)
+        if folded.rounds:
+            _add_ends(batch, table)
+    found = table.read().groupBy("key").agg(*[F.sum(c).alias(c) for c in ("score", "reach", "come")])
+    total = folded.unfolded(found).withColumnRenamed("key", "id")
     nodes = graph.vertices.select("id")
-    total = table.read().groupBy("id").agg(F.sum("score").alias("score"))
     scored = nodes.join(searches.with_ids(total, "id"), "id", "left")
     return scored.select("id", or_zero(F.col("score")).alias("betweenness"))
 
@@ -103,56 +109,71 @@ class _Appended:
 
 
 def _add_scores(batch: _Batch, table: _Appended) -> None:
-    """Add id, score of one batch, from the deepest level back to the first.
+    """Add key, score of one batch, from the deepest level back to the first.
 
-    With sigma paths to a node and delta its dependency, a node gains
-    ``sigma * sum((1 + delta) / sigma)`` over its successors on shortest paths.
+    With sigma paths to a node, delta its dependency and t the targets it stands for, a node gains
+    ``sigma * sum((t + delta) / sigma)`` over its successors on shortest paths, and scores that
+    for each of the s sources that the search stands for.
     Summing the quotients per predecessor before the shuffle, and only then joining
     the level before, drops links that lie on no shortest path.
     """
     levels = batch.levels
     if len(levels) < 3:
         return
-    below, scored = levels[-1].select("source", "id", "sigma", F.lit(0.0).alias("delta")), []
+    below, scored = levels[-1].withColumn("delta", F.lit(0.0)), []
     for depth in range(len(levels) - 2, 0, -1):
-        quotients = below.selectExpr("source", "id AS dst", "(1 + delta) / sigma AS quotient")
+        quotients = below.selectExpr("source", "id AS dst", "(t + delta) / sigma AS quotient")
         gains = batch.backward.meet(quotients, batch.rows[depth + 1]).groupBy("source", F.col("src").alias("id")).agg(
             F.expr("sum(quotient) AS gain")
         )
         below = checkpoint(
             levels[depth].join(hashed(gains, batch.rows[depth], batch.partitions), ["source", "id"], "left").selectExpr(
-                "source", "id", "sigma", "sigma * coalesce(gain, 0D) AS delta"
+                "source", "id", "sigma", "s", "t", "sigma * coalesce(gain, 0D) AS delta"
             )
         )
         scored.append(below)
         if len(scored) == LEVELS_PER_TABLE or depth == 1:
-            scores = reduce(DataFrame.union, [s.select("id", F.col("delta").alias("score")) for s in scored])
-            table.add(scores.groupBy("id").agg(F.sum("score").alias("score")))
+            scores = reduce(DataFrame.union, [frame.selectExpr("id AS key", "s * delta AS score") for frame in scored])
+            table.add(scores.groupBy("key").agg(F.sum("score").alias("score")).selectExpr("key", "score", "0D AS reach", "0D AS come"))
             for frame in scored[:-1]:
                 discard(frame)
             batch.others.append(below)
             scored = []
 
 
+def _add_ends(batch: _Batch, table: _Appended) -> None:
+    """Add key, reach of the batch's sources, and key, come of the nodes they reach."""
+    for at in range(0, len(batch.levels), LEVELS_PER_TABLE):
+        rows = reduce(DataFrame.union, [level.select("source", "id", "s", "t") for level in batch.levels[at : at + LEVELS_PER_TABLE]])
+        reach = rows.groupBy("source").agg(F.sum("t").alias("reach"))
+        table.add(reach.selectExpr("source AS key", "0D AS score", "reach", "0D AS come"))
+        come = rows.groupBy("id").agg(F.sum("s").alias("come"))
+        table.add(come.selectExpr("id AS key", "0D AS score", "0D AS reach", "come"))
+
+
 class _Batch:
     """Sources whose searches run together, level by level.
 
-    levels  per distance one table of source, id, sigma, hashed by the first two
+    levels  per distance one table of source, id, sigma, hashed by the first two; of a folded graph also
+            s, the sources that the source stands for, and t, the targets that the node stands for
     rows    how many rows each of them has
     """
 
     def __init__(self, sources: DataFrame, forward: LinksByEnd, backward: LinksByEnd | None, partitions: int):
         self.backward, self.partitions = backward, partitions
         self.others: list[DataFrame] = []
+        folded = "s" in sources.columns
+        carried, landed = (["s"], [F.max("s").alias("s"), F.max("t").alias("t")]) if folded else ([], [])
         frontier, rows = _counted(
-            sources.selectExpr("key AS source", "key AS id", "1D AS sigma").repartition(partitions, "source", "id")
+            sources.selectExpr("key AS source", "key AS id", "1D AS sigma", *(["s", "t"] if folded else []))
+            .repartition(partitions, "source", "id")
         )
         self.levels, self.rows, visited = [frontier], [rows], frontier.select("source", "id")
         while rows:
             found = (
-                forward.meet(frontier.selectExpr("source", "id AS src", "sigma"), rows)
+                forward.meet(frontier.selectExpr("source", "id AS src", "sigma", *carried), rows)
                 .groupBy("source", F.col("dst").alias("id"))
-                .agg(F.expr("sum(sigma) AS sigma"))
+                .agg(F.expr("sum(sigma) AS sigma"), *landed)
             )
             seen = hashed(visited, self.touched, partitions)
             frontier, rows = _counted(found.join(seen, ["source", "id"], "left_anti"))
@@ -193,20 +214,40 @@ class _Searches:
         graph = checked(graph)
         self.spark = graph.vertices.sparkSession
         header = graph.header.first()
-        nodes, self.links = header["num_node"], header["link_lines"]
-        batch_rows = batch_rows or BATCH_ROWS_PER_TASK * self.spark.sparkContext.defaultParallelism
+        nodes, links = header["num_node"], header["link_lines"]
+        self.batch_rows = batch_rows or BATCH_ROWS_PER_TASK * self.spark.sparkContext.defaultParallelism
+        self.given_partitions = partitions
         self.numbers = _numbers(graph.vertices)
         self.proper = _numbered(graph.edges.where(F.col("src") != F.col("dst")).select("src", "dst"), self.numbers)
         chosen = self.numbers if sources is None else self.numbers.join(sources.select("id"), "id", "left_semi")
         self.sources, self.all_sources = store(chosen) if sources is not None else chosen, sources is None
         self.count = nodes if sources is None else self.sources.count()
-        self.number = batches_for(self.count, nodes, batch_rows)
-        self.partitions = partitions or max(
-            partitions_for(self.links),
-            partitions_for(self.count * nodes // self.number, STATE_ROWS_PER_PARTITION),
-            partitions_for(self.count * self.links // self.number, MET_ROWS_PER_PARTITION),
+        self.starts = self.sources.select("key")
+        self._size(self.count, nodes, links)
+
+    def _size(self, starts: int, nodes: int, links: int) -> None:
+        self.links, self.number = links, batches_for(starts, nodes, self.batch_rows)
+        self.partitions = self.given_partitions or max(
+            partitions_for(links),
+            partitions_for(starts * nodes // self.number, STATE_ROWS_PER_PARTITION),
+            partitions_for(starts * links // self.number, MET_ROWS_PER_PARTITION),
         )
 
+    def fold(self) -> Folded:
+        """Search the core of the folded graph from now on."""
+        own = self.numbers.select("key", F.lit(1.0).alias("own"))
+        if not self.all_sources:
+            chosen = self.sources.select("key", F.lit(1.0).alias("chosen"))
+            own = own.join(chosen, "key", "left").select("key", F.coalesce("chosen", F.lit(0.0)).alias("own"))
+        folded = fold(own, self.proper)
+        # searches learn from the link what its end stands for
+        self.starts = store(folded.core.where("s > 0").select("key", "s", "t"))
+        targets = folded.core.select(F.col("key").alias("dst"), "t")
+        counts = folded.links.groupBy("dst").agg(F.count(F.lit(1)).alias("links"))
+        self.proper = store(join_per_end(folded.links, counts.join(targets, "dst"), "dst").select("src", "dst", "t"))
+        self._size(self.starts.count(), folded.nodes, self.proper.count())
+        return folded
+
     def batches(self, backward: bool = False) -> Iterator[_Batch]:
         """Batches split by hash, so no list of sources passes through the driver.
 
@@ -216,11 +257,11 @@ class _Searches:
         with fixed_layout(self.spark, self.partitions), ExitStack() as stack:
             forward = links_by_end(self.proper, "src", self.links, self.partitions)
             stack.callback(forward.release)
-            back = links_by_end(self.proper, "dst", self.links, self.partitions) if backward else None
+            back = links_by_end(self.proper.select("src", "dst"), "dst", self.links, self.partitions) if backward else None
             if back is not None:
                 stack.callback(back.release)
             for index in range(self.number):
-                chosen = self.sources.select("key")
+                chosen = self.starts
                 if self.number > 1:
                     chosen = chosen.where(F.pmod(F.xxhash64("key"), F.lit(self.number)) == index)
                 batch = _Batch(chosen, forward, back, self.partitions)

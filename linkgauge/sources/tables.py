@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import positive_or_one
+from ..functions.exact import exact_total
 from ..plans.loop import store
 from ..schema import LINES, Graph, GraphError
 
@@ -72,8 +73,10 @@ def _counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     per_side = nodes.agg(
         F.count(F.lit(1)).alias("nodes"),
         F.lit(0).cast("long").alias("links"),
-        F.sum("node_weight").alias("total"),
+        F.lit(0.0).alias("total"),
     ).union(edges.agg(F.lit(0).cast("long"), F.coalesce(F.sum(lines), F.lit(0)), F.lit(0.0)))
+    total = exact_total(nodes, "node_weight").select(F.lit(0).cast("long"), F.lit(0).cast("long"), "total")
+    per_side = per_side.union(total)
     return per_side.agg(
         F.sum("nodes").alias("num_node"),
         F.sum("links").alias("num_link"),

@@ -14,6 +14,18 @@ def random_links(nodes: int, links: int, seed: int, hub: bool = False) -> list[t
     return [(f"v{a}", f"v{b}", float(rng.integers(1, 9))) for a, b in sorted(pairs)]
 
 
+def hanging_links(nodes: int, core: int, seed: int) -> list[tuple[str, str]]:
+    """A random core with trees on it, whose links go up, down or both ways, and a tree of its own."""
+    rng = np.random.default_rng(seed)
+    links = {(int(a), int(b)) for a, b in rng.integers(0, core, (3 * core, 2))}
+    for v in range(core, nodes):
+        parent = int(rng.integers(0, v)) if v > core else 0
+        way = rng.integers(0, 4)
+        links |= ({(v, parent)} if way != 1 else set()) | ({(parent, v)} if way != 2 else set())
+    links |= {(nodes, nodes + 1), (nodes + 1, nodes), (nodes + 1, nodes + 2), (nodes + 3, nodes + 1)}
+    return [(f"v{a}", f"v{b}") for a, b in sorted(links)]
+
+
 def ids_of(links) -> list[str]:
     return sorted({end for a, b, *_ in links for end in (a, b)})
 
@@ -83,14 +95,14 @@ def distances_and_counts(links, ids) -> tuple[np.ndarray, np.ndarray]:
     return dist, count
 
 
-def betweenness(links, ids=None) -> dict[str, float]:
+def betweenness(links, ids=None, sources=None) -> dict[str, float]:
     """Over pairs (s, t): the share of shortest paths through v, pair by pair."""
     ids = ids or ids_of(links)
     dist, count = distances_and_counts(links, ids)
     score = np.zeros(len(ids))
     for s in range(len(ids)):
         for t in range(len(ids)):
-            if s == t or np.isinf(dist[s, t]):
+            if s == t or np.isinf(dist[s, t]) or (sources is not None and ids[s] not in sources):
                 continue
             for v in range(len(ids)):
                 if v not in (s, t) and dist[s, v] + dist[v, t] == dist[s, t]:

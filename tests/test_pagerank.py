@@ -1,6 +1,11 @@
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
 import linkgauge as lg
+from linkgauge.functions.exact import exact_sum, exact_total
+from linkgauge.operators import pagerank as pagerank_module
 from tests import brute, fixtures
 from tests.test_tables import as_dict
 
@@ -171,3 +176,49 @@ def test_settings_come_back(graph_of, spark):
     with pytest.raises(lg.GraphError):
         lg.pagerank(graph_of([("a", "x")], {"a": 1}))
     assert [spark.conf.get(k) for k in keys] == before
+
+
+@pytest.mark.parametrize("form", ["power", "static", "delta"])
+def test_same_bits_whatever_the_partitions(spark, form):
+    """Weights without a common binary place, in other orders and other partitions."""
+    links = [(a, b, w / 7 + 10.0 ** -(int(w) % 5)) for a, b, w in brute.random_links(60, 900, 3, hub=True)]
+    runs = []
+    for partitions, order in ((1, links), (3, links[::-1]), (8, links[450:] + links[:450])):
+        nodes = [(v, 1 / (1 + i)) for i, v in enumerate(sorted({e for a, b, _ in order for e in (a, b)}))]
+        graph = lg.graph_from_edges(
+            spark.createDataFrame(order, "src string, dst string, weight double").repartition(partitions), weight="weight",
+            vertices=spark.createDataFrame(nodes[::-1] if partitions > 1 else nodes, "id string, w double"), node_weight="w",
+        )
+        frame = {
+            "power": lambda: lg.pagerank(graph, min_iter=20, max_iter=20, partitions=partitions),
+            "static": lambda: lg.pagerank_static(graph, 10, partitions=partitions).vertices,
+            "delta": lambda: lg.pagerank_delta(graph, 1e-3, partitions=partitions).vertices,
+        }[form]()
+        runs.append(sorted((r["id"], r["page_rank"].hex()) for r in frame.collect()))
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_exact_sums_of_far_apart_terms(spark):
+    values = [1e16, 1.0, -1e16, 3e-9, 0.1, -0.1, 7.25] * 50
+    frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    found = frame.agg(F.expr(f"{exact_sum('v', sum(map(abs, values)))} AS s")).first()["s"]
+    assert found == pytest.approx(math.fsum(values), abs=1e-7)
+    assert exact_total(frame, "v").first()["total"] == found
+    assert exact_total(frame.where("v > 1e17"), "v").first()["total"] == 0.0
+
+
+def test_delta_rounds_write_only_gains(graph_of, monkeypatch):
+    """A long chain hangs on a ring: late rounds have few senders, and write few rows."""
+    written = []
+    real = pagerank_module._next_round
+
+    def counted(state, passing=(), **scalars):
+        frame, seen = real(state, passing, **scalars, rows_written="count(*)")
+        written.append(seen["rows_written"])
+        return frame, seen
+
+    monkeypatch.setattr(pagerank_module, "_next_round", counted)
+    links = [(f"c{i}", f"c{i + 1}", 1.0) for i in range(40)]
+    got = as_dict(lg.pagerank_delta(graph_of(links), 1e-9).vertices, "id", "page_rank")
+    assert got == pytest.approx(brute.delta_rank(links, 1e-9), abs=1e-12)
+    assert written[0] == 41 and written[1] == 40 and written[30] < 15

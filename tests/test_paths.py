@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 import linkgauge as lg
+from linkgauge.operators import folding
 from linkgauge.operators import paths as module
 from tests import brute, fixtures
 from tests.test_tables import as_dict
@@ -95,3 +96,25 @@ def test_unreachable_parts_and_no_nodes(graph_of):
     ring = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "x")]
     assert scores(graph_of(ring)) == {"a": 1.0, "b": 1.0, "c": 1.0, "x": 0.0, "y": 0.0}
     assert lg.betweenness(graph_of([])).isEmpty()
+
+
+@pytest.mark.parametrize("seed, options", [(2, {"partitions": 3}), (4, {})])
+def test_what_hangs_is_counted_in_closed_form(graph_of, spark, monkeypatch, seed, options):
+    links = brute.hanging_links(30, 6, seed)
+    if seed == 4:
+        monkeypatch.setattr(folding, "ROUNDS", 1)  # the rest of the trees is searched
+    assert scores(graph_of(links), **options) == pytest.approx(brute.betweenness(links), abs=1e-9)
+    chosen = [f"v{i}" for i in range(0, 34, 3)]
+    some = spark.createDataFrame([(v,) for v in chosen], "id string")
+    found = scores(graph_of(links), sources=some, **options)
+    assert found == pytest.approx(brute.betweenness(links, sources=set(chosen)), abs=1e-9)
+
+
+def test_trees_leave_no_links_to_search(spark):
+    pairs = [(i, (i - 1) // 3) for i in range(1, 40)]
+    links = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "src long, dst long")
+    nodes = spark.createDataFrame([(i, 1.0) for i in range(40)], "key long, own double")
+    folded = folding.fold(nodes, links)
+    assert folded.links.isEmpty() and folded.nodes == 1 and 2 < len(folded.rounds) < 6
+    core = folded.core.first()
+    assert (core["s"], core["t"]) == (40.0, 40.0)
