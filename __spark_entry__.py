@@ -25,18 +25,22 @@ from linkgauge.sinks.metrics_text import SEP_SPACED, SEP_TIGHT
 
 try:
     from linkgauge.llm import queries as llm_queries
-except ImportError:  # the subpackage is left out
+except ImportError as error:  # the subpackage is left out; a fault inside it is no reason to go on
+    if error.name not in ("linkgauge.llm", "linkgauge.llm.queries"):
+        raise
     llm_queries = None
 try:
     import corpus_pipeline
-except ImportError:
+except ImportError as error:
+    if error.name not in ("corpus_pipeline", "linkgauge.llm"):
+        raise
     corpus_pipeline = None
 
 STATIC_ROUNDS = 15
 DELTA_TOL = 1.0e-8
 DIGITS = 8
-# A rank times the number of links: equal changes in a row, which depend on rounding, move its tenth digit.
-NORMALIZED_DIGITS = 4
+# Ranks are compared by significant digits, nine of them.
+RANKS, SIGNIFICANT = ("page_rank", "page_rank_normalized", "teleport_flow"), "%.8e"
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -140,8 +144,12 @@ def _regions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rounded(frame: DataFrame, *columns: str) -> DataFrame:
-    digits = {"page_rank_normalized": NORMALIZED_DIGITS}
-    return frame.withColumns({c: F.round(F.col(c), digits.get(c, DIGITS)) for c in columns})
+    def rounded(column: str):
+        if column in RANKS:
+            return F.format_string(SIGNIFICANT, F.col(column)).cast("double")
+        return F.round(F.col(column), DIGITS)
+
+    return frame.withColumns({c: rounded(c) for c in columns})
 
 
 def _rank(graph: Graph, teleport: str = "total_weight") -> DataFrame:
@@ -500,8 +508,8 @@ def _betweenness_sql(sources: str = "") -> str:
 METRICS_SQL = """
 indegs AS (SELECT dst, COUNT(*) AS n FROM links GROUP BY dst),
 metrics AS MATERIALIZED (
-  SELECT n.id, COALESCE(i.n, 0) AS in_degree, ROUND(f.page_rank, 8) AS page_rank,
-         ROUND(f.page_rank * (SELECT COUNT(*) FROM raw), 4) AS page_rank_normalized,
+  SELECT n.id, COALESCE(i.n, 0) AS in_degree, printf('%.8e', f.page_rank)::DOUBLE AS page_rank,
+         printf('%.8e', f.page_rank * (SELECT COUNT(*) FROM raw))::DOUBLE AS page_rank_normalized,
          ROUND(s.betweenness, 8) AS betweenness, n.name
   FROM nodes n JOIN final f ON f.id = n.id JOIN scores s ON s.id = n.id LEFT JOIN indegs i ON i.dst = n.id)"""
 
@@ -515,7 +523,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _own_sql() -> dict[str, str]:
-    rank = "SELECT id, ROUND(page_rank, 8) AS page_rank FROM final"
+    rank = "SELECT id, printf('%.8e', page_rank)::DOUBLE AS page_rank FROM final"
     accounts = (TRADE, ACCOUNTS)
     users = (USERS, ENDPOINTS)
     places = (PLACES, ENDPOINTS)
@@ -568,15 +576,15 @@ FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.src = n.id)"""),
         "pagerank_node_weighted": _with(*accounts, _power_sql("total_weight", RANK_ROUNDS), then=rank),
         "pagerank_count_teleport": _with(*accounts, _power_sql("count", RANK_ROUNDS), then=rank),
         "pagerank_normalized": _with(TRADE, ENDPOINTS, _power_sql("total_weight", RANK_ROUNDS), then="""
-SELECT id, ROUND(page_rank, 8) AS page_rank,
-       ROUND(page_rank * (SELECT COUNT(*) FROM links), 4) AS page_rank_normalized FROM final"""),
+SELECT id, printf('%.8e', page_rank)::DOUBLE AS page_rank,
+       printf('%.8e', page_rank * (SELECT COUNT(*) FROM links))::DOUBLE AS page_rank_normalized FROM final"""),
         "pagerank_static": _with(*users, STATIC_SQL, then=rank),
         "pagerank_static_from_one": _with(
             *users, STATIC_SQL.replace("SELECT 0, id, 0.15::DOUBLE", "SELECT 0, id, 1.0::DOUBLE"), then=rank
         ),
         "pagerank_delta": _with(*users, DELTA_SQL, then=rank),
         "teleport_flow_sorted": _with(*accounts, _power_sql("total_weight", RANK_ROUNDS), then="""
-SELECT id, ROUND(page_rank, 8) AS page_rank, ROUND(teleport_flow, 8) AS teleport_flow FROM final"""),
+SELECT id, printf('%.8e', page_rank)::DOUBLE AS page_rank, printf('%.8e', teleport_flow)::DOUBLE AS teleport_flow FROM final"""),
         "bfs_levels": _with(*places, paths, then="""
 SELECT source, id, dist FROM paths WHERE source IN (SELECT 'r' || r_regionkey FROM region)"""),
         "path_counts": _with(*users, paths, then=f"""
@@ -599,13 +607,13 @@ SELECT *, ROW_NUMBER() OVER (ORDER BY in_degree DESC, id) AS cite_count_rank,
         "metrics_parquet": all_metrics,
         "network_metrics_file": all_metrics.replace("(SELECT COUNT(*) FROM raw)", "(SELECT COUNT(*) FROM links)"),
         "static_rank_rendered": _with(*users, STATIC_SQL, then="""
-SELECT n.id, COALESCE(i.n, 0) AS in_degree, ROUND(f.page_rank / (SELECT COUNT(*) FROM raw), 8) AS page_rank,
-       ROUND(f.page_rank, 4) AS page_rank_normalized, 0.0::DOUBLE AS betweenness, n.name
+SELECT n.id, COALESCE(i.n, 0) AS in_degree, printf('%.8e', f.page_rank / (SELECT COUNT(*) FROM raw))::DOUBLE AS page_rank,
+       printf('%.8e', f.page_rank)::DOUBLE AS page_rank_normalized, 0.0::DOUBLE AS betweenness, n.name
 FROM nodes n JOIN final f ON f.id = n.id
 LEFT JOIN (SELECT dst, COUNT(*) AS n FROM links GROUP BY dst) i ON i.dst = n.id"""),
         "static_rank_scored": _with(NATIONS, ENDPOINTS, STATIC_SQL, *between, then="""
-SELECT n.id, COALESCE(i.n, 0) AS in_degree, ROUND(f.page_rank / (SELECT COUNT(*) FROM links), 8) AS page_rank,
-       ROUND(f.page_rank, 4) AS page_rank_normalized, ROUND(s.betweenness, 8) AS betweenness, n.name
+SELECT n.id, COALESCE(i.n, 0) AS in_degree, printf('%.8e', f.page_rank / (SELECT COUNT(*) FROM links))::DOUBLE AS page_rank,
+       printf('%.8e', f.page_rank)::DOUBLE AS page_rank_normalized, ROUND(s.betweenness, 8) AS betweenness, n.name
 FROM nodes n JOIN final f ON f.id = n.id JOIN scores s ON s.id = n.id
 LEFT JOIN (SELECT dst, COUNT(*) AS n FROM links GROUP BY dst) i ON i.dst = n.id"""),
         "betweenness_rendered": place_metrics,
