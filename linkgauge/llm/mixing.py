@@ -1,7 +1,8 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Words are summed per source, targets shared out by weight under a ceiling, and each document is
-emitted floor(rate) times, plus once more when a hash of its id falls below the fraction.
+emitted floor(rate) times, plus once more when a hash of its id, its text and its number among rows that have the same falls
+below the fraction.
 
 Scale: the sizes are counted in one pass over the texts. The table of sources is as long as there
 are sources; it is broadcast only if it is counted to be short, else joined with
@@ -9,7 +10,8 @@ Spark's own means against a hot source.
 
 Defined cases: a null text has no words; null is a source of its own, last in order. A source
 without words has target 0 and rate 0, so a document without words is emitted only by the rate
-of its source. Rows with the same id share their draw. An empty table gives an empty result. Other
+of its source. Rows that repeat, or have no id, draw each for itself; of rows with the same id, text and source it is left open
+which has which number. An empty table gives an empty result. Other
 columns are carried along by ``mixed`` whatever they are called.
 """
 
@@ -26,6 +28,8 @@ MOST = 2.0
 SEED = "mix-1"
 #: Sources up to which their table is broadcast (about 10 MB).
 BROADCAST_SOURCES = 100_000
+#: Repeated ids up to which their table is broadcast (some 10 MB), and the parts that their rows are numbered in.
+BROADCAST_REPEATED, PARTS = 100_000, 256
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -56,14 +60,47 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     )
 
 
-def copies_of(key: Column, rate: Column, seed: str = SEED) -> Column:
-    """floor(rate) copies, and one more with the probability of the fraction, drawn by a hash of the key."""
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key.cast("string"))), 1, 13), 16, 10)
+def copies_of(keys: list[Column], rate: Column, seed: str = SEED) -> Column:
+    """floor(rate) copies, and one more with the probability of the fraction, drawn by a hash of the keys."""
+    parts = [key.cast("string") for key in keys]
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *parts)), 1, 13), 16, 10)
     draw = draw.cast("long") / F.lit(float(16**13))
     whole = F.floor(rate)
     return (whole + (draw < rate - whole).cast("long")).cast("long")
 
 
+def digest_of(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def numbered(rows: DataFrame, id: str, digest: str, source: str, number: str) -> DataFrame:
+    """Add ``number``, the place of a row, from 0, among those with its id, digest and source.
+
+    Ids seldom repeat, so only rows that do are numbered: first in each of many parts of their group, by a hash of all
+    columns, then by how many are in the parts before. So a group of equal rows is never in one task.
+    """
+    keys = [id, digest, source]
+    repeated = store(rows.groupBy(*keys).count().where("count > 1").select(*[F.col(k).alias(f"of_{i}") for i, k in enumerate(keys)]))
+    if repeated.isEmpty():
+        return rows.withColumn(number, F.lit(0).cast("long"))
+    part, place, offset = (fresh(rows, x) for x in ("mix_part", "mix_place", "mix_offset"))
+    once = F.broadcast(repeated) if repeated.count() <= BROADCAST_REPEATED else repeated
+    same = [rows[k].eqNullSafe(once[f"of_{i}"]) for i, k in enumerate(keys)]
+    same = same[0] & same[1] & same[2]
+    single = rows.join(once, same, "left_anti").withColumn(number, F.lit(0).cast("long"))
+    many = rows.join(once, same, "left_semi").withColumn(part, F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    many = store(many)
+    window = Window.partitionBy(part, *keys).orderBy(F.xxhash64(*[c for c in rows.columns]))
+    placed = many.withColumn(place, F.row_number().over(window) - 1)
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = many.groupBy(part, *keys).count().withColumn(offset, F.coalesce(F.sum("count").over(before), F.lit(0)))
+    sizes = sizes.select(F.col(part).alias("of_part"), offset, *[F.col(k).alias(f"of_{i}") for i, k in enumerate(keys)])
+    met = (placed[part] == sizes["of_part"]) & placed[id].eqNullSafe(sizes["of_0"]) & placed[digest].eqNullSafe(sizes["of_1"])
+    joined = placed.join(sizes, met & placed[source].eqNullSafe(sizes["of_2"]))
+    found = joined.withColumn(number, (F.col(place) + F.col(offset)).cast("long")).select(*rows.columns, number)
+    return single.unionByName(found)
+
+
 def with_rates(rows: DataFrame, plan: DataFrame, source: str = "source") -> DataFrame:
     """Rows with their source's columns of the plan; ``plan`` is a stored table."""
     short = plan.count() <= BROADCAST_SOURCES
@@ -74,23 +111,23 @@ def with_rates(rows: DataFrame, plan: DataFrame, source: str = "source") -> Data
 
 
 def sizes_of(documents: DataFrame) -> DataFrame:
-    """Stored rows (doc_id, source, size)."""
-    return store(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    """Stored rows (doc_id, source, size, digest)."""
+    return store(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest_of(F.col("text")).alias("digest")))
 
 
 def mix_plan(documents: DataFrame, seed: str = SEED) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken): the mix without its texts."""
     sizes = sizes_of(documents)
-    rows = with_rates(sizes, store(targets(sizes)))
-    return rows.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * copies_of(F.col("doc_id"), F.col("rate"), seed)).alias("taken")
-    )
+    rows = with_rates(numbered(sizes, "doc_id", "digest", "source", "number"), store(targets(sizes)))
+    copies = copies_of([F.col("doc_id"), F.col("digest"), F.col("number")], F.col("rate"), seed)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
 
 
 def mixed(documents: DataFrame, seed: str = SEED) -> DataFrame:
     """The documents, each as often as the mix takes it, with their own columns."""
     plan = store(targets(documents.select("source", word_count(F.col("text")).alias("size"))))
-    rate, copies, copy = (fresh(documents, f"mix_{x}") for x in ("rate", "copies", "copy"))
-    rows = with_rates(documents, store(plan.select("source", F.col("rate").alias(rate))))
-    rows = rows.withColumn(copies, copies_of(F.col("doc_id"), F.col(rate), seed))
+    rate, copies, copy, digest, number = (fresh(documents, f"mix_{x}") for x in ("rate", "copies", "copy", "digest", "number"))
+    rows = numbered(documents.withColumn(digest, digest_of(F.col("text"))), "doc_id", digest, "source", number)
+    rows = with_rates(rows, store(plan.select("source", F.col("rate").alias(rate))))
+    rows = rows.withColumn(copies, copies_of([F.col("doc_id"), F.col(digest), F.col(number)], F.col(rate), seed))
     return expand(rows, copies, copy).select(*[F.col(f"`{c}`") for c in documents.columns])

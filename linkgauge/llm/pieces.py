@@ -14,7 +14,7 @@ built once per task, for thousands of parts at a time, and then all occurrences
 Decoding is lossless for every text: the blank in front that the model adds is taken away again, characters without
 a piece are spelled in bytes, and so is the character that stands for blanks inside the model's pieces.
 
-Scale: one pass over the texts where they lie, no shuffle. A task remembers a bounded number of parts and takes a bounded number of
+Scale: one pass over the texts where they lie, no shuffle. The trie of the pieces is broadcast, as long as the vocabulary. A task remembers a bounded number of parts and takes a bounded number of
 occurrences at a time, beyond one whole text.
 
 Defined cases: a null text has null pieces, an empty one has none. Rows with equal keys and texts get equal pieces. A null
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The vocabulary file; every executor needs it at this path.
+#: The vocabulary file; the driver reads it, and ``decoded`` in every executor.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS = 1.0
 SEED = 42
@@ -43,7 +43,9 @@ BLANK_SIGN = "\N{LOWER ONE EIGHTH BLOCK}"
 #: Log weight of a character spelled in bytes, below that of the least piece.
 SPELLED = -10.0
 #: Lattice edges that a task remembers, and occurrences of parts that it samples at a time.
-REMEMBERED, AT_ONCE = 2_000_000, 150_000
+REMEMBERED, AT_ONCE = 2_000_000, 60_000
+#: Edges that a byte of new parts is reckoned to take.
+EDGES_PER_BYTE = 4
 #: New parts whose lattices are built at a time, in bytes.
 BUILT = 1 << 17
 
@@ -81,25 +83,30 @@ class Model:
         self._trie([(self.bytes[i], i) for i in plain])
 
     def _trie(self, pieces: list[tuple[bytes, int]]) -> None:
-        children: list[dict[int, int]] = [{}]
+        """The trie as sorted edges, node << 8 | byte, with the node each leads to: a few hundred kilobytes."""
+        edges: dict[int, int] = {}
         ends = [-1]
         for piece, number in pieces:
             node = 0
             for byte in piece:
-                after = children[node].get(byte)
+                after = edges.get(node << 8 | byte)
                 if after is None:
-                    after = children[node][byte] = len(children)
-                    children.append({})
+                    after = edges[node << 8 | byte] = len(ends)
                     ends.append(-1)
                 node = after
             ends[node] = number
-        self.after = np.zeros((len(children), 256), np.int32)
-        for node, below in enumerate(children):
-            for byte, to in below.items():
-                self.after[node, byte] = to
-        self.after = self.after.ravel()
+        keys = np.fromiter(edges, np.int64, len(edges))
+        order = np.argsort(keys)
+        self.edges = keys[order]
+        self.children = np.fromiter(edges.values(), np.int64, len(edges))[order]
         self.ends = np.array(ends, np.int32)
 
+    def after(self, nodes: np.ndarray, following: np.ndarray) -> np.ndarray:
+        """The nodes that bytes lead to, 0 where there are none."""
+        wanted = nodes << 8 | following
+        at = np.minimum(np.searchsorted(self.edges, wanted), len(self.edges) - 1)
+        return np.where(self.edges[at] == wanted, self.children[at], 0)
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode()[1:]
 
@@ -143,7 +150,7 @@ class Lattices:
         out, at, state, length = [], begins, np.zeros(len(begins), np.int64), 0
         single = np.zeros(len(text), bool)
         while len(at):
-            state = model.after[state * 256 + text[at + length]].astype(np.int64)
+            state = model.after(state, text[at + length])
             length += 1
             at, state = at[state > 0], state[state > 0]
             found = model.ends[state]
@@ -262,9 +269,11 @@ def encode(lattices: Lattices, keys: list, texts: list[bytes], seed: int = SEED)
 
 def _drawn(lattices: Lattices, some: list[tuple], seed: int) -> Sampled:
     every = set().union(*(own for _, own in some))
-    if len(lattices.keys) >= REMEMBERED:
+    new = every - lattices.ends.keys()
+    if len(lattices.keys) + EDGES_PER_BYTE * sum(map(len, new)) > REMEMBERED:
         lattices.clear()
-    lattices.add(every - lattices.ends.keys())
+        new = every
+    lattices.add(new)
     sizes = np.array([len(own) for _, own in some])
     every_part = chain.from_iterable(own for _, own in some)
     nodes = np.fromiter(map(lattices.ends.__getitem__, every_part), np.int64, int(sizes.sum()))
@@ -283,8 +292,10 @@ def encoded(
     round_trip: whether the pieces, decoded, are the text; null for a null text.
     """
 
+    shared = documents.sparkSession.sparkContext.broadcast(Model(path))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(path)
+        model = shared.value
         lattices = Lattices(model, sharpness)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

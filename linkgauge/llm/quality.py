@@ -41,14 +41,14 @@ WINDOW = 3
 SUPPORT = 0.6
 #: Rows that a group needs for an estimate of its own.
 LEAST_ROWS = 30
-#: Steps end when no determinant shrinks by this share any more, or after so many.
-CLOSE, STEPS = 1e-3, 12
+#: Steps end when no group's log determinant falls by this below the least it had.
+CLOSE = 1e-3
 #: Relative error of the quantile sketch is 1 / ACCURACY.
 ACCURACY = 10_000
 #: Probability that a normal vector lies beyond the cut.
 TAIL = 1e-9
 #: Standard deviations that are added to those found, so that constant statistics don't make every other value an outlier.
-FLOORS = {"word_length": 0.05, "symbols": 0.03, "dup_lines": 0.2, "repeats": 0.2}
+FLOORS = {"word_length": 0.05, "symbols": 0.03, "dup_lines": 0.05, "repeats": 0.05}
 FEATURES = list(FLOORS)
 BROADCAST_GROUPS = 50_000
 
@@ -227,8 +227,8 @@ def mcd(rows: DataFrame) -> DataFrame:
     """Estimates by group from rows of ``with_level``: a stored table of centres and inverse covariances."""
     rows = rows.where(F.col("level").isNotNull())
     found = _first(rows)
-    volumes: dict[tuple, float] = {}
-    for _ in range(STEPS):
+    before = None
+    while True:
         far = with_distance(rows, found)
         cut = store(far.groupBy(*_keys()).agg(F.percentile_approx("distance", SUPPORT, ACCURACY).alias("cut")))
         side = cut.toDF("of_level", "of_lang", "of_source", "cut")
@@ -242,12 +242,19 @@ def mcd(rows: DataFrame) -> DataFrame:
             *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{n}") for n, (i, j) in enumerate(PAIRS)],
         )
         found = _estimates(moments, CONSISTENCY)
-        total = found.agg(F.sum("volume").alias("v"), F.count(F.lit(1)).alias("n")).first()
-        now = (total["v"] or 0.0) / max(1, total["n"])
-        if "last" in volumes and volumes["last"] - now < CLOSE:
-            break
-        volumes["last"] = now
-    return found
+        now = found.select("level", "lang", "source", "volume")
+        if before is not None:
+            then = before.toDF("of_level", "of_lang", "of_source", "then")
+            same = (
+                (F.col("level") == F.col("of_level")) & F.col("lang").eqNullSafe(F.col("of_lang"))
+                & F.col("source").eqNullSafe(F.col("of_source"))
+            )
+            both = now.join(then, same)
+            most = both.agg(F.max(F.col("then") - F.col("volume")).alias("fall")).first()["fall"]
+            if most is None or most < CLOSE:
+                return found
+            now = store(both.select("level", "lang", "source", F.least("volume", "then").alias("volume")))
+        before = now
 
 
 def _verdict(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -189,7 +189,8 @@ FROM words LEFT JOIN kept USING (doc_id)"""
 # The level is found as the operator's docstring says: sources in the order of ceiling by weight.
 MIX_SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(COALESCE(text, '')) AS digest, ROW_NUMBER() OVER (PARTITION BY doc_id, source, text) - 1 AS number
   FROM documents),
 sums AS (
   SELECT source, CAST(SUM(size) AS BIGINT) AS source_size, ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1 AS place
@@ -210,7 +211,7 @@ rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets),
 draws AS (
   SELECT doc_id, size, source_size, target, rate,
-         ('0x' || substr(md5(concat_ws(':', 'mix-1', doc_id)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
+         ('0x' || substr(md5(concat_ws(':', 'mix-1', doc_id, digest, number)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
   FROM sizes JOIN rates ON sizes.source IS NOT DISTINCT FROM rates.source)
 SELECT doc_id, size, source_size, target,
        CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken

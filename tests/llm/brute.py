@@ -96,7 +96,7 @@ def base_counts(text):
     return len(own), sum(map(len, own)), symbols, len(lines) - len(set(lines)), len(covered), len(lines)
 
 
-def quality(rows, least=30, support=0.6, floors=(0.05, 0.03, 0.2, 0.2), cut=47.8794556744147):
+def quality(rows, least=30, support=0.6, floors=(0.05, 0.03, 0.05, 0.05), cut=47.8794556744147):
     """[(text, lang, source)] -> kept, by an estimate in plain loops over groups."""
     counts = [base_counts(t) for t, _, _ in rows]
     failed = [c[0] < 50 or 100 * c[4] > 50 * c[0] for c in counts]
@@ -129,18 +129,18 @@ def quality(rows, least=30, support=0.6, floors=(0.05, 0.03, 0.2, 0.2), cut=47.8
         state[g] = (mid, np.diag(((high - low) / 1.349) ** 2) + np.diag(np.square(floors)))
     p6 = lambda q: 1 - math.exp(-q / 2) * (1 + q / 2 + q * q / 8)
     q = next(i / 1e5 for i in range(10**7) if 1 - math.exp(-i / 2e5) * (1 + i / 2e5) >= support)
-    last = None
-    for _ in range(12):
+    least = None
+    while True:
         for g, own in groups.items():
             centre, cov = state[g]
             d = np.einsum("ij,jk,ik->i", x[own] - centre, np.linalg.inv(cov), x[own] - centre)
             near = d <= np.sort(d)[max(0, math.ceil(support * len(own)) - 1)]
             y = x[own][near]
             state[g] = (y.mean(axis=0), np.cov(y.T, bias=True) * support / p6(q) + np.diag(np.square(floors)))
-        now = sum(np.linalg.slogdet(c)[1] for _, c in state.values()) / max(1, len(state))
-        if last is not None and last - now < 1e-3:
+        now = {g: np.linalg.slogdet(c)[1] for g, (_, c) in state.items()}
+        if least is not None and all(least[g] - now[g] < 1e-3 for g in now):
             break
-        last = now
+        least = {g: min(v, (least or now)[g]) for g, v in now.items()}
     for g, own in groups.items():
         centre, cov = state[g]
         far[own] = np.einsum("ij,jk,ik->i", x[own] - centre, np.linalg.inv(cov), x[own] - centre)
@@ -150,8 +150,11 @@ def quality(rows, least=30, support=0.6, floors=(0.05, 0.03, 0.2, 0.2), cut=47.8
 # ---------------------------------------------------------------------- mixing
 
 
-def copies(doc, rate):
-    draw = int(hashlib.md5(("mix-1" if doc is None else f"mix-1:{doc}").encode()).hexdigest()[:13], 16) / 16**13
+def copies(doc, text, number, rate):
+    """Of the row that has this number, from 0, among rows with its id, text and source."""
+    digest = hashlib.md5((text or "").encode()).hexdigest()
+    key = ":".join(["mix-1", *([] if doc is None else [str(doc)]), digest, str(number)])
+    draw = int(hashlib.md5(key.encode()).hexdigest()[:13], 16) / 16**13
     whole = math.floor(rate)
     return whole + (draw < rate - whole)
 

@@ -1,6 +1,7 @@
 """The registered queries on odd tables, next to their SQL or to brute force."""
 
 import collections
+import random
 import zlib
 
 import duckdb
@@ -148,14 +149,59 @@ def test_pipeline(spark, odd):
     docs = list(first.values())
     cut = [[w for w, c in zip(*x) if not c] for x in brute.repeat_cover([r[:2] for r in docs])]
     rate = brute.rates([(r[3], len(own)) for r, own in zip(docs, cut)])
-    expected = sorted(
-        [(r[0], " ".join(own)) for r, own in zip(docs, cut) for _ in range(brute.copies(r[0], rate[r[3]]))], key=repr
+    # what is left of a text between its words, which draws depend on, is taken from the stage
+    left = spark.read.parquet(f"{odd}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        left = stage(spark, left, odd)
+    left = left.select("doc_id", "text", "source").collect()
+    assert sorted(((r[0], " ".join(brute.words(r[1])), r[2]) for r in left), key=repr) == sorted(
+        ((r[0], " ".join(own), r[3]) for r, own in zip(docs, cut)), key=repr
     )
+    seen, expected = collections.Counter(), []
+    for r in left:
+        expected += [(r[0], " ".join(brute.words(r[1])))] * brute.copies(r[0], r[1], seen[r], rate[r[2]])
+        seen[r] += 1
+    expected.sort(key=repr)
     out = pieces.decoded(corpus_pipeline.run(spark, odd)).select("doc_id", "text").collect()
     assert sorted(((d, " ".join(brute.words(t))) for d, t in out), key=repr) == expected
     assert expected
 
 
+def test_mix_of_repeated_and_missing_ids(spark):
+    """Rows without an id, or all alike, are drawn one by one, so every source comes near its target."""
+    from linkgauge.llm import mixing
+
+    rows = [(None, f"a{i} b c d", "x") for i in range(900)] + [(7, "same words here", "y")] * 900
+    rows += [(i, "some more words of text", "z") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    plan = mixing.mix_plan(docs).groupBy("target").agg({"taken": "sum", "source_size": "max"}).collect()
+    assert len(plan) == 3
+    for r in plan:
+        assert abs(r["sum(taken)"] / r["target"] - 1) < 0.1
+    taken = sorted(r["taken"] for r in mixing.mix_plan(docs).collect())
+    assert taken == sorted(r["taken"] for r in mixing.mix_plan(docs.repartition(2)).collect())
+    words = mixing.mixed(docs).selectExpr("sum(size(split(text, ' ')))").first()[0]
+    assert words == sum(taken)
+
+
+def test_an_outlier_of_each_statistic_is_rejected(spark):
+    """One document each of a tight group stands out by word length, symbols, repeated lines, repeated words."""
+    from linkgauge.llm import quality
+
+    rng = random.Random(8)
+    def text(size=5):
+        return "\n".join(" ".join("".join(rng.choices("abcdefghij", k=size)) for _ in range(12)) for _ in range(10))
+
+    lines = [f"l{i} m{i}" for i in range(40)]
+    one = text().split()
+    odd = [text(12), text().replace(" ", " ## ", 60), "\n".join(lines + [text()] + lines[:30]), " ".join(one + one[:30])]
+    rows = [(i, t, "en", "s") for i, t in enumerate([text() for _ in range(300)] + odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in quality.judged(docs).collect()}
+    assert [found[i] for i in range(300, 304)] == [(False, False)] * 4
+    assert sum(found[i][0] for i in range(300)) >= 299
+
+
 def test_pipeline_on_empty(spark, empty):
     assert corpus_pipeline.run(spark, empty).collect() == []
 
