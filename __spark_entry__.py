@@ -37,6 +37,7 @@ except ImportError as error:
     corpus_pipeline = None
 
 STATIC_ROUNDS = 15
+PIVOTS = 64
 DELTA_TOL = 1.0e-8
 DIGITS = 8
 # Ranks are compared by significant digits, nine of them.
@@ -352,6 +353,9 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lg.betweenness(_users(spark, sf), _last_users(spark, sf)), "betweenness"
         ),
         "betweenness_places": lambda spark, sf: _rounded(lg.betweenness(_places(spark, sf)), "betweenness"),
+        "betweenness_estimate": lambda spark, sf: _rounded(
+            lg.betweenness_estimate(_users(spark, sf), pivots=PIVOTS), "betweenness", "error"
+        ),
         "metrics_table": lambda spark, sf: _rounded_metrics(_user_metrics(_users(spark, sf))),
         "rank_positions": lambda spark, sf: lg.rank_positions(
             _rounded_metrics(_user_metrics(_users(spark, sf)))
@@ -505,6 +509,27 @@ def _betweenness_sql(sources: str = "") -> str:
   SELECT n.id, COALESCE(SUM(b.delta), 0) AS betweenness FROM nodes n LEFT JOIN ({every}) b ON b.id = n.id GROUP BY 1)"""])
 
 
+def _estimate_sql() -> str:
+    """CTEs after paths: estimate (id, mean, error, n, k), means being shares of n - 2."""
+    pivots = f"(SELECT id FROM nodes ORDER BY md5('0:' || id), id LIMIT {PIVOTS})"
+    every = " UNION ALL ".join(f"SELECT id, delta FROM back_{k} WHERE source IN (SELECT id FROM pivots)" for k in range(1, LEVELS + 1))
+    return ",\n".join([f"pivots AS MATERIALIZED {pivots}", _betweenness_sql(), f"""
+sizes AS (SELECT COUNT(*) AS n, LEAST({PIVOTS}, COUNT(*)) AS k, LN(10 * COUNT(*) / 0.05::DOUBLE) AS log FROM nodes),
+sampled AS (
+  SELECT n.id, COALESCE(SUM(b.delta), 0) AS score, COALESCE(SUM(b.delta * b.delta), 0) AS square
+  FROM nodes n LEFT JOIN ({every}) b ON b.id = n.id GROUP BY 1),
+means AS (
+  SELECT id, score / (k * (n - 2)) AS mean, square / (k * POWER(n - 2, 2)) AS square, n, k, log,
+         CASE WHEN 2 * k <= n THEN 1 - (k - 1) / n ELSE (1 - k / n) * (1 + 1 / k) END AS unseen
+  FROM sampled CROSS JOIN sizes),
+estimate AS (
+  SELECT id, mean, n, k, CASE WHEN k = n THEN 0 ELSE
+    SQRT(GREATEST(square - mean * mean, 0)) * SQRT(2 * unseen * log / k) + (7 / 3 + 3 / SQRT(2)) * log / k END AS error
+  FROM means)"""])
+
+
+ESTIMATE_SQL = _estimate_sql()
+
 METRICS_SQL = """
 indegs AS (SELECT dst, COUNT(*) AS n FROM links GROUP BY dst),
 metrics AS MATERIALIZED (
@@ -597,6 +622,8 @@ SELECT source, id, dist, sigma FROM paths WHERE source IN {LAST_USERS}"""),
         "betweenness_places": _with(
             *places, *between, then="SELECT id, ROUND(betweenness, 8) AS betweenness FROM scores"
         ),
+        "betweenness_estimate": _with(*users, paths, ESTIMATE_SQL, then="""
+SELECT id, ROUND(mean * n * (n - 2), 8) AS betweenness, ROUND(error * n * (n - 2), 8) AS error, k AS pivots FROM estimate"""),
         "metrics_table": all_metrics,
         "rank_positions": _with(*user_metrics, then="""
 SELECT *, ROW_NUMBER() OVER (ORDER BY in_degree DESC, id) AS cite_count_rank,

@@ -3,6 +3,7 @@
 from .operators.degrees import average_degree, in_degree, out_degree
 from .operators.pagerank import normalized, pagerank, pagerank_delta, pagerank_static
 from .operators.paths import betweenness, shortest_paths, touched_nodes
+from .operators.pivots import betweenness_estimate
 from .operators.positions import rank_positions, with_position
 from .operators.weights import (
     dangling_mass,

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.exact import exact_sum
+from ..plans.ledger import Ledger
 from ..plans.loop import checkpoint, discard, fixed_layout, hashed, partitions_for
 from ..schema import Graph, GraphError
 from ..sources.tables import checked
@@ -34,6 +35,9 @@ ALPHA_STEP = 1.0e-10
 # What the ranks of the power method sum to at most; they sum to 1 but for rounding.
 RANKS = 2.0
 
+# Rounds of the power method after which a job with a name writes its ranks to its ledger.
+SAVED = 10
+
 # Rounds of gains after which they are added to the ranks.
 FOLD = 16
 
@@ -68,6 +72,7 @@ def pagerank(
     min_iter: int = MIN_ITER,
     tol: float = TOL,
     partitions: int | None = None,
+    job: str | None = None,
 ) -> DataFrame:
     """Power method with node and link weights and dangling nodes; sums to 1.
 
@@ -77,6 +82,9 @@ def pagerank(
     ``min_iter`` and at most ``max_iter`` rounds, and in between until the ranks
     change by no more than ``tol`` in total.
 
+    ``job`` names a run: every ``SAVED`` rounds its ranks go to a ledger, and if its driver is lost, another one given the
+    same name, graph and settings goes on from there, to the same bits.
+
     Returns id, page_rank and teleport_flow, the next round's teleport part.
     """
     graph = checked(graph)
@@ -91,8 +99,23 @@ def pagerank(
         first, state = start.state, start.state.withColumn("rank", F.lit(1.0 / nodes))
         mass, dangling = 1.0, (nodes - start.totals["senders"]) / nodes
         previous_change = INITIAL_CHANGE[teleport]
-        written = None
-        for iteration in range(1, max_iter + 1):
+        written, done = None, 0
+        ledger = Ledger(graph.vertices.sparkSession, job)
+        ledger.belongs_to(nodes=graph.vertices.select("id", "node_weight"), links=graph.edges.select("src", "dst", "weight"))
+        settings = [alpha, teleport, max_iter, min_iter, tol]
+        if job and ledger.note("settings", lambda: settings) != settings:
+            raise ValueError(f"{ledger.folder} holds a job with other settings")
+        saved = [e for name, e in ledger.entries().items() if name.startswith("round-")] if job else []
+        if saved:
+            last = max(saved, key=lambda e: e["value"]["done"])
+            ranks = hashed(ledger.spark.read.parquet(last["path"]), nodes, partitions)
+            written = state = checkpoint(start.state.join(ranks, "id"))
+            done, alpha, mass, dangling, previous_change = (
+                last["value"][k] for k in ("done", "alpha", "mass", "dangling", "change")
+            )
+            if done >= min_iter and previous_change <= tol:
+                max_iter = done
+        for iteration in range(done + 1, max_iter + 1):
             beta = 1.0 - alpha
             teleported = alpha + beta * dangling
             # What the new ranks will sum to before division, known from the old.
@@ -119,6 +142,10 @@ def pagerank(
             if change == previous_change:
                 alpha += ALPHA_STEP
             previous_change = change
+            if job and iteration % SAVED == 0:
+                with ledger.step(f"round-{iteration}") as attempt:
+                    attempt.add(state.select("id", "rank"))
+                    attempt.value = {"done": iteration, "alpha": alpha, "mass": mass, "dangling": dangling, "change": change}
             if iteration >= min_iter and change <= tol:
                 break
         discard(first)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import or_zero
-from ..plans.loop import append, checkpoint, discard, fixed_layout, hashed, new_table, partitions_for, store
+from ..plans.ledger import Attempt, Ledger
+from ..plans.loop import checkpoint, discard, fixed_layout, hashed, partitions_for, store
 from ..schema import Graph
 from ..sources.tables import checked
 from .folding import Folded, fold
@@ -38,6 +39,10 @@ MET_ROWS_PER_PARTITION = 5_000_000
 # After this many levels the nodes visited so far are rewritten as one table.
 LEVELS_PER_TABLE = 16
 
+# Names of batches in a ledger begin with this; the columns of what they find there.
+BATCH = "batch-"
+SCORES = "key long, score double, square double, reach double, come double"
+
 
 def shortest_paths(
     graph: Graph, sources: DataFrame | None = None, batch_rows: int | None = None, partitions: int | None = None,
@@ -52,14 +57,15 @@ def shortest_paths(
     if sources is None and not all_sources:
         raise ValueError("give sources, or all_sources=True for paths from every node")
     searches = _Searches(graph, sources, batch_rows, partitions)
-    table = _Appended(searches.spark, "source long, id long, dist int, sigma double")
     for batch in searches.batches():
-        for at in range(0, len(batch.levels), LEVELS_PER_TABLE):
-            table.add(reduce(DataFrame.union, [
-                level.selectExpr("source", "id", f"{dist} AS dist", "sigma")
-                for dist, level in enumerate(batch.levels[at : at + LEVELS_PER_TABLE], at)
-            ]))
-    return searches.with_ids(table.read(), "source", "id").select("source", "id", "dist", "sigma")
+        with searches.ledger.step(batch.step) as attempt:
+            for at in range(0, len(batch.levels), LEVELS_PER_TABLE):
+                attempt.add(reduce(DataFrame.union, [
+                    level.selectExpr("source", "id", f"{dist} AS dist", "sigma")
+                    for dist, level in enumerate(batch.levels[at : at + LEVELS_PER_TABLE], at)
+                ]))
+    found = searches.ledger.read("source long, id long, dist int, sigma double", BATCH)
+    return searches.with_ids(found, "source", "id").select("source", "id", "dist", "sigma")
 
 
 def touched_nodes(
@@ -70,7 +76,8 @@ def touched_nodes(
 
 
 def betweenness(
-    graph: Graph, sources: DataFrame | None = None, batch_rows: int | None = None, partitions: int | None = None
+    graph: Graph, sources: DataFrame | None = None, batch_rows: int | None = None, partitions: int | None = None,
+    job: str | None = None,
 ) -> DataFrame:
     """id, betweenness: over all ordered pairs of other nodes, the share of their
     shortest paths that pass through a node. Directed, link weights ignored, not
@@ -79,41 +86,32 @@ def betweenness(
     What hangs on one neighbour is taken off first and counted in closed form (see ``folding``);
     all sources together visit nodes times links of the core that is left. ``sources`` (a table with id)
     restricts the sum to paths from those; the result is then partial.
+
+    ``job`` names a run. If its driver is lost, another one given the same name, graph and sources searches only the
+    batches that are not in the job's ledger yet.
     """
-    searches = _Searches(graph, sources, batch_rows, partitions)
+    searches = _Searches(graph, sources, batch_rows, partitions, job)
     folded = searches.fold()
-    table = _Appended(searches.spark, "key long, score double, reach double, come double")
     for batch in searches.batches(backward=True):
-        _add_scores(batch, table)
-        if folded.rounds:
-            _add_ends(batch, table)
-    found = table.read().groupBy("key").agg(*[F.sum(c).alias(c) for c in ("score", "reach", "come")])
+        with searches.ledger.step(batch.step) as attempt:
+            _add_scores(batch, attempt)
+            if folded.rounds:
+                _add_ends(batch, attempt)
+    found = searches.ledger.read(SCORES, BATCH).groupBy("key").agg(
+        *[F.sum(c).alias(c) for c in ("score", "reach", "come")]
+    )
     total = folded.unfolded(found).withColumnRenamed("key", "id")
     nodes = graph.vertices.select("id")
     scored = nodes.join(searches.with_ids(total, "id"), "id", "left")
     return scored.select("id", or_zero(F.col("score")).alias("betweenness"))
 
 
-class _Appended:
-    """One table in the shared folder that batches add their rows to."""
-
-    def __init__(self, spark: SparkSession, schema: str):
-        self.spark, self.schema, self.path = spark, schema, new_table(spark)
-        append(spark.createDataFrame([], schema), self.path)
-
-    def add(self, frame: DataFrame) -> None:
-        append(frame, self.path)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-
-def _add_scores(batch: _Batch, table: _Appended) -> None:
-    """Add key, score of one batch, from the deepest level back to the first.
+def _add_scores(batch: _Batch, table: Attempt) -> None:
+    """Add key, score, square of one batch, from the deepest level back to the first.
 
     With sigma paths to a node, delta its dependency and t the targets it stands for, a node gains
     ``sigma * sum((t + delta) / sigma)`` over its successors on shortest paths, and scores that
-    for each of the s sources that the search stands for.
+    for each of the s sources that the search stands for; square sums the squares of these.
     Summing the quotients per predecessor before the shuffle, and only then joining
     the level before, drops links that lie on no shortest path.
     """
@@ -133,22 +131,25 @@ def _add_scores(batch: _Batch, table: _Appended) -> None:
         )
         scored.append(below)
         if len(scored) == LEVELS_PER_TABLE or depth == 1:
-            scores = reduce(DataFrame.union, [frame.selectExpr("id AS key", "s * delta AS score") for frame in scored])
-            table.add(scores.groupBy("key").agg(F.sum("score").alias("score")).selectExpr("key", "score", "0D AS reach", "0D AS come"))
+            scores = reduce(DataFrame.union, [
+                frame.selectExpr("id AS key", "s * delta AS score", "s * delta * delta AS square") for frame in scored
+            ])
+            sums = scores.groupBy("key").agg(F.sum("score").alias("score"), F.sum("square").alias("square"))
+            table.add(sums.selectExpr("key", "score", "square", "0D AS reach", "0D AS come"))
             for frame in scored[:-1]:
                 discard(frame)
             batch.others.append(below)
             scored = []
 
 
-def _add_ends(batch: _Batch, table: _Appended) -> None:
+def _add_ends(batch: _Batch, table: Attempt) -> None:
     """Add key, reach of the batch's sources, and key, come of the nodes they reach."""
     for at in range(0, len(batch.levels), LEVELS_PER_TABLE):
         rows = reduce(DataFrame.union, [level.select("source", "id", "s", "t") for level in batch.levels[at : at + LEVELS_PER_TABLE]])
         reach = rows.groupBy("source").agg(F.sum("t").alias("reach"))
-        table.add(reach.selectExpr("source AS key", "0D AS score", "reach", "0D AS come"))
+        table.add(reach.selectExpr("source AS key", "0D AS score", "0D AS square", "reach", "0D AS come"))
         come = rows.groupBy("id").agg(F.sum("s").alias("come"))
-        table.add(come.selectExpr("id AS key", "0D AS score", "0D AS reach", "come"))
+        table.add(come.selectExpr("id AS key", "0D AS score", "0D AS square", "0D AS reach", "come"))
 
 
 class _Batch:
@@ -157,10 +158,13 @@ class _Batch:
     levels  per distance one table of source, id, sigma, hashed by the first two; of a folded graph also
             s, the sources that the source stands for, and t, the targets that the node stands for
     rows    how many rows each of them has
+    step    the batch's name in the job's ledger
     """
 
-    def __init__(self, sources: DataFrame, forward: LinksByEnd, backward: LinksByEnd | None, partitions: int):
-        self.backward, self.partitions = backward, partitions
+    def __init__(
+        self, step: str, sources: DataFrame, forward: LinksByEnd, backward: LinksByEnd | None, partitions: int
+    ):
+        self.step, self.backward, self.partitions = step, backward, partitions
         self.others: list[DataFrame] = []
         folded = "s" in sources.columns
         carried, landed = (["s"], [F.max("s").alias("s"), F.max("t").alias("t")]) if folded else ([], [])
@@ -210,14 +214,22 @@ def batches_for(sources: int, nodes: int, batch_rows: int) -> int:
 class _Searches:
     """All searches over one graph: numbered nodes and links, sources in batches."""
 
-    def __init__(self, graph: Graph, sources: DataFrame | None, batch_rows: int | None, partitions: int | None):
+    def __init__(
+        self, graph: Graph, sources: DataFrame | None, batch_rows: int | None, partitions: int | None,
+        job: str | None = None,
+    ):
         graph = checked(graph)
         self.spark = graph.vertices.sparkSession
+        self.ledger = Ledger(self.spark, job)
+        self.ledger.belongs_to(
+            nodes=graph.vertices.select("id"), links=graph.edges.select("src", "dst"),
+            **({} if sources is None else {"sources": sources.select("id")}),
+        )
         header = graph.header.first()
         nodes, links = header["num_node"], header["link_lines"]
         self.batch_rows = batch_rows or BATCH_ROWS_PER_TASK * self.spark.sparkContext.defaultParallelism
         self.given_partitions = partitions
-        self.numbers = _numbers(graph.vertices)
+        self.numbers = self.ledger.table("numbers", lambda: _numbers(graph.vertices)) if job else _numbers(graph.vertices)
         self.proper = _numbered(graph.edges.where(F.col("src") != F.col("dst")).select("src", "dst"), self.numbers)
         chosen = self.numbers if sources is None else self.numbers.join(sources.select("id"), "id", "left_semi")
         self.sources, self.all_sources = store(chosen) if sources is not None else chosen, sources is None
@@ -248,8 +260,8 @@ class _Searches:
         self._size(self.starts.count(), folded.nodes, self.proper.count())
         return folded
 
-    def batches(self, backward: bool = False) -> Iterator[_Batch]:
-        """Batches split by hash, so no list of sources passes through the driver.
+    def batches(self, backward: bool = False, name: str = BATCH) -> Iterator[_Batch]:
+        """Batches split by hash, so no list of sources passes through the driver; those in the ledger are left out.
 
         The session keeps the settings of the fixed layout until the last batch is done,
         or the generator is closed.
@@ -260,11 +272,18 @@ class _Searches:
             back = links_by_end(self.proper.select("src", "dst"), "dst", self.links, self.partitions) if backward else None
             if back is not None:
                 stack.callback(back.release)
-            for index in range(self.number):
+            # a later driver may have other resources, yet its batches are those of the first
+            number, finished = self.number, {}
+            if self.ledger.named:
+                number = self.ledger.note(f"{name}number", lambda: self.number)
+                finished = self.ledger.entries()
+            for index in range(number):
+                if f"{name}{index}" in finished:
+                    continue
                 chosen = self.starts
-                if self.number > 1:
-                    chosen = chosen.where(F.pmod(F.xxhash64("key"), F.lit(self.number)) == index)
-                batch = _Batch(chosen, forward, back, self.partitions)
+                if number > 1:
+                    chosen = chosen.where(F.pmod(F.xxhash64("key"), F.lit(number)) == index)
+                batch = _Batch(f"{name}{index}", chosen, forward, back, self.partitions)
                 try:
                     if batch.touched:
                         yield batch

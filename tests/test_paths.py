@@ -82,16 +82,6 @@ def test_batches_never_outnumber_sources():
     assert module.batches_for(0, 5, 1) == 1
 
 
-def test_batches_add_to_one_table(graph_of, monkeypatch):
-    """However many batches there are, their rows go to one folder."""
-    folders = set()
-    write = module.append
-    monkeypatch.setattr(module, "append", lambda frame, path: (folders.add(path), write(frame, path)))
-    links = brute.random_links(24, 40, 11, hub=True)
-    assert scores(graph_of(links), partitions=2, batch_rows=100) == pytest.approx(brute.betweenness(links), abs=1e-9)
-    assert len(folders) == 1
-
-
 def test_unreachable_parts_and_no_nodes(graph_of):
     ring = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "x")]
     assert scores(graph_of(ring)) == {"a": 1.0, "b": 1.0, "c": 1.0, "x": 0.0, "y": 0.0}
