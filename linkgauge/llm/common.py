@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgauge.plans.loop import checkpoint_folder, store
 
-__all__ = ["BLANKS", "WORD", "expand", "fresh", "join_hot", "lower_az", "scratch", "store", "table", "word_count"]
+__all__ = ["BLANKS", "WORD", "expand", "fresh", "frugal", "join_hot", "lower_az", "scratch", "store", "table", "word_count"]
 
 #: Blanks between words; a word is a run of other characters.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -21,6 +25,25 @@ STEP = 4096
 HOT, MOST_HOT = 1000, 50_000
 
 
+def frugal(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """``work`` on batches, which gives back what memory it no longer needs once a task ends.
+
+    A Python worker lives on into later stages, and keeps what earlier ones grew to otherwise.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

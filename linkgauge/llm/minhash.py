@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, store
+from .common import frugal, join_hot, store
 from .components import components
 
 WIDTH = 2
@@ -156,7 +156,7 @@ def sketched(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                 )
 
     return store(_rows(documents).mapInArrow(
-        work, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"
+        frugal(work), "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"
     ))
 
 
@@ -186,7 +186,7 @@ def full_sets(documents: DataFrame, picked: DataFrame, width: int = WIDTH) -> Da
     wanted = F.broadcast(wanted) if picked.count() <= BROADCAST_NODES else wanted
     rows = _rows(documents)
     found = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
-    return store(found.select("node", "text").mapInArrow(work, "node long, n long, parities array<long>, shingles array<long>"))
+    return store(found.select("node", "text").mapInArrow(frugal(work), "node long, n long, parities array<long>, shingles array<long>"))
 
 
 # --------------------------------------------------------------- compare

@@ -35,6 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 #: The vocabulary file; the driver reads it, and ``decoded`` in every executor.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS = 1.0
@@ -319,7 +321,7 @@ def encoded(
 
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(work, f"`{key}` {kind}, n_tokens long, token_ids array<int>, round_trip boolean")
+    return rows.mapInArrow(frugal(work), f"`{key}` {kind}, n_tokens long, token_ids array<int>, round_trip boolean")
 
 
 def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import frugal, store
 
 ADDED = 0.1
 #: Of so many remainders of the id's checksum the first is held out.
@@ -132,7 +132,7 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
         yield out(TEXT_COUNT, np.zeros(1, np.int64), np.array([texts], np.int64))
 
     training = _rows(documents).where("NOT held_out").select("text")
-    found = training.mapInArrow(work, "kind int, key long, n long")
+    found = training.mapInArrow(frugal(work), "kind int, key long, n long")
     return store(found.groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
@@ -317,7 +317,7 @@ def scores(documents: DataFrame) -> DataFrame:
             )
 
     scored = store(_rows(documents).mapInArrow(
-        work, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, "
+        frugal(work), "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, "
         "rare array<long>, times array<long>",
     ))
     rare = scored.select("row", F.inline(F.arrays_zip("rare", "times")).alias("key", "times"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, store
+from .common import fresh, frugal, store
 
 WIDTH = 4
 DISTANCE = 4
@@ -74,7 +74,7 @@ def fingerprints(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
         F.col("text").cast("binary").alias("text"),
     )
-    return store(rows.mapInArrow(work, "doc_id long, text_key long, fp long"))
+    return store(rows.mapInArrow(frugal(work), "doc_id long, text_key long, fp long"))
 
 
 # ------------------------------------------------------------------ index
@@ -216,7 +216,7 @@ def edges(nodes: DataFrame, distance: int = DISTANCE, limit: int = LIMIT) -> Dat
             yield edge_batch(_compared(*rest, distance))
 
     dealt = index(nodes, distance, limit).repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return store(dealt.mapInArrow(work, "a long, b long").distinct())
+    return store(dealt.mapInArrow(frugal(work), "a long, b long").distinct())
 
 
 # ------------------------------------------------------------- components

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import frugal, store
 
 WINDOW = 13
 GRAM = 6
@@ -176,8 +176,8 @@ def seeds(documents: DataFrame) -> DataFrame:
                     [pa.array(anchor.view(np.int64)), pa.array(stretch), pa.array(docs)], ["anchor", "stretch", "doc"]
                 )
 
-    rows = documents.mapInArrow(work, "anchor long, stretch long, doc long")
-    found = _dealt(rows, ["anchor"], ["anchor", "stretch"]).mapInArrow(_shared, "doc long, stretch long, lost boolean")
+    rows = documents.mapInArrow(frugal(work), "anchor long, stretch long, doc long")
+    found = _dealt(rows, ["anchor"], ["anchor", "stretch"]).mapInArrow(frugal(_shared), "doc long, stretch long, lost boolean")
     return store(found.groupBy("doc").agg(
         F.collect_set(F.when(F.col("lost"), F.col("stretch"))).alias("lost"),
         F.collect_set(F.when(~F.col("lost"), F.col("stretch"))).alias("opened"),
@@ -236,8 +236,8 @@ def removed_windows(documents: DataFrame, found: DataFrame) -> DataFrame:
 
     opened = found.where(F.size("opened") > 0).select("doc", "opened")
     rows = documents.select("doc", packed(F.col("text")).alias("text")).join(opened, "doc")
-    rows = rows.select("doc", "text", "opened").mapInArrow(extended, "a long, b long, doc long")
-    later = _dealt(rows, ["a", "b"], ["a", "b"]).mapInArrow(_later, "a long, doc long")
+    rows = rows.select("doc", "text", "opened").mapInArrow(frugal(extended), "a long, b long, doc long")
+    later = _dealt(rows, ["a", "b"], ["a", "b"]).mapInArrow(frugal(_later), "a long, doc long")
     return later.groupBy("doc").agg(F.collect_set("a").alias("windows"))
 
 
