@@ -4,6 +4,7 @@ import pytest
 import linkgauge as lg
 from linkgauge.operators import folding
 from linkgauge.operators import paths as module
+from linkgauge.plans import ledger
 from tests import brute, fixtures
 from tests.test_tables import as_dict
 
@@ -82,6 +83,16 @@ def test_batches_never_outnumber_sources():
     assert module.batches_for(0, 5, 1) == 1
 
 
+def test_batches_add_to_one_ledger(graph_of, monkeypatch):
+    """However many batches there are, their rows go to one job's folder, each batch's to a table of its own."""
+    tables = set()
+    write = ledger.append
+    monkeypatch.setattr(ledger, "append", lambda frame, path: (tables.add(path), write(frame, path)))
+    links = brute.random_links(24, 40, 11, hub=True)
+    assert scores(graph_of(links), partitions=2, batch_rows=200) == pytest.approx(brute.betweenness(links), abs=1e-9)
+    assert len(tables) > 1 and len({path.rsplit("/", 1)[0] for path in tables}) == 1
+
+
 def test_unreachable_parts_and_no_nodes(graph_of):
     ring = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "x")]
     assert scores(graph_of(ring)) == {"a": 1.0, "b": 1.0, "c": 1.0, "x": 0.0, "y": 0.0}
