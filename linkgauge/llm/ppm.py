@@ -6,11 +6,12 @@ distinct bytes (method C), and bytes that the longer context knows are excluded
 A text is framed by byte 255, which UTF-8 never uses, so that beginnings and ends are predicted too. The model is
 pretrained on the training rows; the code length of a text is the sum over its bytes, in lower case.
 
-Scale: counts of contexts and of words are gathered from all training texts, summed in tasks first. The finished table
-is bounded whatever the corpus: there are at most 65,536 contexts of two bytes, and a context of three bytes is a node if at least one in
-``NODES`` of all bytes comes after it, so there are at most ``NODES`` of these (shorter contexts predict for the others). It has 256 numbers of
-four bytes for each, 128 MB at the very most, and is what tasks look up. The vocabulary has no such bound: its ``FREQUENT`` most frequent words
-go with the table, which also takes the hot keys, and all others meet their counts in a join.
+Scale: counts of contexts and of words are gathered from all training texts, summed in tasks first, and all of them are used. What tasks look
+up is bounded whatever the corpus: a row for each of the at most 65,536 contexts of two bytes, and for each context of three bytes that
+comes before at least one in ``NODES`` of all bytes, of which there are at most ``NODES``. A row has 256 numbers of four bytes, which makes 128 MB
+at the very most. A bitmap of 2 MB tells which other contexts of three bytes the training texts have. Their bytes are counted for each document and
+meet their probabilities, worked out once for each context with its next byte, in a join. Words go the same way: the ``FREQUENT`` most
+frequent ones go with the table, which also takes the hot keys, and all others meet their counts in a join.
 
 Defined cases: a null text is empty; it has an end to predict, and one token. A null id is held out. Rows with the same id are
 scored each. Without training rows every byte has probability 1/256 and the base score is 0. Words are known by
@@ -37,7 +38,9 @@ ADDED = 0.1
 FOLDS = 10
 FRAME = bytes([255])
 ORDER = 3
+#: Contexts of three bytes that tasks look up at most; the others are joined, so this doesn't change any score.
 NODES = 1 << 16
+CONTEXTS = 1 << 24
 #: Words that tasks look up at most; about 3 MB.
 FREQUENT = 200_000
 #: Words that a task counts, or remembers, before it passes them on.
@@ -154,9 +157,30 @@ def _dense(context: np.ndarray, after: np.ndarray, counts: np.ndarray, known: np
     return np.bincount(place * 256 + after, counts, len(known) * 256).reshape(-1, 256)
 
 
+def _filled(levels: list[np.ndarray]) -> np.ndarray:
+    """log10 probabilities of all bytes, by the counts of ever shorter contexts. One row for each context."""
+    rows = len(levels[0])
+    p, left, mass = np.zeros((rows, 256)), np.ones((rows, 256), bool), np.ones((rows, 1))
+    for level in levels:
+        mass = _level(p, mass, left, level)
+    rest = left.sum(axis=1, keepdims=True)
+    np.copyto(p, mass / np.maximum(rest, 1), where=left)
+    return np.log10(p)
+
+
+def _below(contexts: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """The levels under contexts of two bytes: that of their last byte, and that of no context."""
+    return [last[contexts & 255], np.broadcast_to(last.sum(axis=0, keepdims=True), (len(contexts), 256))]
+
+
 Counts = tuple[np.ndarray, np.ndarray]
 
 
+def last_counts(two: Counts) -> np.ndarray:
+    """Counts of the next byte by the last one alone, from those by the last two."""
+    return np.bincount(two[0] & 65535, two[1], 65536).reshape(256, 256)
+
+
 def trie_table(three: Counts, two: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(contexts of three bytes, contexts of two bytes, log10 probabilities of the next byte).
 
@@ -165,57 +189,70 @@ def trie_table(three: Counts, two: Counts) -> tuple[np.ndarray, np.ndarray, np.n
     """
     context3, context2 = three[0] >> 8, two[0] >> 8
     known3, known2 = np.unique(context3), np.unique(context2)
-    last = np.bincount(two[0] & 65535, two[1], 65536).reshape(256, 256)
-    none = last.sum(axis=0, keepdims=True)
+    last = last_counts(two)
 
     def part_of(counts: Counts, context: np.ndarray, known: np.ndarray) -> np.ndarray:
         at, to = np.searchsorted(context, [known[0], known[-1] + 1])
         own = np.isin(context[at:to], known)
         return _dense(context[at:to][own], (counts[0][at:to] & 255)[own], counts[1][at:to][own], known)
 
-    def filled(levels: list[np.ndarray]) -> np.ndarray:
-        rows = len(levels[0])
-        p, left, mass = np.zeros((rows, 256)), np.ones((rows, 256), bool), np.ones((rows, 1))
-        for level in levels:
-            mass = _level(p, mass, left, level)
-        rest = left.sum(axis=1, keepdims=True)
-        np.copyto(p, mass / np.maximum(rest, 1), where=left)
-        return np.log10(p).astype(np.float32)
-
-    def below(shorter: np.ndarray) -> list[np.ndarray]:
-        """The levels under contexts whose last two bytes these are."""
-        return [last[shorter & 255], np.broadcast_to(none, (len(shorter), 256))]
-
     tables = []
     for at in range(0, len(known3), 2048):
         known = known3[at : at + 2048]
         ends, place = np.unique(known & 65535, return_inverse=True)
-        tables.append(filled([
-            part_of(three, context3, known), part_of(two, context2, ends)[place], *below(known)
+        tables.append(_filled([
+            part_of(three, context3, known), part_of(two, context2, ends)[place], *_below(known, last)
         ]))
     for at in range(0, len(known2), 2048):
         known = known2[at : at + 2048]
-        tables.append(filled([part_of(two, context2, known), *below(known)]))
-    tables += [filled([last, np.broadcast_to(none, last.shape)])]
-    return known3, known2, np.concatenate(tables)
+        tables.append(_filled([part_of(two, context2, known), *_below(known, last)]))
+    tables += [_filled(_below(np.arange(256), last))]
+    return known3, known2, np.concatenate(tables).astype(np.float32)
+
 
+def row_numbers(known3: np.ndarray, known2: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """The row of the table for every context of three bytes: that of its longest known ending, or -1 if its bytes are joined.
 
-def row_numbers(known3: np.ndarray, known2: np.ndarray) -> np.ndarray:
-    """The row of the table for every context of three bytes: that of its longest known ending."""
+    ``joined`` has a bit for each context.
+    """
     of_two = len(known3) + len(known2) + np.arange(1 << 16, dtype=np.int32) % 256
     of_two[known2] = len(known3) + np.arange(len(known2))
     rows = np.tile(of_two, 256).astype(np.int32)
+    rows[np.unpackbits(joined, bitorder="little").view(bool)] = -1
     rows[known3] = np.arange(len(known3))
     return rows
 
 
-def trie_counts(counts: DataFrame) -> tuple[Counts, Counts]:
-    """Counts of the nodes of three bytes, and of all contexts of two, from rows (key, n)."""
+def _bitmap(contexts: DataFrame) -> np.ndarray:
+    """A bit for each context of three bytes: whether the table, one row for each context, has it."""
+    number = F.col("context") + 1  # Spark's bitmaps count from 1
+    parts = contexts.groupBy(F.bitmap_bucket_number(number).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+    out = np.zeros(CONTEXTS // 8, np.uint8)
+    for r in parts.collect():  # at most 512 parts of 4 KB
+        bits = np.frombuffer(r["bits"], np.uint8)
+        at = (r["part"] - 1) * len(bits)
+        out[at : at + len(bits)] = bits
+    return out
+
+
+def _next_bytes(counts: DataFrame, name: str) -> DataFrame:
+    """One row for each context, with the bytes after it, at most 256, and their counts in ``name``, from rows (context, key, n)."""
+    own = F.struct(F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n")
+    return counts.groupBy("context").agg(F.collect_list(own).alias(name))
+
+
+def trie_counts(counts: DataFrame) -> tuple[Counts, Counts, DataFrame, DataFrame]:
+    """From rows (key, n): counts of the contexts of three bytes that are looked up, and of all of two; then as tables
+    (context, three) all other contexts of three with the counts of their next bytes, stored, and (ending, two) those of two."""
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     keyed = counts.withColumn("context", F.shiftright("key", 8))
-    nodes = keyed.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") * NODES >= total)
-    three = keyed.join(nodes, "context").select("key", "n")
+    looked_up = F.col("all") * NODES >= total
+    nodes = keyed.groupBy("context").agg(F.sum("n").alias("all"))
+    three = keyed.join(nodes.where(looked_up), "context").select("key", "n")
+    others = store(_next_bytes(keyed.join(nodes.where(~looked_up).drop("all"), "context"), "three"))
     two = counts.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFF)).alias("key")).agg(F.sum("n").alias("n"))
+    endings = _next_bytes(two.withColumn("context", F.shiftright("key", 8)), "two").withColumnRenamed("context", "ending")
 
     def sorted_rows(frame: DataFrame) -> Counts:
         found = frame.toArrow()
@@ -223,7 +260,39 @@ def trie_counts(counts: DataFrame) -> tuple[Counts, Counts]:
         order = np.argsort(keys)
         return keys[order], n[order]
 
-    return sorted_rows(three), sorted_rows(two)
+    return sorted_rows(three), sorted_rows(two), others, endings
+
+
+def _rows_of_counts(column: pa.Array) -> np.ndarray:
+    """A row of 256 counts for each list of (byte, n)."""
+    pairs = column.flatten()
+    lengths = np.diff(column.offsets.to_numpy())
+    place = np.repeat(np.arange(len(column)), lengths) * 256 + pairs.field("byte").to_numpy()
+    return np.bincount(place, pairs.field("n").to_numpy(), len(column) * 256).reshape(-1, 256)
+
+
+def joined_chances(keys: DataFrame, others: DataFrame, endings: DataFrame, last: np.ndarray) -> DataFrame:
+    """Rows (key, chance): log10 probabilities of the contexts of three bytes with their next byte that ``keys`` lists once or more.
+
+    A context has at most 256 next bytes, and an ending of two bytes is that of at most 256 contexts, so no key is hot.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                context, bytes_, three, two = batch.slice(at, 1024).columns
+                context = context.to_numpy()
+                chance = _filled([_rows_of_counts(three), _rows_of_counts(two), *_below(context, last)])
+                place = np.repeat(np.arange(len(context)), np.diff(bytes_.offsets.to_numpy()))
+                after = bytes_.flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(context[place] << 8 | after), pa.array(chance[place, after])], ["key", "chance"])
+
+    wanted = keys.select("key").distinct().groupBy(F.shiftright("key", 8).alias("context")).agg(
+        F.collect_list(F.col("key").bitwiseAND(F.lit(255))).alias("bytes"))
+    whole = wanted.join(others, "context").withColumn("ending", F.col("context").bitwiseAND(F.lit(65535)))
+    return whole.join(endings, "ending").select("context", "bytes", "three", "two").mapInArrow(
+        frugal(work), "key long, chance double")
 
 
 # ------------------------------------------------------------------- score
@@ -281,15 +350,16 @@ def scores(documents: DataFrame) -> DataFrame:
     texts = totals.get(TEXT_COUNT, (0, 0))[0]
     tokens = totals.get(WORD_COUNT, (0, 0))[0] + texts
     kinds = totals.get(WORD_COUNT, (0, 0))[1] + (texts > 0)
-    known3, known2, table = trie_table(*trie_counts(counts.where(F.col("kind") == GRAM_COUNT).select("key", "n")))
+    three, two, others, endings = trie_counts(counts.where(F.col("kind") == GRAM_COUNT).select("key", "n"))
+    known3, known2, table = trie_table(three, two)
     keys, often = frequent_words(words)
-    shared = spark.sparkContext.broadcast((known3, known2, table, keys, np.log10(often + ADDED)))
+    shared = spark.sparkContext.broadcast((known3, known2, _bitmap(others), table, keys, np.log10(often + ADDED)))
     end = math.log10(texts + ADDED)
     below = math.log10(tokens + ADDED * (kinds + 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known3, known2, logs, keys, log_counts = shared.value
-        rows, logs = row_numbers(known3, known2), logs.ravel()
+        known3, known2, joined, logs, keys, log_counts = shared.value
+        rows, logs = row_numbers(known3, known2, joined), logs.ravel()
         vocabulary = _Vocabulary(keys)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -301,34 +371,43 @@ def scores(documents: DataFrame) -> DataFrame:
                 often = ids[ids >= 0]
                 rare, times = np.unique(-1 - ids[ids < 0], return_counts=True)
                 names = [vocabulary.rare[i] for i in rare.tolist()]
-                score = sum(
-                    float(logs[rows[context].astype(np.int64) << 8 | after].sum(dtype=np.float64))
-                    for context, after in _slices(text)
-                )
+                score, grams = 0.0, []
+                for context, after in _slices(text):
+                    own_row = rows[context]
+                    here = own_row >= 0
+                    score += float(logs[own_row[here].astype(np.int64) << 8 | after[here]].sum(dtype=np.float64))
+                    grams.append(context[~here].astype(np.int64) << 8 | after[~here])
+                grams, gram_times = np.unique(np.concatenate(grams), return_counts=True)
                 base = float(log_counts[often].sum()) + end
-                out.append((row, len(own) + 1, len(often) + (texts > 0), base, score, names, times.tolist()))
+                out.append((row, len(own) + 1, len(often) + (texts > 0), base, score, names, times.tolist(), grams, gram_times))
                 row += 1
                 vocabulary.trim()
-            columns = list(zip(*out)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            columns = list(zip(*out)) or [()] * 9
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64())] * 4]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "rare", "times"],
+                ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "rare", "times", "grams", "gram_times"],
             )
 
     scored = store(_rows(documents).mapInArrow(
         frugal(work), "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, "
-        "rare array<long>, times array<long>",
+        "rare array<long>, times array<long>, grams array<long>, gram_times array<long>",
     ))
     rare = scored.select("row", F.inline(F.arrays_zip("rare", "times")).alias("key", "times"))
+    grams = scored.select("row", F.inline(F.arrays_zip("grams", "gram_times")).alias("key", "times"))
     n = F.coalesce("n", F.lit(0))
-    found = rare.join(words.select("key", "n"), "key", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(n + ADDED)).alias("more"),
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"),
+    by_word = rare.join(words.select("key", "n"), "key", "left").select(
+        "row", (F.col("times") * F.log10(n + ADDED)).alias("more"), F.when(n > 0, F.col("times")).otherwise(0).alias("more_known"),
+        F.lit(0.0).alias("more_score"),
+    )
+    by_gram = grams.join(joined_chances(grams, others, endings, last_counts(two)), "key").select(
+        "row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("more_known"), (F.col("times") * F.col("chance")).alias("more_score"),
     )
-    whole = scored.drop("rare", "times").join(found, "row", "left")
+    found = by_word.unionByName(by_gram).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "more_known", "more_score")])
+    whole = scored.drop("rare", "times", "grams", "gram_times").join(found, "row", "left")
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(below)).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(below)).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

@@ -187,7 +187,7 @@ def held_out(doc):
     return zlib.crc32(("" if doc is None else str(doc)).encode()) % 10 == 0
 
 
-def scores(rows, nodes=1 << 16):
+def scores(rows):
     """[(doc_id, text)] -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     tokens = [[*words(lowered(t)), None] for _, t in rows]
     count = collections.Counter(w for (d, _), own in zip(rows, tokens) if not held_out(d) for w in own)
@@ -198,14 +198,11 @@ def scores(rows, nodes=1 << 16):
         for p in range(3, len(x) if not held_out(doc) else 0):
             for k in range(4):
                 after[k][x[p - k : p]][x[p]] += 1
-    every = sum(after[0][b""].values())
 
     def chance(context, byte):
         known, mass = set(), 1.0
         for k in (3, 2, 1, 0):
             own = after[k].get(context[3 - k :], {})
-            if k == 3 and sum(own.values()) * nodes < every:
-                continue
             own = {b: n for b, n in own.items() if b not in known}
             if own:
                 if byte in own:

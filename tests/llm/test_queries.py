@@ -124,7 +124,12 @@ def test_pieces(spark, odd):
     assert rows_of(back) == sorted(DOCS, key=repr)
 
 
-def test_scores(spark, odd):
+@pytest.mark.parametrize("nodes", [1 << 16, 40, 0])
+def test_scores(spark, odd, monkeypatch, nodes):
+    """With all contexts looked up, few of them, and none but the shorter ones; no score depends on it."""
+    from linkgauge.llm import ppm
+
+    monkeypatch.setattr(ppm, "NODES", nodes)
     got = sorted(map(tuple, run(spark, odd, "op7_lm_scoring").collect()), key=lambda r: (str(r[0]), r[2], r[6]))
     expected = sorted(brute.scores(DOCS), key=lambda r: (str(r[0]), r[2], r[6]))
     assert [r[:5] for r in got] == [r[:5] for r in expected]
