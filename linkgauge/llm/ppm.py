@@ -185,7 +185,7 @@ def trie_table(three: Counts, two: Counts) -> tuple[np.ndarray, np.ndarray, np.n
     """(contexts of three bytes, contexts of two bytes, log10 probabilities of the next byte).
 
     Both come as (context << 8 | next byte, count), sorted. The table has a row for each context of three, then for each of two,
-    for each last byte, and for no context at all.
+    for each last byte, and one of zeros for contexts whose bytes are joined.
     """
     context3, context2 = three[0] >> 8, two[0] >> 8
     known3, known2 = np.unique(context3), np.unique(context2)
@@ -207,18 +207,23 @@ def trie_table(three: Counts, two: Counts) -> tuple[np.ndarray, np.ndarray, np.n
         known = known2[at : at + 2048]
         tables.append(_filled([part_of(two, context2, known), *_below(known, last)]))
     tables += [_filled(_below(np.arange(256), last))]
+    tables.append(np.zeros((1, 256)))
     return known3, known2, np.concatenate(tables).astype(np.float32)
 
 
+def joined_row(known3: np.ndarray, known2: np.ndarray) -> int:
+    return len(known3) + len(known2) + 256
+
+
 def row_numbers(known3: np.ndarray, known2: np.ndarray, joined: np.ndarray) -> np.ndarray:
-    """The row of the table for every context of three bytes: that of its longest known ending, or -1 if its bytes are joined.
+    """The row of the table for every context of three bytes: that of its longest known ending, or the last if its bytes are joined.
 
     ``joined`` has a bit for each context.
     """
     of_two = len(known3) + len(known2) + np.arange(1 << 16, dtype=np.int32) % 256
     of_two[known2] = len(known3) + np.arange(len(known2))
     rows = np.tile(of_two, 256).astype(np.int32)
-    rows[np.unpackbits(joined, bitorder="little").view(bool)] = -1
+    rows[np.unpackbits(joined, bitorder="little").view(bool)] = joined_row(known3, known2)
     rows[known3] = np.arange(len(known3))
     return rows
 
@@ -359,7 +364,7 @@ def scores(documents: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known3, known2, joined, logs, keys, log_counts = shared.value
-        rows, logs = row_numbers(known3, known2, joined), logs.ravel()
+        rows, logs, zeros = row_numbers(known3, known2, joined), logs.ravel(), joined_row(known3, known2)
         vocabulary = _Vocabulary(keys)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -374,10 +379,11 @@ def scores(documents: DataFrame) -> DataFrame:
                 score, grams = 0.0, []
                 for context, after in _slices(text):
                     own_row = rows[context]
-                    here = own_row >= 0
-                    score += float(logs[own_row[here].astype(np.int64) << 8 | after[here]].sum(dtype=np.float64))
-                    grams.append(context[~here].astype(np.int64) << 8 | after[~here])
-                grams, gram_times = np.unique(np.concatenate(grams), return_counts=True)
+                    score += float(logs[own_row.astype(np.int64) << 8 | after].sum(dtype=np.float64))
+                    at = np.flatnonzero(own_row == zeros)
+                    if len(at):
+                        grams.append(context[at].astype(np.int64) << 8 | after[at])
+                grams, gram_times = np.unique(np.concatenate(grams), return_counts=True) if grams else ((), ())
                 base = float(log_counts[often].sum()) + end
                 out.append((row, len(own) + 1, len(often) + (texts > 0), base, score, names, times.tolist(), grams, gram_times))
                 row += 1
