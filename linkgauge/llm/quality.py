@@ -13,7 +13,7 @@ sums, so a group with a third of all rows is no hot key; quantiles are mergeable
 estimates has a row per group and is broadcast only if it is counted to be short.
 
 Defined cases: a null text has no words and fails the base rules. Null languages and sources are groups. Rows that repeat are
-judged each. If all groups together are too small, only the base rules decide. An empty table
+judged each. Small groups are pooled with other small ones; if these are too few together, the base rules alone decide for them. An empty table
 gives an empty result. ``accepted`` carries all columns along whatever they are called.
 """
 

@@ -137,6 +137,17 @@ def test_scores(spark, odd, monkeypatch, nodes):
         assert a[5:] == pytest.approx(b[5:], rel=1e-6)
 
 
+def test_scores_without_training_rows(spark):
+    import math
+
+    from linkgauge.llm import ppm
+
+    held = [d for d in range(60) if brute.held_out(d)][:2]
+    rows = ppm.scores(spark.createDataFrame([(held[0], "ab"), (held[1], None)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_known"], r["base_score"]) for r in rows) == [(d, 0, 0.0) for d in held]
+    assert sorted(r["score"] for r in rows) == pytest.approx([-3 * math.log10(256), -math.log10(256)], rel=1e-6)
+
+
 def test_repeats(spark, odd):
     assert rows_of(run(spark, odd, "op9_substring_dedup")) == sorted(brute.repeat_rows(DOCS), key=repr)
 
