@@ -63,6 +63,9 @@ def read_pajek(spark: SparkSession, path: str) -> Graph:
 def write_pajek(graph: Graph, path: str) -> None:
     """Write a network as a folder of text parts that ``read_pajek`` reads back.
 
+    Links and nodes are written once each, and counted so in the heads. A graph that was read from lines with duplicates comes back with fewer
+    lines in its header, which changes what is scaled by them, such as ``page_rank_normalized``.
+
     Raises GraphError for what would be read back as something else: an id that is empty, null
     or has a blank or quote, a name that is null or has a line end.
     """
