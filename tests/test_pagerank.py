@@ -224,3 +224,22 @@ def test_delta_rounds_write_only_gains(graph_of, monkeypatch):
     got = as_dict(lg.pagerank_delta(graph_of(links), 1e-9).vertices, "id", "page_rank")
     assert got == pytest.approx(brute.delta_rank(links, 1e-9), abs=1e-12)
     assert written[0] == 41 and written[1] == 40 and written[30] < 15
+
+
+@pytest.mark.parametrize("inner", [[], [("s0", "s1", 2.0), ("s1", "s0", 1.0), ("s1", "s2", 1.0)]])
+def test_outer_nodes_take_no_part_in_the_rounds(graph_of, monkeypatch, inner):
+    """Nodes that nothing links to are not in the state of the rounds, nor their links in what is shuffled there."""
+    links = [(f"c{i}", f"s{(i * j) % 3}", 1.0 + j) for i in range(6) for j in (1, 2)]
+    links = list({(a, b): (a, b, w) for a, b, w in links + inner}.values())
+    weights = {v: 1.0 + i % 4 for i, v in enumerate(brute.ids_of(links))} | {"alone": 3.0}
+    seen, next_round = [], pagerank_module._next_round
+
+    def counting(state, passing=(), **scalars):
+        found = next_round(state, passing, **scalars)
+        seen.append(found[0].count())
+        return found
+
+    monkeypatch.setattr(pagerank_module, "_next_round", counting)
+    found = ranks(graph_of(links, weights), max_iter=4, min_iter=4, partitions=2)
+    assert found == pytest.approx(brute.power_rank(links, weights, sum(weights.values()), 4), abs=1e-12)
+    assert seen == [len(weights)] + 4 * [3]
