@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import or_zero
 from ..schema import Graph
-from .paths import SCORES, _add_scores, _Searches
+from .paths import SCORES, _Searches
 from .positions import with_position
 
 # Pivots of the first round; every other round doubles them.
@@ -67,16 +67,15 @@ def betweenness_estimate(
         return graph.vertices.selectExpr("id", "0D AS betweenness", "0D AS error", "0L AS pivots").where(F.lit(False))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
     order = with_position(searches.numbers.select("id", "key", digest.alias("digest")), [F.col("digest"), F.col("id")], "place")
-    searches.proper = searches.proper.withColumn("t", F.lit(1.0))
     links = searches.links
     rounds, most, taken = pivot_rounds(nodes, pivots), max(1, nodes - 2), 0
     for at, size in enumerate(rounds):
         chosen = order.where(F.col("place").between(taken + 1, size))
-        searches.starts = chosen.select("key", F.lit(1.0).alias("s"), F.lit(1.0).alias("t"))
+        searches.starts = chosen.select("key", F.lit(1.0).alias("s"))
         searches._size(size - taken, nodes, links)
-        for batch in searches.batches(backward=True, name=f"round-{at}-"):
+        for batch in searches.blocks(f"round-{at}-"):
             with searches.ledger.step(batch.step) as attempt:
-                _add_scores(batch, attempt)
+                batch.add_scores(attempt)
         taken = size
         by_spread, added = error_terms(nodes, len(rounds), size, failure)
         found = searches.ledger.read(SCORES, *[f"round-{i}-" for i in range(at + 1)]).groupBy("key").agg(

@@ -119,3 +119,28 @@ def test_trees_leave_no_links_to_search(spark):
     assert folded.links.isEmpty() and folded.nodes == 1 and 2 < len(folded.rounds) < 6
     core = folded.core.first()
     assert (core["s"], core["t"]) == (40.0, 40.0)
+
+
+def test_searches_run_in_blocks_of_nodes_and_groups_of_sources(graph_of, monkeypatch):
+    """A level is one row for each group and block, however many pairs it holds."""
+    monkeypatch.setattr(module.blocks, "LEAST_WIDTH", 5)
+    monkeypatch.setattr(module.blocks, "LEAST_LINKS", 10)
+    rows, written = [], module._Batch._written
+
+    def counting(self, *given):
+        found = written(self, *given)
+        rows.append((found.count(), -(-24 // self.graph.width) * self.graph.count))
+        return found
+
+    monkeypatch.setattr(module._Batch, "_written", counting)
+    links = brute.random_links(24, 40, 11, hub=True)
+    assert scores(graph_of(links), partitions=3) == pytest.approx(brute.betweenness(links), abs=1e-9)
+    assert all(found <= most for found, most in rows) and max(most for _, most in rows) > 3
+
+
+def test_what_a_forest_reaches_needs_no_pairs(graph_of, monkeypatch):
+    touched, close = [], module._Batch.close
+    monkeypatch.setattr(module._Batch, "close", lambda self: touched.append(self.touched) or close(self))
+    upward = [(f"v{i}", f"v{(i - 1) // 3}") for i in range(1, 20)]
+    assert lg.touched_nodes(graph_of([*upward, *[(b, a) for a, b in upward]])) == 400
+    assert touched == [1]
