@@ -49,7 +49,9 @@ REMEMBERED, AT_ONCE = 2_000_000, 60_000
 #: Edges that a byte of new parts is reckoned to take.
 EDGES_PER_BYTE = 4
 #: New parts whose lattices are built at a time, in bytes.
-BUILT = 1 << 17
+BUILT = 1 << 15
+#: Texts that are Python's own strings of bytes at a time.
+TAKEN = 256
 
 Sampled = tuple[np.ndarray, np.ndarray]
 
@@ -102,6 +104,7 @@ class Model:
         self.edges = keys[order]
         self.children = np.fromiter(edges.values(), np.int64, len(edges))[order]
         self.ends = np.array(ends, np.int32)
+        self.first = self.after(np.zeros(256, np.int64), np.arange(256))
 
     def after(self, nodes: np.ndarray, following: np.ndarray) -> np.ndarray:
         """The nodes that bytes lead to, 0 where there are none."""
@@ -127,7 +130,7 @@ class Lattices:
     def clear(self) -> None:
         self.ends: dict[bytes, int] = {}
         self.nodes = 0
-        self.keys, self.starts, self.pieces, self.first = array("Q"), array("q"), array("i"), array("b")
+        self.keys, self.starts, self.pieces, self.first = array("Q"), array("i"), array("i"), array("b")
         self.text = bytearray()
 
     def add(self, parts: set[bytes]) -> None:
@@ -149,10 +152,10 @@ class Lattices:
         size = np.ones(len(text), np.int64)
         for lead, length in ((0xC0, 2), (0xE0, 3), (0xF0, 4)):
             size[text >= lead] = length
-        out, at, state, length = [], begins, np.zeros(len(begins), np.int64), 0
+        out, at, state, length = [], begins, None, 0
         single = np.zeros(len(text), bool)
         while len(at):
-            state = model.after(state, text[at + length])
+            state = model.after(state, text[at + length]) if length else model.first[text[at]]
             length += 1
             at, state = at[state > 0], state[state > 0]
             found = model.ends[state]
@@ -177,34 +180,35 @@ class Lattices:
         depth = start - begin[of_part[start]] + length  # of the node where the edge ends
         source = start + of_part[start]
         target = source + length
-        order = np.lexsort((source, target, depth))
+        # by target, then source: no two edges have both, and no target is before a source
+        order = np.argsort(target * (int(length.max()) + 1) - length)
         source, target, depth, weight, piece, start = (x[order] for x in (source, target, depth, weight, piece, start))
+        by_depth = np.argsort(depth.astype(np.uint16) if lengths.max() < 1 << 16 else depth, kind="stable")
+        depth, to_all, value_all = depth[by_depth], target[by_depth], weight[by_depth]
+        from_all = source[by_depth]
         forward = np.full(len(text) + len(parts), -np.inf)
         forward[begin + np.arange(len(parts))] = 0.0
-        chance = np.empty(len(source))
+        shares = np.empty(len(source), np.int64)
         cuts = np.flatnonzero(np.diff(depth)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(depth)]):
-            value = forward[source[a:b]] + weight[a:b]
-            to = target[a:b]
+            value = forward[from_all[a:b]] + value_all[a:b]
+            to = to_all[a:b]
             heads = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
             sizes = np.diff(np.concatenate((heads, [b - a])))
             top = np.maximum.reduceat(value, heads)
             total = np.add.reduceat(np.exp(value - np.repeat(top, sizes)), heads)
             log = top + np.log(total)
             forward[to[heads]] = log
-            chance[a:b] = np.exp(value - np.repeat(log, sizes))
-        order = np.lexsort((source, target))
-        source, target, piece, start, chance = (x[order] for x in (source, target, piece, start, chance))
+            shares[by_depth[a:b]] = np.rint(np.exp(value - np.repeat(log, sizes)) * 2.0**32)
         heads = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1])))
         sizes = np.diff(np.concatenate((heads, [len(target)])))
-        shares = np.rint(chance * 2.0**32).astype(np.int64)
         running = np.cumsum(shares)
         running -= np.repeat(running[heads] - shares[heads], sizes)
         running = np.minimum(running, 1 << 32)
         running[heads + sizes - 1] = 1 << 32
         nodes = target.astype(np.uint64) + np.uint64(self.nodes)
         self.keys.frombytes(((nodes << np.uint64(32)) + running.astype(np.uint64)).tobytes())
-        self.starts.frombytes((source + self.nodes).astype(np.int64).tobytes())
+        self.starts.frombytes((source + self.nodes).astype(np.int32).tobytes())
         # of a spelled character the place of its bytes, below 0
         self.pieces.frombytes(np.where(piece >= 0, piece, -1 - (start + len(self.text))).astype(np.int32).tobytes())
         self.first.frombytes((source == (begin + np.arange(len(parts)))[of_part[start]]).astype(np.int8).tobytes())
@@ -216,7 +220,7 @@ class Lattices:
     def sample(self, nodes: np.ndarray, seeds: np.ndarray) -> Sampled:
         """(pieces of all occurrences in order, number of pieces of each). An occurrence is the last node of its
         part and a seed."""
-        keys, starts = np.frombuffer(self.keys, np.uint64), np.frombuffer(self.starts, np.int64)
+        keys, starts = np.frombuffer(self.keys, np.uint64), np.frombuffer(self.starts, np.int32)
         pieces, first = np.frombuffer(self.pieces, np.int32), np.frombuffer(self.first, np.int8)
         text = np.frombuffer(bytes(self.text), np.uint8)
         counts = np.zeros(len(nodes), np.int64)
@@ -300,24 +304,26 @@ def encoded(
         model = shared.value
         lattices = Lattices(model, sharpness)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            for ids, counts in encode(lattices, keys, texts, seed):
-                own = texts[at : at + len(counts)]
-                ends = np.cumsum(counts)
-                offsets = np.concatenate(([0], ends)).astype(np.int32)
-                null = np.array([t is None for t in own], bool)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=pa.array(null))
-                every = ids.tolist()
-                same = [
-                    None if t is None else model.decode(every[a:b]).encode() == t
-                    for t, a, b in zip(own, offsets.tolist(), ends.tolist())
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(own)), pa.array(counts), lists, pa.array(same, pa.bool_())],
-                    [key, "n_tokens", "token_ids", "round_trip"],
-                )
-                at += len(own)
+            for start in range(0, batch.num_rows, TAKEN):
+                given = batch.column(0).slice(start, TAKEN)
+                keys, texts = given.to_pylist(), batch.column(1).slice(start, TAKEN).to_pylist()
+                at = 0
+                for ids, counts in encode(lattices, keys, texts, seed):
+                    own = texts[at : at + len(counts)]
+                    ends = np.cumsum(counts)
+                    offsets = np.concatenate(([0], ends)).astype(np.int32)
+                    null = np.array([t is None for t in own], bool)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=pa.array(null))
+                    every = ids.tolist()
+                    same = [
+                        None if t is None else model.decode(every[a:b]).encode() == t
+                        for t, a, b in zip(own, offsets.tolist(), ends.tolist())
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [given.slice(at, len(own)), pa.array(counts), lists, pa.array(same, pa.bool_())],
+                        [key, "n_tokens", "token_ids", "round_trip"],
+                    )
+                    at += len(own)
 
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key), F.col("text").cast("binary").alias("text"))
