@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgauge.plans.loop import checkpoint_folder, store
+from linkgauge.plans.loop import checkpoint_folder, partitions_for, store
 
-__all__ = ["BLANKS", "WORD", "expand", "fresh", "frugal", "join_hot", "lower_az", "scratch", "store", "table", "word_count"]
+__all__ = ["BLANKS", "WORD", "expand", "few", "fresh", "frugal", "join_hot", "lower_az", "scratch", "store", "table", "word_count"]
 
 #: Blanks between words; a word is a run of other characters.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -44,6 +44,11 @@ def frugal(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
     return run
 
 
+def few(frame: DataFrame, rows: int) -> DataFrame:
+    """For a table of about so many rows, most often the output of a shuffle: no more tasks than they are worth, and one for each core."""
+    return frame.coalesce(max(frame.sparkSession.sparkContext.defaultParallelism, partitions_for(rows)))
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, store
+from .common import few, join_hot, store
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,13 +22,14 @@ def components(links: DataFrame) -> DataFrame:
         if state == before or state[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
+        rows = 2 * state[0]
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = store(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("copies")))
+        least = store(few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("copies")), rows))
         moved = join_hot(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = store(moved.distinct())
-        least = store(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("copies")))
+        large = store(few(moved.distinct(), rows))
+        least = store(few(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("copies")), rows))
         joined = join_hot(large, least, "u")
         small = joined.select("u", F.col("m").alias("v")).union(
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        now = store(small.distinct())
+        now = store(few(small.distinct(), rows))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, join_hot, store
+from .common import few, frugal, join_hot, store
 from .components import components
 
 WIDTH = 2
@@ -48,6 +48,8 @@ FLUSHED, THROWN = 1 << 19, 1 << 14
 BROADCAST_NODES = 1_000_000
 #: Members of a bucket, and comparisons of a node, that meet in one task at most.
 LIMIT = 1000
+#: Rows that a pair counts as where it carries its sets.
+SETS = 50
 #: When a round links fewer than this part of the nodes, the next one compares all that are left.
 FEW = 20
 #: Bits that bound from below in how many shingles two sets differ.
@@ -216,18 +218,19 @@ def _sized(sets: DataFrame, of: str) -> DataFrame:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """Stored rows (a, b) of the pairs (a, b) whose full sets are similar. ``sets`` has node and shingles."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LIMIT).alias("salts"))
-    many = store(many.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a"))
+    """Stored rows (a, b) of the stored pairs (a, b) whose full sets are similar. ``sets`` has node and shingles."""
+    rows = pairs.count() * SETS
+    many = few(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LIMIT).alias("salts")), rows)
+    many = store(few(many.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a"), rows))
     salts = many.select("a", "salts").where("salts > 1")
     dealt = pairs.join(F.broadcast(salts), "a", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    dealt = dealt.select("a", "b", _salt("b").alias("salt")).join(
+    dealt = few(dealt.select("a", "b", _salt("b").alias("salt")).join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b"
-    )
+    ), rows)
     met = dealt.join(_salted(many), ["a", "salt"])
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
-    return store(met.where(100 * shared >= similar * union).select("a", "b"))
+    return store(few(met.where(100 * shared >= similar * union).select("a", "b"), rows))
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -253,26 +256,27 @@ def roots_of(members: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> Dat
     """Rows (node, root) of the nodes that are linked; root is the least node of the component. ``members`` are those of
     ``buckets``, ``sets`` a stored table of node, n, parities and shingles."""
     members = store(members.join(_sized(sets, "node"), "node"))
+    rows = members.count()
     links = tested = store(members.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False)))
     all_at_once, held = False, sets.count()
     while True:
         roots = store(components(links))
-        now = store(_rooted(members, roots))
-        by_root = now.groupBy("key", "root").agg(
+        now = store(few(_rooted(members, roots), rows))
+        by_root = few(now.groupBy("key", "root").agg(
             F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n_node", "parities_node")).alias("least")
-        )
-        most = store(by_root.groupBy("key").agg(
+        ), rows)
+        most = store(few(by_root.groupBy("key").agg(
             F.max(F.struct("members", F.col("root").alias("major"), "least")).alias("most"),
             F.count(F.lit(1)).alias("roots"), F.sum("members").alias("copies"),
-        ).where("roots > 1").select("key", "most.major", "most.least", "copies"))
-        now = store(join_hot(now, most.select("key", "major", "copies"), "key"))
+        ).where("roots > 1").select("key", "most.major", "most.least", "copies"), rows))
+        now = store(few(join_hot(now, most.select("key", "major", "copies"), "key"), rows))
         if all_at_once:
             asked = now.where("root <> major").select(
                 "key", "salts", F.col("node").alias("pivot"), F.col("n_node").alias("n_pivot"), F.col("root").alias("of"),
                 F.col("parities_node").alias("parities_pivot"),
             )
         else:
-            asked = now.select("key", "salts").distinct().join(most, "key").select(
+            asked = few(few(now.select("key", "salts").distinct(), rows).join(most, "key"), rows).select(
                 "key", "salts", F.col("least.node").alias("pivot"), F.col("least.n_node").alias("n_pivot"),
                 F.col("major").alias("of"), F.col("least.parities_node").alias("parities_pivot"),
             )
@@ -280,13 +284,15 @@ def roots_of(members: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> Dat
         pairs = met.withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot"))
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
         if not all_at_once:
-            pairs = pairs.groupBy("node").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b")
-        new = store(pairs.select("a", "b").distinct())
+            pairs = few(few(pairs, rows).groupBy("node").agg(F.min(F.struct("a", "b")).alias("pair")), rows).select("pair.a", "pair.b")
+            new = store(few(pairs.distinct(), rows))
+        else:
+            new = store(pairs.select("a", "b").distinct())
         found = linked(new, sets, similar)
-        links = store(links.union(found))
+        links = store(few(links.union(found), rows))
         if all_at_once:
             return components(links)
-        tested = store(tested.union(new))
+        tested = store(few(tested.union(new), rows))
         all_at_once = found.count() * FEW <= held
 
 

@@ -117,3 +117,17 @@ def test_components_of_a_star_and_a_path(spark, monkeypatch):
     got = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {(i, 100) for i in range(101, 160)} | {(i, 3) for i in range(200, 241)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_small_rounds_take_few_tasks(spark):
+    wanted = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        found = components(spark.createDataFrame([(i, i + 1000) for i in range(300)], "a long, b long"))
+        assert sorted(found.collect()) == [(i + 1000, i) for i in range(300)]
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
