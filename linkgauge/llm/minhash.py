@@ -236,7 +236,8 @@ def linked(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFra
 def buckets(nodes: DataFrame) -> DataFrame:
     """Stored rows (key, salts, node) of the keys that several nodes have."""
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    counts = store(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    counts = store(few(counts, nodes.count() * (SIZE // ROWS)))
     sized = counts.withColumn("salts", F.ceil(F.col("copies") / LIMIT))
     return store(join_hot(rows, sized, "key").select("key", "salts", "node"))
 
@@ -300,17 +301,19 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, similar: int = SIM
     """Rows (doc_id, n_shingles, component_id, kept), one for each document."""
     rows = sketched(documents, width)
     sets = rows.where("set_key IS NOT NULL")
-    nodes = store(sets.groupBy("set_key").agg(
+    total = rows.count()
+    nodes = store(few(sets.groupBy("set_key").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("pick"),
         F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"),
-    ).select("set_key", "pick.doc_id", "pick.text_key", "bands", "copies", F.monotonically_increasing_id().alias("node")))
+    ).select("set_key", "pick.doc_id", "pick.text_key", "bands", "copies", F.monotonically_increasing_id().alias("node")), total))
     members = buckets(nodes)
-    picked = store(nodes.select("node", "doc_id", "text_key").join(members.select("node").distinct(), "node"))
+    picked = store(few(nodes.select("node", "doc_id", "text_key").join(few(members.select("node").distinct(), total), "node"), total))
     full = full_sets(documents, picked, width)
     if full.count() > picked.count():  # rows with the same id and text
         full = store(full.dropDuplicates(["node"]))
-    named = store(_rooted(nodes.select("set_key", "node", "doc_id", "copies"), roots_of(members, full, similar)))
-    ids = store(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("copies")))
+    roots = roots_of(members, full, similar)
+    named = store(few(_rooted(nodes.select("set_key", "node", "doc_id", "copies"), roots), total))
+    ids = store(few(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("copies")), total))
     held = store(join_hot(named.select("set_key", "root", F.col("copies").alias("rows")), ids, "root").select(
         "set_key", "component_id", F.col("rows").alias("copies")
     ))
