@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,9 +29,10 @@ HOT, MOST_HOT = 1000, 50_000
 def frugal(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """``work`` on batches, which gives back what memory it no longer needs once a task ends.
 
-    A Python worker lives on into later stages, and keeps what earlier ones grew to otherwise.
+    A Python worker lives on into later stages, and keeps what earlier ones grew to otherwise. Type hints stay those of ``work``.
     """
 
+    @wraps(work)
     def run(batches: Iterator) -> Iterator:
         try:
             yield from work(batches)

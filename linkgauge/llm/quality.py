@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, store
+from .common import BLANKS, frugal, store
 
 SYMBOLS = b"#*$%&|<>"
 #: Bytes of UTF-8 that don't begin a character.
@@ -93,8 +93,9 @@ def _repeated(words: list[bytes]) -> int:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
-def _counted(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([base_counts(t) for t in texts], columns=COUNTS, dtype="int64")
+def _counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        yield pd.DataFrame([base_counts(t) for t in texts], columns=COUNTS, dtype="int64")
 
 
 def _transformed(rows: DataFrame) -> DataFrame:
@@ -112,7 +113,13 @@ def _transformed(rows: DataFrame) -> DataFrame:
 
 
 def _counts() -> Column:
-    return F.pandas_udf(_counted, ", ".join(f"{c} long" for c in COUNTS))(F.col("text").cast("binary")).alias("counts")
+    """The base counts of each text, found once.
+
+    A filter on them would be moved below a deterministic function's column, and texts counted once for it and once for the rows left,
+    in two Python workers for each task.
+    """
+    count = F.pandas_udf(frugal(_counted), ", ".join(f"{c} long" for c in COUNTS)).asNondeterministic()
+    return count(F.col("text").cast("binary")).alias("counts")
 
 
 def _group() -> list[Column]:

@@ -38,6 +38,8 @@ WINDOW = 13
 GRAM = 6
 #: Words whose hashes a task remembers at most.
 REMEMBERED = 500_000
+#: Texts that are cut at a time.
+TAKEN = 256
 WORDS = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
 #: Odd numbers that weigh the words of a gram or window; a fixed series.
 FACTORS = (np.random.Generator(np.random.Philox(13)).integers(0, 2**63, (3, 256), np.uint64) << np.uint64(1)) + np.uint64(1)
@@ -99,13 +101,14 @@ def stretches(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return grams[at[first]], whole, first, np.concatenate((first[1:], [len(at)]))
 
 
-def _packed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else zlib.compress(t, 1))
+def _packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(lambda t: None if t is None else zlib.compress(t, 1))
 
 
 def packed(text: Column) -> Column:
     """A text for a shuffle; half of what the shuffle's own compression leaves."""
-    return F.pandas_udf(_packed, "binary")(text.cast("binary"))
+    return F.pandas_udf(frugal(_packed), "binary")(text.cast("binary"))
 
 
 # ------------------------------------------------------------------- seeds
@@ -277,9 +280,9 @@ FOUND = "n_words long, n_removed long, kept_sha256 string, spans array<struct<fi
 
 
 def _kept(with_text: bool) -> Column:
-    def work(texts: pd.Series, lost: pd.Series, windows: pd.Series) -> pd.DataFrame:
-        hashes, rows = _Hashes(), []
-        for text, *own in zip(texts, lost, windows):
+    def some(hashes: _Hashes, *columns: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, *own in zip(*columns):
             given = b"" if text is None else zlib.decompress(text)
             words = given.split()
             own = [np.empty(0, np.int64) if x is None else np.asarray(x, np.int64) for x in own]
@@ -295,7 +298,13 @@ def _kept(with_text: bool) -> Column:
             ))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
 
-    return F.pandas_udf(work, FOUND)("packed_text", "lost", "windows")
+    def work(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        hashes = _Hashes()
+        for batch in batches:
+            for start in range(0, len(batch[0]), TAKEN):
+                yield some(hashes, *(column[start : start + TAKEN] for column in batch))
+
+    return F.pandas_udf(frugal(work), FOUND)("packed_text", "lost", "windows")
 
 
 def _with_found(documents: DataFrame, columns: list[Column], with_text: bool) -> DataFrame:

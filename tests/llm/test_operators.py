@@ -3,11 +3,13 @@
 import collections
 import math
 import random
+from collections.abc import Iterator
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from linkgauge.llm import chat, mixing, pieces, sharding, simhash, substring, topk, urlfilter
+from linkgauge.llm import chat, common, mixing, pieces, quality, sharding, simhash, substring, topk, urlfilter
 
 from . import brute, tables
 
@@ -257,3 +259,31 @@ def test_building_lattices_takes_little_memory():
     finally:
         tracemalloc.stop()
     assert most - held < 25e6
+
+
+# --------------------------------------------------------------------- memory
+
+
+def test_a_task_counts_texts_once(spark, odd, capsys):
+    """Otherwise each task keeps two Python workers, which later stages find grown."""
+    kept = quality.accepted(spark.read.parquet(f"{odd}/documents.parquet"))
+    capsys.readouterr()
+    kept.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
+def test_functions_of_columns_give_memory_back(spark, monkeypatch):
+    def doubled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield 2 * x
+
+    double = F.pandas_udf(common.frugal(doubled), "long")
+    assert rows_of(spark.range(5).select(double("id"))) == [(0,), (2,), (4,), (6,), (8,)]
+    released = []
+    monkeypatch.setattr(common.gc, "collect", lambda: released.append(1))
+    for column, values in ((quality._counts, [b"a b", None]), (lambda: substring.packed(F.col("text")), [b"a b", None])):
+        made = []
+        monkeypatch.setattr(F, "pandas_udf", lambda f, kind, own=F.pandas_udf, made=made: made.append(f) or own(f, kind))
+        column()
+        assert len(list(made[0](iter([pd.Series(values)])))) == 1
+    assert len(released) == 2
