@@ -73,7 +73,7 @@ def betweenness_estimate(
         chosen = order.where(F.col("place").between(taken + 1, size))
         searches.starts = chosen.select("key", F.lit(1.0).alias("s"))
         searches._size(size - taken, nodes, links)
-        for batch in searches.blocks(f"round-{at}-"):
+        for batch in searches.blocks(f"round-{at}-", squared=True):
             with searches.ledger.step(batch.step) as attempt:
                 batch.add_scores(attempt)
         taken = size
